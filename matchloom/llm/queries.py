@@ -10,12 +10,40 @@ from pyspark.sql import functions as F
 from ..runtime import stored, table
 from .canonical import typed_makers
 from .components import link_groups
-from .listings import prepare
+from .cosine import split_overlaps
+from .leakage import leaked_items
+from .linkage import across, match
+from .listings import both_tables, prepare
+from .mixing import mixture, reached_shares
+from .residue import mined_templates, residue_parts, without_residue
 from .resolve import pairs_within, resolve
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _evaluation(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "valid").withColumn("split", F.lit("valid")).unionByName(table(spark, folder, "test").withColumn("split", F.lit("test")))
+
+
+def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
+    return split_overlaps(_evaluation(spark, folder), table(spark, folder, "train"), table(spark, folder, "tablea"), table(spark, folder, "tableb"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Each valid or test row with each training row on the same two records."""
+    return _overlaps(spark, folder).select(F.least("eval_pair", "train_pair").alias("pair_id_1"), F.greatest("eval_pair", "train_pair").alias("pair_id_2"))
+
+
+def p1_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each split and source, how many of them overlap with training rows, and with how many."""
+    links = _overlaps(spark, folder).groupBy("split", "source", "eval_pair").agg(F.count(F.lit(1)).alias("n"))
+    per = links.groupBy("split", "source").agg(F.count(F.lit(1)).alias("overlapping"), F.sum("n").alias("links"))
+    rows = _evaluation(spark, folder).groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"))
+    same = (rows["split"] == per["split"]) & rows["source"].eqNullSafe(per["source"])
+    counts = [F.coalesce(per[c], F.lit(0)).alias(c) for c in ("overlapping", "links")]
+    return rows.join(per, same, "left").select(rows["split"], rows["source"], "rows", *counts)
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Manufacturers typed freely, with the maker that each means or 0."""
     return typed_makers(table(spark, folder, "tablea"), table(spark, folder, "tableb"), table(spark, folder, "makers")).select("side", "id", "maker_id")
@@ -46,6 +74,60 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return resolve(_listings(spark, folder))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unmatched, p3_found, p4_found, p4_groups)}
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    listings = both_tables(table(spark, folder, "tablea"), table(spark, folder, "tableb"))
+    scored, members = match(_listings(spark, folder), listings)
+    return across(members, scored)
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of an a-listing and a b-listing of the same product."""
+    return _matches(spark, folder).select("ltable_id", "rtable_id")
+
+
+def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pairs with the confidence of each."""
+    return _matches(spark, folder)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that carry an evaluation item, whole or in part."""
+    return leaked_items(table(spark, folder, "documents"), table(spark, folder, "bench_items")).select("doc_id", "item_id")
+
+
+def p6_leaked(spark: SparkSession, folder: str) -> DataFrame:
+    """Evaluation items that leaked, with the number of documents and the largest share carried."""
+    found = leaked_items(table(spark, folder, "documents"), table(spark, folder, "bench_items"))
+    items = table(spark, folder, "bench_items").select("item_id", "suite")
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("coverage").alias("coverage")).join(items, "item_id")
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents of the mixture with their size, rate and number of copies."""
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Shares of all tokens that the sources reach."""
+    return reached_shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that are residue, in whole or in one of their parts."""
+    return residue_parts(table(spark, folder, "documents")).select("doc_id").distinct()
+
+
+def p8_templates(spark: SparkSession, folder: str) -> DataFrame:
+    """Wordings of residue with the number of parts that have them."""
+    return mined_templates(table(spark, folder, "documents"))
+
+
+def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents without residue."""
+    return without_residue(table(spark, folder, "documents"))
+
+
+_ALL = (p1_found, p1_report, p2_found, p2_unmatched, p3_found, p4_found, p4_groups, p5_found, p5_confidence, p6_found, p6_leaked, p7_mixture, p7_shares, p8_found, p8_templates, p8_kept)
+QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
