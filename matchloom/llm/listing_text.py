@@ -229,8 +229,10 @@ def parse(title: str | None, amend: bool = True) -> dict | None:
                 take("version", _ROMAN[w], w)
             elif len(w) > 1 and not w.isdigit():
                 kept.append(w)
-                if len(w) < 5:  # part of a name that was broken in two, the other part of which may look like a known word
-                    broken += [x + y for x, y in (words[i - 1 : i + 1], words[i : i + 2]) if generic(x) or generic(y)] if 0 < i < len(words) - 1 else []
+                beside = words[max(0, i - 1) : i] + words[i + 1 : i + 2]
+                if len(w) < 5 and all(generic(x) or len(x) > 6 for x in beside):
+                    # part of a name that was broken in two, the other part of which looks like a known word
+                    broken += [x + y for x, y in zip(words[max(0, i - 1) : i + 1], words[max(0, i - 1) + 1 : i + 2], strict=False) if len(x + y) < 10]
     if amend and not kept and not out["model"]:
         return parse(title, amend=False)
     out["names"], out["broken"] = kept, broken

@@ -9,7 +9,7 @@ from ..runtime import stored
 from .components import RIGHT, connected_components
 from .listings import near_names, prepare
 
-#: Two spellings that this many different titles bear each are two names, not a name and a slip.
+#: Two spellings that this many different titles bear each are two names, not a name and a slip, unless the maker is the same.
 ATTESTED = 3
 #: Copies of one profile that a row is spread over when a large group is joined.
 SALTS = 16
@@ -93,7 +93,7 @@ def _slip_links(profiles: DataFrame, near: DataFrame) -> DataFrame:
     two = named.select("facts", F.col("name").alias("name_2"), F.struct("pid", "models", "makers", "titles").alias("y"))
     met = near.join(one, ["facts", "name_1"]).join(two, ["facts", "name_2"]).where("x.pid <> y.pid")
     met = met.where(~clash(F.col("x.models"), F.col("y.models")) & ~clash(F.col("x.makers"), F.col("y.makers")))
-    met = met.where(F.least("x.titles", "y.titles") < ATTESTED)
+    met = met.where((F.least("x.titles", "y.titles") < ATTESTED) | F.arrays_overlap("x.makers", "y.makers"))
     less = F.when(F.struct("x.titles", "y.pid") < F.struct("y.titles", "x.pid"), F.struct(F.col("x").alias("low"), F.col("y").alias("high"))).otherwise(F.struct(F.col("y").alias("low"), F.col("x").alias("high")))
     pairs = met.select(less.alias("z"), "distance").select(F.col("z.low.pid").alias("u"), F.col("z.high.pid").alias("v"), F.struct(-F.col("distance"), F.col("z.high.titles"), -F.col("z.high.pid")).alias("rank"))
     return stored(pairs.groupBy("u").agg(F.max_by("v", "rank").alias("v")))
