@@ -1,8 +1,7 @@
 """String and vector similarities.
 
-Texts of up to 62 characters are compared by bit-parallel recurrences in Column expressions, which stay in the JVM; longer ones
-go through one Arrow function with the same recurrences on long integers.  ``string_similarities`` parts the rows by
-length once, so neither path sees the other's rows.
+Texts of up to 62 characters can be compared by bit-parallel recurrences in Column expressions, which stay in the JVM; one Arrow
+function has the same recurrences on long integers for any length and for many features of a pair at once.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import spread
 from .text import chars, numeric_tokens, tokens, trigram_set
 
 #: Characters that fit a signed 64-bit mask with room for the carry.
@@ -140,15 +140,25 @@ def cosine(x: Column, y: Column) -> Column:
 # The same recurrences on Python's long integers.
 
 
-def lcs_text(a: str, b: str) -> int:
+def _masks(a: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
-    full = v = (1 << len(a)) - 1
+    return masks
+
+
+def _lcs(size: int, masks: dict[str, int], b: str) -> int:
+    full = v = (1 << size) - 1
     for c in b:
-        hit = v & masks.get(c, 0)
-        v = ((v + hit) | (v - hit)) & full
-    return len(a) - v.bit_count()
+        hit = masks.get(c)
+        if hit:
+            hit &= v
+            v = ((v + hit) | (v - hit)) & full
+    return size - v.bit_count()
+
+
+def lcs_text(a: str, b: str) -> int:
+    return _lcs(len(a), _masks(a), b)
 
 
 def ratio_text(a: str, b: str) -> float:
@@ -174,8 +184,14 @@ def partial_text(a: str, b: str) -> float:
         return 1.0 if a == b else 0.0
     out = 0.0
     for short, long in ((a, b), (b, a)) if len(a) == len(b) else ((a, b) if len(a) < len(b) else (b, a),):
-        n = len(short)
-        out = max(out, *(ratio_text(short, long[max(i, 0) : i + n]) for i in range(1 - n, len(long))))
+        n, m, masks = len(short), len(long), _masks(short)
+        for i in range(1 - n, m):
+            lo, hi = max(i, 0), min(i + n, m)
+            # a cut-off window whose outer character the shorter text lacks is no better than the one without it
+            if lo == 0 and hi < n and long[hi - 1] not in masks:
+                continue
+            if 2 * (hi - lo) / (n + hi - lo) > out:
+                out = max(out, 2 * _lcs(n, masks, long[lo:hi]) / (n + hi - lo))
     return out
 
 
@@ -204,7 +220,6 @@ def jaro_winkler_text(a: str, b: str) -> float:
 FUZZY = ("jaro_winkler_raw", "jaro_winkler_norm", "token_sort_ratio", "token_set_ratio", "partial_ratio")
 
 
-@F.pandas_udf("jaro_winkler_raw double, jaro_winkler_norm double, token_sort_ratio double, token_set_ratio double, partial_ratio double")
 def _fuzzy(raw_a: pd.Series, raw_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = [
         (jaro_winkler_text(p, q), jaro_winkler_text(x, y), ratio_text(" ".join(sorted(x.split())), " ".join(sorted(y.split()))), token_set_text(x, y), partial_text(x, y))
@@ -214,12 +229,12 @@ def _fuzzy(raw_a: pd.Series, raw_b: pd.Series, a: pd.Series, b: pd.Series) -> pd
 
 
 def string_similarities(df: DataFrame, raw_a: str, raw_b: str, norm_a: str, norm_b: str) -> DataFrame:
-    """``df`` with the nine string features of two texts and their normalised forms; null texts count as empty."""
-    text = {c: F.coalesce(F.col(c), F.lit("")) for c in (raw_a, raw_b, norm_a, norm_b)}
-    fits = F.greatest(*[F.length(t) for t in text.values()]) <= MASK
-    ra, rb, a, b = text.values()
-    native = [jaro_winkler(ra, rb), jaro_winkler(a, b), token_sort_ratio(a, b), token_set_ratio(a, b), partial_ratio(a, b)]
-    short = df.where(fits).select("*", *[c.alias(n) for n, c in zip(FUZZY, native, strict=True)])
-    long = df.where(~fits).withColumn("_f", _fuzzy(ra, rb, a, b)).select("*", "_f.*").drop("_f")
-    both = short.unionByName(long)
+    """``df`` with the nine string features of two texts and their normalised forms; null texts count as empty.
+
+    The five fuzzy ones come from one Arrow function.  As Column expressions, which exist above for texts of up to 62
+    characters, they take some twenty times as long on titles, since every position is looked up anew.
+    """
+    ra, rb, a, b = (F.coalesce(F.col(c), F.lit("")) for c in (raw_a, raw_b, norm_a, norm_b))
+    fuzzy = F.pandas_udf(_fuzzy, ", ".join(f"{n} double" for n in FUZZY))
+    both = spread(df).withColumn("_f", fuzzy(ra, rb, a, b)).select("*", "_f.*").drop("_f")
     return both.withColumns({"levenshtein_norm": levenshtein_norm(a, b), "trigram_jaccard": trigram_jaccard(a, b), "numeric_token_overlap": numeric_token_overlap(a, b), "length_ratio": length_ratio(a, b)})
