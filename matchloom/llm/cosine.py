@@ -19,17 +19,25 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def _indexed(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """Postings of the terms that have to be indexed, with the norm of what is left out of each vector.
+def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
+    """``(key, terms, rest, open)``: each vector's terms as an array, the norm of the part that need not be indexed, and the part that has to be.
 
     Terms are taken from the most to the least frequent.  While the terms taken so far cannot bring any dot product to
-    the threshold - by the largest weights on the other side, or by their own norm - they are left out.
+    the threshold - by the largest weights on the other side, or by their own norm - they are left out of the index.
     """
-    w = Window.partitionBy("key").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0)
-    bound = F.least(F.sum(F.col("weight") * F.col("most")).over(w), F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(w)))
-    marked = vectors.join(order, "term").withColumn("inside", bound >= F.lit(threshold - 1e-9))
-    rest = F.sqrt(F.coalesce(F.sum(F.when(~F.col("inside"), F.col("weight") * F.col("weight"))).over(Window.partitionBy("key")), F.lit(0.0)))
-    return marked.withColumn("rest", rest).where("inside").select("key", "term", "weight", "rest")
+    term = F.struct((-F.col("df")).alias("d"), "term", "weight", "most")
+    rows = vectors.join(order, "term").groupBy("key").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    zero = F.struct(F.lit(0.0).alias("most"), F.lit(0.0).alias("norm"), F.lit(0).alias("left_out"), F.lit(0.0).alias("rest"))
+
+    def take(acc: Column, x: Column) -> Column:
+        most, norm = acc["most"] + x["weight"] * x["most"], acc["norm"] + x["weight"] * x["weight"]
+        inside = F.least(most, F.sqrt(norm)) >= F.lit(threshold - 1e-9)
+        return F.struct(most.alias("most"), norm.alias("norm"), (acc["left_out"] + F.when(inside, 0).otherwise(1)).alias("left_out"), F.when(inside, acc["rest"]).otherwise(norm).alias("rest"))
+
+    cut = rows.withColumn("cut", F.aggregate("terms", zero, take))
+    opened = F.slice("terms", F.col("cut.left_out") + 1, F.size("terms"))
+    slim = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight")))
+    return cut.select("key", slim.alias("terms"), F.sqrt("cut.rest").alias("rest"), F.transform(opened, lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))).alias("open"))
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -44,21 +52,18 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     left, right = left.where(ok).select("key", "term", "weight"), right.where(ok).select("key", "term", "weight")
     per = left.select("term", "weight", F.lit(1).alias("side")).unionByName(right.select("term", "weight", F.lit(2).alias("side")))
     most = [F.max(F.when(F.col("side") == s, F.col("weight"))).alias(f"most_{s}") for s in (1, 2)]
+    # a term that only one side has takes part in no dot product
     terms = stored(per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *most).where("most_1 is not null and most_2 is not null"))
-    one = _indexed(left, terms.select("term", "df", F.col("most_2").alias("most")), threshold)
-    two = _indexed(right, terms.select("term", "df", F.col("most_1").alias("most")), threshold)
-    met = one.select(F.col("key").alias("key_1"), "term", F.col("weight").alias("w1"), F.col("rest").alias("rest_1")).join(
-        two.select(F.col("key").alias("key_2"), "term", F.col("weight").alias("w2"), F.col("rest").alias("rest_2")), "term"
-    )
-    summed = met.groupBy("key_1", "key_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"), F.max(F.greatest("rest_1", "rest_2")).alias("rest"))
-    candidates = stored(summed.where(F.col("part") + F.col("rest") >= F.lit(threshold - 1e-9)).select("key_1", "key_2"))
-
-    def whole(side: DataFrame, key: str, name: str) -> DataFrame:
-        kept = side.join(candidates.select(F.col(key).alias("key")).distinct(), "key", "left_semi")
-        return kept.groupBy(F.col("key").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias(name))
-
-    both = candidates.join(whole(left, "key_1", "x"), "key_1").join(whole(right, "key_2", "y"), "key_2")
-    dot = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda acc, e: acc + e["value"] * F.coalesce(F.col("y")[e["key"]], F.lit(0.0)))
+    one = stored(_prepared(left, terms.select("term", "df", F.col("most_2").alias("most")), threshold))
+    two = stored(_prepared(right, terms.select("term", "df", F.col("most_1").alias("most")), threshold))
+
+    def postings(side: DataFrame, n: int) -> DataFrame:
+        return side.select(F.col("key").alias(f"key_{n}"), F.col("rest").alias(f"rest_{n}"), F.explode("open").alias("x")).select(f"key_{n}", f"rest_{n}", "x.term", F.col("x.weight").alias(f"w{n}"))
+
+    summed = postings(one, 1).join(postings(two, 2), "term").groupBy("key_1", "key_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"), F.max(F.greatest("rest_1", "rest_2")).alias("rest"))
+    candidates = summed.where(F.col("part") + F.col("rest") >= F.lit(threshold - 1e-9)).select("key_1", "key_2")
+    both = candidates.join(one.select(F.col("key").alias("key_1"), F.col("terms").alias("x")), "key_1").join(two.select(F.col("key").alias("key_2"), F.map_from_entries("terms").alias("y")), "key_2")
+    dot = F.aggregate("x", F.lit(0.0), lambda acc, e: acc + e["weight"] * F.coalesce(F.col("y")[e["term"]], F.lit(0.0)))
     return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= F.lit(threshold - 1e-9))
 
 
@@ -81,24 +86,27 @@ ENTERED_AGAIN_EDITS = 4
 _SCOPE = ["side", "facts", "forms", "model"]
 
 
-def entered_again(keys: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``(key_1, key_2)`` with key_1 in ``left(key)`` and key_2 in ``right(key)``: titles that are one listing entered twice.
+def entered_again(keys: DataFrame) -> DataFrame:
+    """``(key_1, key_2)``: titles of an evaluation record and of a training record that are one listing entered twice.
 
-    ``keys(key, side, facts, forms, model, squeezed)`` has one row per spelling.  Terms live within the stated facts and
-    their wording, so titles that state a fact differently have no term in common; of the pairs that the join returns
-    those stay whose letters and digits are a few edits apart.
+    ``keys(key, side, facts, forms, model, squeezed, tested, trained)`` has one row per spelling.  Terms live within the
+    stated facts and their wording, so titles that state a fact differently have no term in common, and facts stated on
+    one side only need no vectors; of the pairs that the join returns those stay whose letters and digits are a few
+    edits apart.
     """
     n = keys.count()
-    grams = stored(trigrams(keys, ["key"]).distinct().groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf")))
-    vectors = stored(unit_vectors(keys, _SCOPE, grams))
-    pairs = cosine_join(vectors.join(left, "key", "left_semi"), vectors.join(right, "key", "left_semi"), ENTERED_AGAIN_COSINE).where("key_1 <> key_2")
+    grams = trigrams(keys, ["key"]).distinct().groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
+    shared = keys.groupBy(*_SCOPE).agg(F.count(F.lit(1)).alias("n"), F.max("tested").alias("t1"), F.max("trained").alias("t2")).where("n > 1 and t1 and t2").select(*_SCOPE)
+    met = stored(keys.join(shared, _SCOPE, "left_semi"))
+    vectors = stored(unit_vectors(met, _SCOPE, grams).join(met.select("key", "tested", "trained"), "key"))
+    pairs = cosine_join(vectors.where("tested"), vectors.where("trained"), ENTERED_AGAIN_COSINE).where("key_1 <> key_2")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
         most = ENTERED_AGAIN_EDITS
         return pd.Series([near(x, y, most) <= min(most, max(len(x), len(y)) // 4) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    text = keys.select("key", "squeezed")
+    text = met.select("key", "squeezed")
     named = pairs.join(text.toDF("key_1", "text_1"), "key_1").join(text.toDF("key_2", "text_2"), "key_2")
     return named.where(close("text_1", "text_2")).select("key_1", "key_2")
 
@@ -110,6 +118,9 @@ def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, t
     the same if they have the same id or one is the other entered again (see ``entered_again``); a record without
     title, or missing from its table, is only the same as itself.  Labels play no role and repeated rows count each;
     rows without one of their ids overlap with nothing.
+
+    Titles of the same letters, digits and facts share a 64-bit key, which stands for the record in all joins.  The
+    joins are equi-joins with one partner per record and side, so that the rows of a frequent record can be split.
     """
 
     def ends(pairs: DataFrame, *more: str | Column) -> DataFrame:
@@ -121,28 +132,24 @@ def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, t
     def records(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("l", "r")).alias("v")).distinct()
 
-    used = records(tested).select("v", F.lit(1).alias("which")).unionByName(records(trained).select("v", F.lit(2).alias("which")))
-    used = stored(used.groupBy("v").agg(F.max(F.col("which") == 1).alias("tested"), F.max(F.col("which") == 2).alias("trained")))
-    listings = both_tables(tablea, tableb).withColumn("v", vertex(F.col("side"), F.col("id"))).join(used, "v", "left_semi")
-    read = stored(read_listings(listings).select(*_SCOPE, "squeezed", vertex(F.col("side"), F.col("id")).alias("v")))
-    keys = stored(read.groupBy(*_SCOPE, "squeezed").agg(F.min("v").alias("key")))
-    keyed = stored(salted_join(read, keys, [*_SCOPE, "squeezed"]).select("v", "key"))
-    roles = keyed.join(used, "v")
-    pairs = entered_again(keys, roles.where("tested").select("key").distinct(), roles.where("trained").select("key").distinct())
-    own = roles.where("tested").select(F.col("key").alias("key_1"), F.col("key").alias("key_2")).distinct()
-    untitled = used.where("tested").join(keyed, "v", "left_anti").select(F.col("v").alias("key_1"), F.col("v").alias("key_2"))
-    same = stored(pairs.unionByName(own).unionByName(untitled))
+    used = records(tested).select("v", F.lit(True).alias("tested"), F.lit(False).alias("trained")).unionByName(records(trained).select("v", F.lit(False).alias("tested"), F.lit(True).alias("trained")))
+    used = stored(used.groupBy("v").agg(F.max("tested").alias("tested"), F.max("trained").alias("trained")))
+    listings = both_tables(tablea, tableb).withColumn("v", vertex(F.col("side"), F.col("id"))).join(used.select("v"), "v", "left_semi")
+    read = read_listings(listings).select(*_SCOPE, "squeezed", vertex(F.col("side"), F.col("id")).alias("v"))
+    keyed = stored(read.withColumn("key", F.xxhash64(*_SCOPE, "squeezed")).join(used, "v"))
+    keys = stored(keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in (*_SCOPE, "squeezed")], F.max("tested").alias("tested"), F.max("trained").alias("trained")))
+    own = keys.where("tested and trained").select(F.col("key").alias("key_1"), F.col("key").alias("key_2"))
+    untitled = used.where("tested and trained").join(keyed.select("v"), "v", "left_anti").select(F.col("v").alias("key_1"), F.col("v").alias("key_2"))
+    same = stored(entered_again(keys).unionByName(own).unionByName(untitled))
+    names = keyed.select("v", "key")
 
     def as_keys(rows: DataFrame) -> DataFrame:
         for end in ("l", "r"):
-            known = keyed.select(F.col("v").alias(end), F.col("key").alias(f"{end}_key"))
-            rows = salted_join(rows, known, [end], "left").withColumn(end, F.coalesce(f"{end}_key", end)).drop(f"{end}_key")
+            rows = rows.join(names.select(F.col("v").alias(end), F.col("key").alias(f"{end}_key")), end, "left").withColumn(end, F.coalesce(f"{end}_key", end)).drop(f"{end}_key")
         return rows
 
-    tested, trained = stored(as_keys(tested)), as_keys(trained)
-    combos = tested.select("l", "r").distinct()
-    combos = salted_join(combos, same.select(F.col("key_1").alias("l"), F.col("key_2").alias("l2")), ["l"])
-    combos = salted_join(combos, same.select(F.col("key_1").alias("r"), F.col("key_2").alias("r2")), ["r"])
+    tested, trained = stored(as_keys(tested)), stored(as_keys(trained))
     other = trained.select(F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("pair_id").alias("train_pair"))
+    combos = tested.select("l", "r").distinct().join(same.select(F.col("key_1").alias("l"), F.col("key_2").alias("l2")), "l").join(same.select(F.col("key_1").alias("r"), F.col("key_2").alias("r2")), "r")
     seen = combos.join(other.select("l2", "r2").distinct(), ["l2", "r2"], "left_semi")
     return tested.join(seen, ["l", "r"]).join(other, ["l2", "r2"]).select(F.col("pair_id").alias("eval_pair"), "split", "source", "train_pair")
