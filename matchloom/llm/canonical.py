@@ -230,7 +230,7 @@ def map_values(values: DataFrame, reference: DataFrame, value: str, ref_id: str,
     # every value visits every shard, the stated query set against all of the reference; parts keep one visit small
     parts = max(1, values.sparkSession.sparkContext.defaultParallelism)
     spread = typed.select("value", F.pmod(F.xxhash64("value"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    listed = names.select("ref", "name", F.pmod(F.xxhash64("ref"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long").alias("part"))
+    listed = names.select("ref", "name", F.pmod(F.xxhash64("ref"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
     hits = spread.groupBy("part", "shard").cogroup(listed.groupBy("part", "shard")).applyInPandas(shard, "value string, distance int, apart int, ref long")
     w = hits.where("apart < 2").groupBy("value").agg(F.min(F.struct("distance", "apart")).alias("top"), F.collect_set(F.struct(F.struct("distance", "apart").alias("k"), "ref")).alias("all"))
     winner = w.select("value", "top", F.expr("transform(filter(all, x -> x.k = top), x -> x.ref)").alias("refs"))
