@@ -19,11 +19,16 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+#: Share of the threshold that a vector's unindexed terms may reach; what they add is bounded by it.
+UNINDEXED = 0.6
+
+
 def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
     """``(key, terms, rest, open)``: each vector's terms as an array, the norm of the part that need not be indexed, and the part that has to be.
 
     Terms are taken from the most to the least frequent.  While the terms taken so far cannot bring any dot product to
-    the threshold - by the largest weights on the other side, or by their own norm - they are left out of the index.
+    a share of the threshold - by the largest weights on the other side, or by their own norm - they are left out of the
+    index.
     """
     term = F.struct((-F.col("df")).alias("d"), "term", "weight", "most")
     rows = vectors.join(order, "term").groupBy("key").agg(F.array_sort(F.collect_list(term)).alias("terms"))
@@ -31,7 +36,7 @@ def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFra
 
     def take(acc: Column, x: Column) -> Column:
         most, norm = acc["most"] + x["weight"] * x["most"], acc["norm"] + x["weight"] * x["weight"]
-        inside = F.least(most, F.sqrt(norm)) >= F.lit(threshold - 1e-9)
+        inside = F.least(most, F.sqrt(norm)) >= F.lit(UNINDEXED * threshold - 1e-9)
         return F.struct(most.alias("most"), norm.alias("norm"), (acc["left_out"] + F.when(inside, 0).otherwise(1)).alias("left_out"), F.when(inside, acc["rest"]).otherwise(norm).alias("rest"))
 
     cut = rows.withColumn("cut", F.aggregate("terms", zero, take))
