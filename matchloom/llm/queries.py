@@ -130,4 +130,9 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
 _ALL = (p1_found, p1_report, p2_found, p2_unmatched, p3_found, p4_found, p4_groups, p5_found, p5_confidence, p6_found, p6_leaked, p7_mixture, p7_shares, p8_found, p8_templates, p8_kept)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}
+#: Groups by walking the links from every record; SQL has no cheaper way, so it suits small tables only.
+SQL: dict[str, str] = {
+    "p3_found": """with recursive e as (select distinct ltable_id u, rtable_id + 4611686018427387904 v from train where label = 1 and ltable_id is not null and rtable_id is not null),
+s as (select u, v from e union select v, u from e), r as (select u x, u y from s union select r.x, s.v from r join s on r.y = s.u)
+select case when x >= 2305843009213693952 then 'b' else 'a' end side, case when x >= 2305843009213693952 then x - 4611686018427387904 else x end id, min(y) group_id from r group by x""",
+}
