@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import spread, stored
 from .listing_text import is_missing, near, parse, plain, shortened, squeezed
 from .listing_text import _WORD as WORD
 
@@ -69,7 +69,7 @@ def with_names(read: DataFrame, words: DataFrame) -> DataFrame:
 def prepare(tablea: DataFrame, tableb: DataFrame, makers: DataFrame) -> DataFrame:
     """Both tables read: side, id, squeezed, facts, forms, model, names, makers; listings without title are left out."""
     listings = both_tables(tablea, tableb)
-    return with_names(read_listings(listings), maker_words(listings, makers))
+    return with_names(stored(read_listings(listings)), maker_words(listings, makers))
 
 
 def slips(word: str) -> int:
