@@ -19,16 +19,11 @@ def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "i
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-#: Share of the threshold that a vector's unindexed terms may reach; what they add is bounded by it.
-UNINDEXED = 0.6
-
-
 def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
     """``(key, terms, rest, open)``: each vector's terms as an array, the norm of the part that need not be indexed, and the part that has to be.
 
     Terms are taken from the most to the least frequent.  While the terms taken so far cannot bring any dot product to
-    a share of the threshold - by the largest weights on the other side, or by their own norm - they are left out of the
-    index.
+    the threshold - by the largest weights on the other side, or by their own norm - they are left out of the index.
     """
     term = F.struct((-F.col("df")).alias("d"), "term", "weight", "most")
     rows = vectors.join(order, "term").groupBy("key").agg(F.array_sort(F.collect_list(term)).alias("terms"))
@@ -36,7 +31,7 @@ def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFra
 
     def take(acc: Column, x: Column) -> Column:
         most, norm = acc["most"] + x["weight"] * x["most"], acc["norm"] + x["weight"] * x["weight"]
-        inside = F.least(most, F.sqrt(norm)) >= F.lit(UNINDEXED * threshold - 1e-9)
+        inside = F.least(most, F.sqrt(norm)) >= F.lit(threshold - 1e-9)
         return F.struct(most.alias("most"), norm.alias("norm"), (acc["left_out"] + F.when(inside, 0).otherwise(1)).alias("left_out"), F.when(inside, acc["rest"]).otherwise(norm).alias("rest"))
 
     cut = rows.withColumn("cut", F.aggregate("terms", zero, take))
@@ -72,17 +67,18 @@ def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= F.lit(threshold - 1e-9))
 
 
-def unit_vectors(texts: DataFrame, scope: list[str], grams: DataFrame) -> DataFrame:
-    """``(key, term, weight)`` from ``texts(key, squeezed, *scope)``: trigrams weighted by rarity, each within its scope."""
-    each = trigrams(texts, ["key", *scope]).groupBy("key", *scope, "gram").agg(F.count(F.lit(1)).alias("n"))
-    weighed = each.join(grams, "gram").select("key", F.xxhash64(*scope, "gram").alias("term"), (F.col("n") * F.col("idf")).alias("w"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
-    return weighed.select("key", "term", (F.col("w") / norm).alias("weight"))
-
+def unit_vectors(texts: DataFrame) -> DataFrame:
+    """``(key, term, weight)`` from ``texts(key, scope, squeezed)``: the text's trigrams, each once, weighted by rarity.
 
-def trigrams(texts: DataFrame, keep: list[str]) -> DataFrame:
+    A term is a trigram within the scope, a 64-bit number; rarity is that of the trigram over all texts.
+    """
     padded = F.concat(F.lit("^"), F.col("squeezed"), F.lit("$"))
-    return texts.where("squeezed <> ''").select(*keep, F.explode(F.transform(F.sequence(F.lit(1), F.length("squeezed")), lambda i: F.substring(padded, i, 3))).alias("gram"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("squeezed")), lambda i: F.substring(padded, i, 3)))
+    each = texts.where("squeezed <> ''").select("key", "scope", F.explode(grams).alias("gram"))
+    rarity = stored(each.groupBy("gram").agg(F.log(1 + F.lit(float(texts.count())) / F.count(F.lit(1))).alias("idf")))
+    weighed = each.join(rarity, "gram").select("key", F.xxhash64("scope", "gram").alias("term"), F.col("idf").alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
+    return weighed.select("key", "term", (F.col("w") / norm).alias("weight"))
 
 
 #: Least cosine of two titles of which one is the other entered again, and edits that their letters and digits may differ by.
@@ -99,11 +95,9 @@ def entered_again(keys: DataFrame) -> DataFrame:
     one side only need no vectors; of the pairs that the join returns those stay whose letters and digits are a few
     edits apart.
     """
-    n = keys.count()
-    grams = trigrams(keys, ["key"]).distinct().groupBy("gram").agg(F.log(1 + F.lit(float(n)) / F.count(F.lit(1))).alias("idf"))
     shared = keys.groupBy(*_SCOPE).agg(F.count(F.lit(1)).alias("n"), F.max("tested").alias("t1"), F.max("trained").alias("t2")).where("n > 1 and t1 and t2").select(*_SCOPE)
-    met = stored(keys.join(shared, _SCOPE, "left_semi"))
-    vectors = stored(unit_vectors(met, _SCOPE, grams).join(met.select("key", "tested", "trained"), "key"))
+    met = stored(keys.join(shared, _SCOPE, "left_semi").select("key", F.xxhash64(*_SCOPE).alias("scope"), "squeezed", "tested", "trained"))
+    vectors = stored(unit_vectors(met).join(met.select("key", "tested", "trained"), "key"))
     pairs = cosine_join(vectors.where("tested"), vectors.where("trained"), ENTERED_AGAIN_COSINE).where("key_1 <> key_2")
 
     @F.pandas_udf("boolean")
