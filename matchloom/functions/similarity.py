@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import ship
 from .text import chars, numeric_tokens, tokens, trigram_set
 
 #: Characters that fit a signed 64-bit mask with room for the carry.
@@ -234,7 +234,8 @@ def string_similarities(df: DataFrame, raw_a: str, raw_b: str, norm_a: str, norm
     The five fuzzy ones come from one Arrow function.  As Column expressions, which exist above for texts of up to 62
     characters, they take some twenty times as long on titles, since every position is looked up anew.
     """
+    ship(df.sparkSession)
     ra, rb, a, b = (F.coalesce(F.col(c), F.lit("")) for c in (raw_a, raw_b, norm_a, norm_b))
     fuzzy = F.pandas_udf(_fuzzy, ", ".join(f"{n} double" for n in FUZZY))
-    both = spread(df).withColumn("_f", fuzzy(ra, rb, a, b)).select("*", "_f.*").drop("_f")
+    both = df.withColumn("_f", fuzzy(ra, rb, a, b)).select("*", "_f.*").drop("_f")
     return both.withColumns({"levenshtein_norm": levenshtein_norm(a, b), "trigram_jaccard": trigram_jaccard(a, b), "numeric_token_overlap": numeric_token_overlap(a, b), "length_ratio": length_ratio(a, b)})

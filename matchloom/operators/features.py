@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import cosine, jaro_winkler, string_similarities
 from ..functions.text import normalize, present_number, present_text, serialize_record
+from ..runtime import spread
 
 # Names and order of the features.
 FEATURE_NAMES = (
@@ -45,7 +46,7 @@ def embed(df: DataFrame, id_col: str, text: Column, out: str, encoder: Encoder =
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], out: [[float(x) for x in v] for v in encoder([t or "" for t in frame["text"]])]})
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text")).mapInPandas(run, f"id long, {out} array<float>")
+    return spread(df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text, F.lit("")).alias("text"))).mapInPandas(run, f"id long, {out} array<float>")
 
 
 def precompute_embeddings(df: DataFrame, encoder: Encoder = hashed_grams, title: str = "title", manufacturer: str = "manufacturer", price: str = "price") -> DataFrame:
@@ -112,6 +113,7 @@ def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, emb_a: DataFrame
         lost = dangling(pairs, a, b).head()
         if lost is not None:
             raise KeyError(f"no such record: {lost.ltable_id}, {lost.rtable_id}")
+    pairs = spread(pairs)
     both = pairs.join(prepare_records(a, "a"), F.col("ltable_id") == F.col("id_a")).join(prepare_records(b, "b"), F.col("rtable_id") == F.col("id_b"))
     cosines = {"emb_name_cosine": F.lit(None).cast("double"), "emb_record_cosine": F.lit(None).cast("double")}
     if emb_a is not None and emb_b is not None:

@@ -13,7 +13,7 @@ from ..operators import blocking as B
 from ..operators import curves as C
 from ..operators import features as X
 from ..operators import profile as P
-from ..runtime import stored, table
+from ..runtime import spread, stored, table
 from . import sql as Q
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -47,7 +47,7 @@ BOTH = "(select 'a' side, * from tablea union all select 'b', * from tableb)"
 
 def pairs(spark: SparkSession, folder: str, name: str = "train") -> DataFrame:
     """Labelled pairs with both records prepared."""
-    t = table(spark, folder, name).select("pair_id", "ltable_id", "rtable_id", "label")
+    t = spread(table(spark, folder, name).select("pair_id", "ltable_id", "rtable_id", "label"))
     a, b = X.prepare_records(table(spark, folder, "tablea"), "a"), X.prepare_records(table(spark, folder, "tableb"), "b")
     return t.join(a, F.col("ltable_id") == F.col("id_a")).join(b, F.col("rtable_id") == F.col("id_b"))
 

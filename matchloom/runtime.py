@@ -4,12 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python finds it wherever it was started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="matchloom-"), "matchloom.zip")  # staged on the driver, which serves it
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(root.rglob("*.py")):
+            z.write(file, Path(root.name, file.relative_to(root)))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -35,6 +54,7 @@ def stored(df: DataFrame) -> DataFrame:
     size tells the optimizer whether a side is small enough to broadcast.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -50,6 +70,10 @@ def dropped(df: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for work per row that outweighs moving the row."""
+    """A scan over at least as many partitions as there are cores, for work per row that outweighs moving the row.
+
+    Meant for scans: to count the partitions of a plan with exchanges would run them.
+    """
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
