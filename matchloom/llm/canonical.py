@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .listing_text import _INVISIBLE, is_missing, near, plain
 
 # Words around a company's name that are not part of it.
@@ -206,6 +207,7 @@ def map_values(values: DataFrame, reference: DataFrame, value: str, ref_id: str,
     Null and blank values and spellings of "no value" give no row; reference entries without a name are never meant;
     two entries equally near leave a value unmapped; empty tables give an empty result or unmapped values.
     """
+    ship(values.sparkSession)
     typed = values.select(F.col(value).alias("value")).where("value is not null").distinct()
     names = reference.select(F.col(ref_id).cast("long").alias("ref"), F.col(ref_name).alias("name")).where("ref is not null and name is not null")
     total = names.count()

@@ -133,7 +133,7 @@ def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, t
 
     used = records(tested).select("v", F.lit(True).alias("tested"), F.lit(False).alias("trained")).unionByName(records(trained).select("v", F.lit(False).alias("tested"), F.lit(True).alias("trained")))
     used = stored(used.groupBy("v").agg(F.max("tested").alias("tested"), F.max("trained").alias("trained")))
-    listings = both_tables(tablea, tableb).withColumn("v", vertex(F.col("side"), F.col("id"))).join(used.select("v"), "v", "left_semi")
+    listings = stored(both_tables(tablea, tableb).withColumn("v", vertex(F.col("side"), F.col("id"))).join(used.select("v"), "v", "left_semi").select("side", "id", "title"))
     read = read_listings(listings).select(*_SCOPE, "squeezed", vertex(F.col("side"), F.col("id")).alias("v"))
     keyed = stored(read.withColumn("key", F.xxhash64(*_SCOPE, "squeezed")).join(used, "v"))
     keys = stored(keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in (*_SCOPE, "squeezed")], F.max("tested").alias("tested"), F.max("trained").alias("trained")))
