@@ -232,7 +232,7 @@ def string_similarities(df: DataFrame, raw_a: str, raw_b: str, norm_a: str, norm
     """``df`` with the nine string features of two texts and their normalised forms; null texts count as empty.
 
     The five fuzzy ones come from one Arrow function.  As Column expressions, which exist above for texts of up to 62
-    characters, they take some twenty times as long on titles, since every position is looked up anew.
+    characters, they take several times as long on titles, since every position is looked up anew.
     """
     ship(df.sparkSession)
     ra, rb, a, b = (F.coalesce(F.col(c), F.lit("")) for c in (raw_a, raw_b, norm_a, norm_b))
