@@ -1,4 +1,4 @@
-"""Evaluation texts inside training documents: a BM25 index searched with block-max WAND, then an exact check."""
+"""Evaluation texts inside training documents: a BM25 index searched with block-max WAND under a bound of each item, then an exact check."""
 
 from __future__ import annotations
 
@@ -26,25 +26,29 @@ _COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\[^A-Za-z\s]")
 
 @dataclass
 class Settings:
-    """``window`` and ``stride`` of a passage in words, BM25's k1 and b, the score a passage has to reach, and the share of an item's words that has to be carried."""
+    """BM25's k1 and b, the share of an item's words that has to be carried, and the postings in a block."""
 
-    window: int = 48
-    stride: int = 24
     k1: float = 1.2
     b: float = 0.4
-    score: float = 12.0
     coverage: float = 0.3
     block: int = 16
 
 
 class ItemIndex:
-    """Inverted lists of the items' word pairs with BM25 contributions, in blocks that know their largest one."""
+    """Inverted lists of the items' word pairs with BM25 contributions, in blocks that know their largest one.
+
+    Items of the same words are held once, with all their ids.  Contributions are in units of the item's own bound (see
+    ``_least``), so that every item that the check can accept has a score of 1 or more.
+    """
 
     def __init__(self, items: list[tuple[int, str]], settings: Settings):
         self.settings = settings
-        self.ids = [i for i, _ in items]
-        self.words = [WORD.findall(t.lower()) for _, t in items]
-        n = max(1, len(items))
+        same: dict[tuple[str, ...], list[int]] = defaultdict(list)
+        for i, t in items:
+            same[tuple(WORD.findall(t.lower()))].append(i)
+        self.ids = list(same.values())
+        self.words = [list(words) for words in same]
+        n = max(1, len(self.words))
         mean = sum(map(len, self.words)) / n or 1.0
         lists: dict[tuple[str, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
         for d, words in enumerate(self.words):
@@ -58,17 +62,39 @@ class ItemIndex:
         self.weight = {w: log(1 + n / c) ** 2 for w, c in in_items.items()}
         self.postings: dict[tuple[str, str], tuple[list[int], list[float], list[float]]] = {}
         self.most: dict[tuple[str, str], float] = {}
+        k1, b = settings.k1, settings.b
+        raw: dict[tuple[str, str], list[float]] = {}
+        own: list[list[tuple[tuple[str, str], int, float]]] = [[] for _ in self.words]
         for pair, docs in lists.items():
-            idf = log(1 + (n - len(docs) + 0.5) / (len(docs) + 0.5)) if len(docs) <= n / 4 or n < 8 else 0.0
-            if idf <= 0:
-                continue
-            order = sorted(docs)
-            k1, b = settings.k1, settings.b
-            scores = [idf * docs[d] * (k1 + 1) / (docs[d] + k1 * (1 - b + b * len(self.words[d]) / mean)) for d in order]
+            idf = log(1 + (n - len(docs) + 0.5) / (len(docs) + 0.5))
+            raw[pair] = [idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(self.words[d]) / mean)) for d, tf in docs.items()]
+            for (d, tf), score in zip(docs.items(), raw[pair], strict=True):
+                own[d].append((pair, tf, score))
+        least = [self._least(words, pairs) for words, pairs in zip(self.words, own, strict=True)]
+        for pair, docs in lists.items():
+            order = list(docs)  # ascending, as items were read in turn
+            scores = [score / least[d] for d, score in zip(order, raw[pair], strict=True)]
             blocks = [max(scores[i : i + settings.block]) for i in range(0, len(scores), settings.block)]
             self.postings[pair] = (order, scores, blocks)
             self.most[pair] = max(blocks)
 
+    def _least(self, words: list[str], pairs: list[tuple[tuple[str, str], int, float]]) -> float:
+        """A score that no text misses which carries ``coverage`` of the item's words and of their weights.
+
+        A pair that the text has carries two words at each of its places, at most.  The cheapest pairs, the last one in
+        part, that make up the share are no dearer than any others that do; this holds for words and for weights.
+        """
+        least = 0.0
+        for gain, total in ((lambda p: 2.0, len(words)), (lambda p: self.weight[p[0]] + self.weight[p[1]], sum(self.weight[w] for w in words))):
+            need, cost = self.settings.coverage * total, 0.0
+            for given, score in sorted(((tf * gain(pair), score) for pair, tf, score in pairs), key=lambda x: x[1] / x[0]):
+                cost += score * min(1.0, need / given)
+                need -= given
+                if need <= 0:
+                    break
+            least = max(least, cost)
+        return least * (1 - 1e-9)
+
     def search(self, terms: list[tuple[str, str]], threshold: float) -> list[int]:
         """Every item whose score for these terms reaches ``threshold``, by block-max WAND."""
         size, end = self.settings.block, len(self.ids)
@@ -122,28 +148,17 @@ class ItemIndex:
                         i += 1
                     at[k], heads[k] = i, docs[i] if i < len(docs) else end
 
-    def retrieve(self, words: list[str]) -> set[int]:
-        """Items that some passage of the document retrieves."""
-        s, most = self.settings, self.most
-        hits = [(i, pair) for i, pair in enumerate(zip(words, words[1:], strict=False)) if pair in most]
-        found: set[int] = set()
-        if not hits:
-            return found
-        first = 0
-        start = hits[0][0] // s.stride * s.stride
-        while first < len(hits):
-            start = max(start, (hits[first][0] - s.window) // s.stride * s.stride + s.stride, 0)
-            while first < len(hits) and hits[first][0] < start:
-                first += 1
-            terms = {}
-            for i, pair in hits[first:]:
-                if i >= start + s.window:
-                    break
-                terms[pair] = most[pair]
-            if sum(terms.values()) >= s.score:
-                found.update(self.search(list(terms), s.score))
-            start += s.stride
-        return found
+    def retrieve(self, words: list[str]) -> list[int]:
+        """Items that the whole document retrieves; their stretches may stand anywhere in it."""
+        terms = [pair for pair in set(zip(words, words[1:], strict=False)) if pair in self.most]
+        return self.search(terms, 1.0) if sum(map(self.most.__getitem__, terms)) >= 1.0 else []
+
+    def reachable(self, k: int, pairs: set[tuple[str, str]]) -> bool:
+        """Whether the words of item ``k`` that stand in any of these pairs make up the share, by number and by weight."""
+        item = self.words[k]
+        on = {q for p, pair in enumerate(zip(item, item[1:], strict=False)) if pair in pairs for q in (p, p + 1)}
+        share = self.settings.coverage * (1 - 1e-9)
+        return len(on) >= share * len(item) and sum(self.weight[item[p]] for p in on) >= share * sum(map(self.weight.__getitem__, item))
 
 
 def readable(text: str) -> list[str]:
@@ -205,8 +220,8 @@ INDEX_ITEMS = 20_000
 def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | None = None, index_items: int = INDEX_ITEMS) -> DataFrame:
     """``(doc_id, item_id, coverage)`` for every document that carries enough of an item's text.
 
-    Every passage (overlapping window) of every document is a query against the index of all items; what reaches the
-    score is then checked word by word on the whole document.  The index is counted before it is broadcast.
+    Every document is a query against the index of all items; what reaches the item's bound, as all do that the check
+    can accept, is then checked word by word.  The index is counted before it is broadcast.
 
     Documents or items without text match nothing, an item of a single word cannot be found, copies of a document
     are found each, and empty tables give an empty result.
@@ -228,10 +243,13 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | No
                     hit = index.retrieve(WORD.findall(text.lower()))
                     if hit:
                         words = readable(text)
-                        for k in sorted(hit):
+                        pairs = set(zip(words, words[1:], strict=False))
+                        for k in hit:
+                            if not index.reachable(k, pairs):
+                                continue
                             share, weighed = carried(index.words[k], words, index.weight)
                             if min(share, weighed) >= settings.coverage:
-                                rows.append((doc, index.ids[k], share))
+                                rows += [(doc, i, share) for i in index.ids[k]]
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
 
         out = texts.mapInPandas(scan, "doc_id long, item_id long, coverage double")

@@ -44,6 +44,17 @@ def test_leaked_items(spark):
     assert leaked_items(d.limit(0), it).count() == 0 == leaked_items(d, it.limit(0)).count()
 
 
+def test_leaks_of_copies_and_short_lists(spark):
+    words = ITEM.split()
+    third = " ".join(words[: len(words) // 2])
+    docs = [(1, PROSE + ITEM), (2, PROSE + third + " " + PROSE), (3, PROSE), (4, PROSE * 9 + " ".join(words[:9]) + " " + PROSE * 9 + " ".join(words[12:23]) + " " + PROSE * 9)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for texts in ([ITEM], [ITEM, OTHER], [ITEM] * 40 + [f"item number {i} has words {i}a {i}b {i}c of its own" for i in range(60)]):
+        it = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+        want = sorted((doc, i) for doc in (1, 2, 4) for i, t in enumerate(texts) if t == ITEM)
+        assert sorted((r.doc_id, r.item_id) for r in leaked_items(d, it).collect() if texts[r.item_id] == ITEM) == want
+
+
 def test_carried_in_any_order():
     index = ItemIndex([(i, t) for i, t in enumerate([ITEM, *SAME])], Settings())
     words, weight, half = index.words[0], index.weight, len(index.words[0]) // 2
