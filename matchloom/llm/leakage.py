@@ -220,8 +220,8 @@ INDEX_ITEMS = 20_000
 def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | None = None, index_items: int = INDEX_ITEMS) -> DataFrame:
     """``(doc_id, item_id, coverage)`` for every document that carries enough of an item's text.
 
-    Every document is a query against the index of all items; what reaches the item's bound, as all do that the check
-    can accept, is then checked word by word.  The index is counted before it is broadcast.
+    Every document, as it reads once it is set, is a query against the index of all items; what reaches the item's
+    bound, as all do that the check can accept, is then checked word by word.  The index is counted before it is broadcast.
 
     Documents or items without text match nothing, an item of a single word cannot be found, copies of a document
     are found each, and empty tables give an empty result.
@@ -240,9 +240,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | No
             for frame in frames:
                 rows = []
                 for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                    hit = index.retrieve(WORD.findall(text.lower()))
+                    words = readable(text)
+                    hit = index.retrieve(words)
                     if hit:
-                        words = readable(text)
                         pairs = set(zip(words, words[1:], strict=False))
                         for k in hit:
                             if not index.reachable(k, pairs):

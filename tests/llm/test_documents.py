@@ -55,6 +55,15 @@ def test_leaks_of_copies_and_short_lists(spark):
         assert sorted((r.doc_id, r.item_id) for r in leaked_items(d, it).collect() if texts[r.item_id] == ITEM) == want
 
 
+def test_leaks_in_dressed_words(spark):
+    soft = " ".join(w[:2] + "\u00ad" + w[2:] if len(w) > 3 else w for w in ITEM.split())
+    wide = "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in ITEM)
+    dashed = " ".join(w[:1] + r"\-" + w[1:] if len(w) > 2 else w for w in ITEM.split())
+    d = spark.createDataFrame([(1, PROSE + soft), (2, wide + PROSE), (3, dashed), (4, PROSE)], "doc_id long, text string")
+    it = spark.createDataFrame(list(enumerate([ITEM, *SAME])), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in leaked_items(d, it).collect()) == [(1, 0), (2, 0), (3, 0)]
+
+
 def test_carried_in_any_order():
     index = ItemIndex([(i, t) for i, t in enumerate([ITEM, *SAME])], Settings())
     words, weight, half = index.words[0], index.weight, len(index.words[0]) // 2
