@@ -62,6 +62,12 @@ must have hot deal stock buy now fast as piece pieces pcs pk ed edition 3d inch
 peripherals publishing games labs technologies digital media interactive systems electronics group works company inc ltd gmbh corp corporation limited llc
 """.split())
 
+# Those of the generic words that tell what kind of thing is sold.
+CATEGORY_WORDS = frozenset("""accounting antivirus architect arithmetic backup bank battery bookkeeping cable cassette charger clip clipart copier cord design designer
+disk drawing drive email filter flash flight graphics house income ink keyboard language ledger lessons mail malware math mathematics maths memory messaging monitor movie film
+music network paint patch photo pilot planner printer privacy puzzle puzzler recorder recording refill server simulation simulator solver speak stick tape tax toner translation
+typing vector video virus voice""".split())
+
 _ROMAN = {r: str(i) for i, r in enumerate("i ii iii iv v vi vii viii ix x xi xii xiii xiv xv xvi xvii xviii xix xx".split(), 1)}
 # Categories that hold an edition word without naming an edition.
 _CATEGORIES = re.compile(r"(?<!\w)home[\W_]+(?:design\w*|archite\w*|planner)")
@@ -176,6 +182,11 @@ def squeezed(text: str | None) -> str:
     return "".join(_WORD.findall(plain(text)))
 
 
+def category_words(title: str | None) -> list[str]:
+    """Words that tell what kind of thing the title offers, slips of the pen put right, sales talk left out."""
+    return sorted({known for w in _WORD.findall(_TALK.sub(" | ", plain(title))) if (known := generic(w)) in CATEGORY_WORDS})
+
+
 def parse(title: str | None, amend: bool = True) -> dict | None:
     """Facts of one title, or None for a missing title.
 

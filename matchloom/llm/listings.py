@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import spread, stored
-from .listing_text import is_missing, near, parse, plain, shortened, squeezed
+from .listing_text import category_words, is_missing, near, parse, plain, shortened, squeezed
 from .listing_text import _WORD as WORD
 
 FACTS = ("version", "edition", "size", "colour", "pack")
-_READ = "side string, id long, squeezed string, facts string, forms string, model string, words array<string>, broken array<string>"
+_READ = "side string, id long, squeezed string, facts string, forms string, model string, words array<string>, broken array<string>, kinds array<string>"
 
 
 def both_tables(tablea: DataFrame, tableb: DataFrame) -> DataFrame:
@@ -28,12 +28,12 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for side, key, title in zip(frame["side"], frame["id"], frame["title"], strict=True):
             p = parse(title)
             if p is not None:
-                rows.append((side, key, squeezed(title), "|".join(p[f] for f in FACTS), p["forms"], p["model"], p["names"], p["broken"]))
-        yield pd.DataFrame(rows, columns=["side", "id", "squeezed", "facts", "forms", "model", "words", "broken"])
+                rows.append((side, key, squeezed(title), "|".join(p[f] for f in FACTS), p["forms"], p["model"], p["names"], p["broken"], category_words(title)))
+        yield pd.DataFrame(rows, columns=["side", "id", "squeezed", "facts", "forms", "model", "words", "broken", "kinds"])
 
 
 def read_listings(listings: DataFrame) -> DataFrame:
-    """One row per listing with a title: its letters and digits, facts, their wording, model and remaining words."""
+    """One row per listing with a title: its letters and digits, facts, their wording, model, remaining words and words of its category."""
     return spread(listings.select("side", "id", "title")).mapInPandas(_read, _READ)
 
 
@@ -67,7 +67,7 @@ def with_names(read: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def prepare(tablea: DataFrame, tableb: DataFrame, makers: DataFrame) -> DataFrame:
-    """Both tables read: side, id, squeezed, facts, forms, model, names, makers; listings without title are left out."""
+    """Both tables read: side, id, squeezed, facts, forms, model, kinds, names, makers; listings without title are left out."""
     listings = both_tables(tablea, tableb)
     return with_names(stored(read_listings(listings)), maker_words(listings, makers))
 

@@ -9,8 +9,11 @@ from ..runtime import stored
 from .components import RIGHT, connected_components
 from .listings import near_names, prepare
 
-#: Two spellings that this many different titles bear each are two names, not a name and a slip, unless the maker is the same.
+#: Two spellings that this many different titles bear each are joined only if their makers or categories agree; fewer titles
+#: need not name either.
 ATTESTED = 3
+#: Where neither can be compared, a slip is borne by this many times fewer titles than the name at least.
+RARER = 4
 #: Copies of one profile that a row is spread over when a large group is joined.
 SALTS = 16
 
@@ -35,11 +38,12 @@ def clash(a: Column, b: Column) -> Column:
 
 
 def profiles_of(read: DataFrame) -> DataFrame:
-    """Equal listings as one profile: smallest vertex ``pid``, facts, models, names, makers, number of titles."""
-    one = read.select(vertex(F.col("side"), F.col("id")).alias("v"), "facts", "model", "names", "makers", "squeezed")
-    grouped = one.groupBy("facts", "model", "names", "makers").agg(F.min("v").alias("pid"), F.approx_count_distinct("squeezed").alias("titles"))
+    """Equal listings as one profile: smallest vertex ``pid``, facts, models, names, makers, words of the category, number of titles."""
+    one = read.select(vertex(F.col("side"), F.col("id")).alias("v"), "facts", "model", "names", "makers", "squeezed", "kinds")
+    titles = one.groupBy("facts", "model", "names", "makers", "squeezed").agg(F.min("v").alias("v"), *_together("kinds"))
+    grouped = titles.groupBy("facts", "model", "names", "makers").agg(F.min("v").alias("pid"), F.count(F.lit(1)).alias("titles"), *_together("kinds"))
     models = F.when(F.col("model") != "", F.array("model")).otherwise(F.array().cast("array<string>"))
-    return grouped.select("pid", "facts", "model", models.alias("models"), "names", "makers", "titles")
+    return grouped.select("pid", "facts", "model", models.alias("models"), "names", "makers", "kinds", "titles")
 
 
 def _shared_attribute_links(profiles: DataFrame) -> DataFrame:
@@ -58,7 +62,8 @@ def resolve(read: DataFrame) -> DataFrame:
     differ by a slip of the pen.  Matched profiles merge: names, models and maker's words are united, so that a listing
     without a name is reached over its model and one with a misspelt name over either.  Merged profiles are blocked and
     matched again until none changes.  Profiles whose models or makers contradict each other never merge, and a
-    misspelt name joins only the nearest, best attested one.
+    misspelt name joins only the nearest, best attested one.  A spelling that several titles bear is another product's
+    name, not a slip, unless makers or categories agree; this holds however many titles bear it.
 
     Price and platform do not matter.  A listing without title is in no group; one that states neither name nor model is a
     group of its own.
@@ -78,7 +83,7 @@ def resolve(read: DataFrame) -> DataFrame:
         groups = stored(connected_components(links, "u", "v").select(F.col("vertex").alias("pid"), "component"))
         track = stored(track.join(groups, "pid", "left").select("first_pid", F.coalesce("component", "pid").alias("pid")))
         moved = profiles.join(groups, "pid", "left").withColumn("pid", F.coalesce("component", "pid"))
-        profiles = stored(moved.groupBy("pid", "facts").agg(*_together("models", "names", "makers"), F.sum("titles").alias("titles")))
+        profiles = stored(moved.groupBy("pid", "facts").agg(*_together("models", "names", "makers", "kinds"), F.sum("titles").alias("titles")))
     ends = members.join(track.withColumnRenamed("pid", "group_id"), F.col("pid") == F.col("first_pid")).select("facts", "model", "names", "makers", "group_id")
     # a profile may stand for any share of all rows: its rows are spread over salts before the join
     salted = read.select("side", "id", "facts", "model", "names", "makers", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
@@ -88,12 +93,14 @@ def resolve(read: DataFrame) -> DataFrame:
 
 def _slip_links(profiles: DataFrame, near: DataFrame) -> DataFrame:
     """Each less attested profile with the one whose name it most likely misspells."""
-    named = profiles.select("pid", "facts", "models", "makers", "titles", F.explode("names").alias("name"))
-    one = named.select("facts", F.col("name").alias("name_1"), F.struct("pid", "models", "makers", "titles").alias("x"))
-    two = named.select("facts", F.col("name").alias("name_2"), F.struct("pid", "models", "makers", "titles").alias("y"))
+    named = profiles.select("pid", "facts", "models", "makers", "kinds", "titles", F.explode("names").alias("name"))
+    one = named.select("facts", F.col("name").alias("name_1"), F.struct("pid", "models", "makers", "kinds", "titles").alias("x"))
+    two = named.select("facts", F.col("name").alias("name_2"), F.struct("pid", "models", "makers", "kinds", "titles").alias("y"))
     met = near.join(one, ["facts", "name_1"]).join(two, ["facts", "name_2"]).where("x.pid <> y.pid")
     met = met.where(~clash(F.col("x.models"), F.col("y.models")) & ~clash(F.col("x.makers"), F.col("y.makers")))
-    met = met.where((F.least("x.titles", "y.titles") < ATTESTED) | F.arrays_overlap("x.makers", "y.makers"))
+    fewer, more = F.least("x.titles", "y.titles"), F.greatest("x.titles", "y.titles")
+    rare = ((F.size("x.kinds") == 0) | (F.size("y.kinds") == 0)) & (RARER * fewer <= more)
+    met = met.where((fewer < ATTESTED) | F.arrays_overlap("x.makers", "y.makers") | F.arrays_overlap("x.kinds", "y.kinds") | rare)
     less = F.when(F.struct("x.titles", "y.pid") < F.struct("y.titles", "x.pid"), F.struct(F.col("x").alias("low"), F.col("y").alias("high"))).otherwise(F.struct(F.col("y").alias("low"), F.col("x").alias("high")))
     pairs = met.select(less.alias("z"), "distance").select(F.col("z.low.pid").alias("u"), F.col("z.high.pid").alias("v"), F.struct(-F.col("distance"), F.col("z.high.titles"), -F.col("z.high.pid")).alias("rank"))
     return stored(pairs.groupBy("u").agg(F.max_by("v", "rank").alias("v")))
