@@ -1,4 +1,4 @@
-"""Template residue, filler, error pages and script notices: message templates mined with a fixed-depth prefix tree, judged once."""
+"""Template residue, filler, error pages and script notices: every message judged, templates mined with a fixed-depth prefix tree."""
 
 from __future__ import annotations
 
@@ -23,6 +23,9 @@ SLOT = re.compile(
     re.I,
 )
 
+#: One of these is in every slot.
+_SLOT_SIGN = re.compile(r"\{\{|@@|__|[$#]\{|%\(|[\[<]|\(enter|xxx", re.I)
+
 # Wordings of residue, matched against a template from its first word on.
 _PLACEHOLDER = rf"""(?:please )?(?:insert|enter|type|add|write|put) (?:your |the |an? )?\S+(?: \S+){{0,3}} here
 click (?:here )?to (?:add|edit|enter)
@@ -114,9 +117,12 @@ veuillez activer
 active java-?script
 (?:por favor )?active
 (?:esta p[áa]gina|este sitio) (?:necesita|requiere)"""
+_FILLED = r"""lorem ipsum(?: dolor\b|\W*$)"""
 # What pages carry around their content.
 _CHROME = re.compile(r"home \| browse \| help|back to search|contact the archive|cookie settings|powered by \w+|\(c\) the archive|log in\b(?! (?:again )?to)|sign up|menu\b|skip to content", re.I)
-_KINDS = [(k, re.compile("(?:" + "|".join(f"(?:{p})" for p in text.split("\n")) + ")", re.I)) for k, text in (("placeholder", _PLACEHOLDER), ("error", _ERROR), ("script", _SCRIPT))]
+#: One of these is in everything that ``_CHROME`` matches.
+_CHROME_SIGNS = ("| browse", "back to search", "contact the archive", "cookie settings", "powered by", "(c) the archive", "log in", "sign up", "menu", "skip to content")
+_KINDS = [(k, re.compile("(?:" + "|".join(f"(?:{p})" for p in text.split("\n")) + ")")) for k, text in (("placeholder", _PLACEHOLDER), ("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLED))]
 
 # Function words of the languages that articles are written in; words that pseudo-Latin filler uses too are left out.
 _FUNCTION = frozenset("""the of and is are was were that to with we for in when from it its our by under as at this these an a be can or on not here which where each every has have
@@ -128,72 +134,38 @@ _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(equ
 _QUOTED = re.compile(r"\\(?:verb\*?(.)[^\n]*?\1|(?:texttt|emph|url|textit)\s*\{[^{}]*\})|``[^`]*?''|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S)
 _MARK = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|caption|footnote|item|inst|and|thanks)\b(?:\[[^\]]*\])*|\\[a-zA-Z]+\*?(?=[\s{\\]|$)")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|\n\s*\n|\n")
+_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"[0-9a-f]*\d[0-9a-f]*|\d+", re.I)
 _TEXT_WORD = re.compile(r"[^\W\d_]+")
 _FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blindmathpaper|blinddocument)\b(?:\[[^\]]*\])?")
 
 
 def _judge(template: str) -> str:
-    """Kind of residue that a template's wording is, or ``""``."""
-    if SLOT.fullmatch(template.strip(" .,;:")):
+    """Kind of residue that a wording in lower case is, or ``""``."""
+    if _SLOT_SIGN.search(template) and SLOT.fullmatch(template.strip(" .,;:")):
         return "placeholder"
     return next((k for k, p in _KINDS if p.match(template)), "")
 
 
-# First words that a wording of residue may have, and second words where the first one is common.
-_FIRST = frozenset("""please insert enter type add write put click replace your dummy sample placeholder example some paragraph dear null undefined nan none text bitte geben
-hier veuillez insérer insérez inserer inserez saisir saisissez écrire écrivez por inserte introduzca escriba añada http error erreur fehler sorry oops uh whoops something
-if too conversion fatal uncaught traceback stack segmentation exception internal we download session sign log access you verify prove gateway slow retry try request requested
-page file document article zugriff der das die seite accès acces le acceso inicie no el página pagina allow enable activate turn switch javascript java-script scripting for checking
-ticket reference incident support firstname author vorname prénom nombre noscript aktivieren ohne activer cette ce active esta este home back contact cookie powered c menu skip lorem quoted""".split())
-_SECOND = {
-    "the": frozenset("abstract introduction title conclusion paper server full page service document requested site viewer reader archive website application".split()),
-    "this": frozenset("is record page document site website".split()), "our": frozenset("page site reader viewer archive website application".split()),
-    "if": frozenset(["you"]), "for": frozenset(["full"]), "some": frozenset(["text"]), "we": frozenset("apologise apologize are".split()), "der": frozenset(["dienst"]), "das": frozenset(["dokument"]),
-    "die": frozenset(["seite"]), "le": frozenset("document service".split()), "el": frozenset(["servicio"]), "no": frozenset("se".split()), "ce": frozenset(["site"]), "cette": frozenset(["page"]),
-    "esta": frozenset("página pagina".split()), "este": frozenset(["sitio"]), "por": frozenset(["favor"]), "page": frozenset("not introuvable".split()), "something": frozenset("went broke".split()),
-}
-_SIGNS = ("{{", "<<", "@@", "__", "[[", "${", "#{", "<?", "<%", "(enter ", "XXX", "xxx", "lipsum", "kant[", "lindtext")
-_WORDED = re.compile(r"\[(?:[Yy]our|YOUR|[Ii]hre?|IHRE?|[Vv]otre|VOTRE|[Ss]u|SU|TB[DA]|TODO|tb[da])\b|(?:here|hier|ici|aqu[íi])[>\]]|goes here")
-_SOME_FUNCTION = re.compile(r"\b(?:" + "|".join(sorted(_FUNCTION, key=len)) + r")\b", re.I)
-_NO_WORD = " \t\r\n.,;:!?()[]{}*'\"-"
-
-
-def _hint(content: str) -> bool:
-    """Whether the content has the signs of a slot or a filler command anywhere."""
-    return any(sign in content for sign in _SIGNS) or (("[" in content or "<" in content or "goes" in content) and _WORDED.search(content) is not None)
-
-
-def _may_be_residue(sentence: str) -> bool:
-    """Whether the node of the sentence's first words has any template that is residue, or it may be filler."""
-    first = sentence.split(None, 2)
-    if not first:
-        return False
-    one = first[0].strip(_NO_WORD).lower()
-    if one in _SECOND:
-        if len(first) > 1 and first[1].strip(_NO_WORD).lower() in _SECOND[one]:
-            return True
-    elif one in _FIRST or one[:1].isdigit() or (len(first) > 1 and first[1].lower() == "goes"):
-        return True
-    return sentence.count(" ") > 4 and "\\" not in sentence and not _SOME_FUNCTION.search(sentence)
+def _masked(message: str) -> list[str]:
+    """The message's words in lower case, digits as wildcards."""
+    if _DIGIT.search(message) is None:
+        return message.lower().split()
+    return [("<*>" if w.isdigit() else _DIGITS.sub("<*>", w)) if any(c.isdigit() for c in w) else w for w in message.lower().split()]
 
 
 class TemplateTree:
     """Messages by their first words, then by length, then by similarity to the templates met there.
 
-    The depth is fixed.  A node of first words with which no wording of residue begins is judged as a whole and not split
-    further.  Below the others a message joins the most similar template of its leaf if at least ``alike`` of the words
-    agree, and words that differ become wildcards.  A template is judged when it is made and again only when its
-    wording changes.
+    The depth is fixed.  A message joins the most similar template of its leaf if at least ``alike`` of the words agree
+    and both have the same kind, and words that differ become wildcards.
     """
 
     def __init__(self, alike: float = 0.7):
         self.alike, self.leaves = alike, {}
 
-    def add(self, message: str) -> str:
-        """The verdict on the template that the message belongs to."""
-        words = [("<*>" if w.isdigit() else _DIGITS.sub("<*>", w)) if any(c.isdigit() for c in w) else w for w in message.split()]
-        leaf = self.leaves.setdefault((*words[:2], len(words)), [])
+    def add(self, words: list[str], kind: str, messages: int = 1) -> None:
+        leaf = self.leaves.setdefault((*words[:2], len(words), kind), [])
         best, most = None, -1.0
         for t in leaf:
             same = sum(a == b for a, b in zip(t[0], words, strict=True)) / max(1, len(words))
@@ -202,80 +174,97 @@ class TemplateTree:
                 if same == 1.0:
                     break
         if best is None or most < self.alike:
-            best = None
-        elif most < 1.0:
-            merged = [a if a == b else "<*>" for a, b in zip(best[0], words, strict=True)]
-            if merged != best[0]:
-                if _judge(" ".join(merged)) == best[2] == _judge(" ".join(words)):
-                    best[0] = merged
-                else:
-                    best = None  # a merge that would change a verdict stays apart
-        if best is None:
-            best = [words, 0, _judge(" ".join(words))]
+            best = [words, 0]
             leaf.append(best)
-        best[1] += 1
-        return best[2]
+        elif most < 1.0:
+            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], words, strict=True)]
+        best[1] += messages
+
+    def templates(self) -> list[tuple[str, str, int]]:
+        """``(template, kind, messages)`` of all leaves."""
+        return [(" ".join(words), key[-1], n) for key, leaf in self.leaves.items() for words, n in leaf]
 
 
 def _filler(words: list[str]) -> bool:
     """Words in no language: none of a dozen is a function word, or the same few over and over."""
-    if len(words) >= 6 and len(set(words)) <= max(2, len(words) // 4):
-        return True
-    known = sum(w in _FUNCTION for w in words)
+    return _repeated(words) or _strange(words)
+
+
+def _repeated(words: list[str]) -> bool:
+    return len(words) >= 6 and len(set(words)) <= max(2, len(words) // 4)
+
+
+def _strange(words: list[str]) -> bool:
+    if len(words) < 6:
+        return False
+    known = sum(map(_FUNCTION.__contains__, words))
     return (len(words) >= 9 and 20 * known <= len(words)) or (len(words) >= 6 and not known and 4 * len(set(words)) <= 3 * len(words))
 
 
-def residue_of(kind: str, content: str, tree: TemplateTree) -> str:
-    """What a part of a document is instead of content, or ``""`` if more than half of its words are content."""
-    if kind in ("title", "author"):
-        if not (_hint(content) or _may_be_residue(content)):
-            return ""
-        plain = " ".join(re.sub(r"\\([_$#&%{}])", r"\1", content).split())
-        if SLOT.fullmatch(plain.strip(" .,;:")):
-            return "placeholder"
-        return tree.add(plain.lower()) if plain and len(plain) < 160 else ""
-    if not _hint(content) and not any(map(_may_be_residue, _SENTENCE.split(content))):
-        return ""
-    dummy = len(_FILLER_COMMAND.findall(content)) if "\\" in content else 0
+def _unfilled(text: str) -> bool:
+    """A slot with hardly a word beside it."""
+    return _SLOT_SIGN.search(text) is not None and SLOT.search(text) is not None and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
+
+
+def residue_of(kind: str, content: str) -> tuple[str, list[tuple[str, str]]]:
+    """What a part of a document is instead of content, or ``""`` if more than half of its words are content, and its messages.
+
+    Messages are the sentences of the part that are residue, each with its own kind.  A title or a list of authors is one
+    message.  Names are in no language, so of filler only repetition and its known wording count among authors.
+    """
+    dummy = _FILLER_COMMAND.findall(content) if "\\" in content else []
     text = content
     if "\\" in text or "$" in text or "`" in text:
         text = _FILLER_COMMAND.sub(" ", text)
         text = _QUOTED.sub(" quoted ", text)
-        if not SLOT.search(text):
+        if not (_SLOT_SIGN.search(text) and SLOT.search(text)):
             text = _MATH.sub(" formula ", text)
         text = re.sub(r"\\([_$#&%{}])", r"\1", text)
+    field = kind in ("title", "author")
+    if field:
+        whole = " ".join(re.sub(r"\\([_$#&%{}])", r"\1", content).split())
+        verdict = _judge(" ".join(_masked(whole))) if whole and (len(whole) < 160 or SLOT.fullmatch(whole.strip(" .,;:"))) else ""
+        return verdict, [(whole, verdict)] if verdict else []
+    if "\\" in text:
         text = _MARK.sub(" ", text)
     bad, good, kinds, others, seen = 0, 0, {}, [], {}
+    messages = [(command, "filler") for command in dummy]
+    content_sentences = []
+    lower = text.lower()
+    chrome = any(sign in lower for sign in _CHROME_SIGNS)
     for sentence in _SENTENCE.split(text):
         s = " ".join(sentence.split())
         if not s:
             continue
-        if len(s) < 200 and _CHROME.search(s):
+        if chrome and len(s) < 200 and _CHROME.search(s):
             s = " ".join(_CHROME.sub(" ", s).split())
             if not any(c.isalnum() for c in s):
                 continue
         words = _TEXT_WORD.findall(s.lower())
-        n = max(1, sum(not any(c.isdigit() for c in w) for w in s.split()))
+        masked = _masked(s)
+        n = max(1, len(masked) if _DIGIT.search(s) is None else sum(not any(c.isdigit() for c in w) for w in s.split()))
         seen[s] = seen.get(s, 0) + 1
-        verdict = tree.add(s.lower()) if len(s) < 400 and _may_be_residue(s) else ""
-        if not verdict and SLOT.search(s) and len(_TEXT_WORD.findall(SLOT.sub(" ", s))) <= 3:
+        verdict = _judge(" ".join(masked))
+        if not verdict and _unfilled(s):
             verdict = "placeholder"
         if not verdict and _filler(words):
             verdict = "filler"
         if verdict:
             bad += n
             kinds[verdict] = kinds.get(verdict, 0) + n
+            messages.append((s, verdict))
         else:
             good += n
             others += words
+            content_sentences.append(s)
     if dummy:
-        bad += 20 * dummy
-        kinds["filler"] = kinds.get("filler", 0) + 20 * dummy
-    if len(seen) < 3 and sum(seen.values()) >= 4 * len(seen):
-        return "filler"
-    if not kinds:
-        return "filler" if _filler(others) else ""
-    return max(sorted(kinds), key=kinds.get) if bad >= good else ""
+        bad += 20 * len(dummy)
+        kinds["filler"] = kinds.get("filler", 0) + 20 * len(dummy)
+    # a long text has few different words for its length, so those of all sentences together are not held to be repeated
+    again = seen and len(seen) < 3 and sum(seen.values()) >= 4 * len(seen) and sum(len(x.split()) for x in seen) <= 10 * len(seen)
+    if again or (not kinds and _strange(others)):
+        return "filler", messages + [(s, "filler") for s in content_sentences]
+    return (max(sorted(kinds), key=kinds.get), messages) if kinds and bad >= good else ("", [])
 
 
 _SCHEMA = "doc_id long, part string, kind string, content string"
@@ -289,13 +278,12 @@ def residue_parts(documents: DataFrame) -> DataFrame:
     """
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = TemplateTree()
         for frame in frames:
             rows = [
                 (doc, part, kind, " ".join(content.split()))
                 for doc, text in zip(frame["doc_id"], frame["text"], strict=True)
                 for part, content in parts(text)
-                if (kind := residue_of(part, content, tree))
+                if (kind := residue_of(part, content)[0])
             ]
             yield pd.DataFrame(rows, columns=["doc_id", "part", "kind", "content"])
 

@@ -92,6 +92,15 @@ def test_residue(spark):
     assert residue_parts(docs.limit(0)).count() == 0 and mined_templates(docs).count() > 3
 
 
+def test_residue_beyond_first_words(spark):
+    bad = [
+        "This viewer requires JavaScript.", "This archive requires JavaScript.", "Service is temporarily unavailable.", "Full text is not available.", "Page is currently unavailable.", "A sample sentence goes here.",
+        r"\section{A} " + "Content to follow. " * 4, r"\section{A} " + "Sample sentence goes here. " * 30,
+    ]
+    docs = spark.createDataFrame(list(enumerate([*bad, PROSE * 200, PROSE])), "doc_id long, text string")
+    assert {r.doc_id for r in residue_parts(docs).collect()} == set(range(len(bad)))
+
+
 def test_parts():
     text = "\\title{A {B}}\\author{C}\\begin{document}\\begin{abstract}D\\end{abstract} E % no\n\\section{F} G \\iffalse H \\fi\\begin{thebibliography}{1}I\\end{thebibliography}"
     assert [(k, c.strip()) for k, c in parts(text)] == [("title", "A {B}"), ("author", "C"), ("abstract", "D"), ("body", "E"), ("section", "G")]
