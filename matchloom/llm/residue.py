@@ -222,9 +222,14 @@ def residue_of(kind: str, content: str) -> tuple[str, list[tuple[str, str]]]:
         text = re.sub(r"\\([_$#&%{}])", r"\1", text)
     field = kind in ("title", "author")
     if field:
-        whole = " ".join(re.sub(r"\\([_$#&%{}])", r"\1", content).split())
-        verdict = _judge(" ".join(_masked(whole))) if whole and (len(whole) < 160 or SLOT.fullmatch(whole.strip(" .,;:"))) else ""
-        return verdict, [(whole, verdict)] if verdict else []
+        whole = " ".join(text.split())
+        words = _TEXT_WORD.findall(_MARK.sub(" ", whole).lower())
+        verdict = _judge(" ".join(_masked(whole))) if whole else ""
+        if not verdict and _unfilled(_MARK.sub(" ", whole)):
+            verdict = "placeholder"
+        if not verdict and (dummy or (_filler(words) if kind == "title" else _repeated(words))):
+            verdict = "filler"
+        return verdict, [(whole or " ".join(dummy), verdict)] if verdict else []
     if "\\" in text:
         text = _MARK.sub(" ", text)
     bad, good, kinds, others, seen = 0, 0, {}, [], {}

@@ -101,6 +101,14 @@ def test_residue_beyond_first_words(spark):
     assert {r.doc_id for r in residue_parts(docs).collect()} == set(range(len(bad)))
 
 
+def test_residue_in_fields_of_any_length(spark):
+    slots = r" \and ".join(["[Your Name]"] * 40)
+    bad = [r"\title{Lorem ipsum dolor sit amet}", r"\author{[Your Name] \and [Your Name]}", r"\author{{{first}} {{last}}}", rf"\author{{{slots}}}", r"\title{" + "asdf jkl " * 30 + "}", r"\title{Insert the title here " + "and more of it " * 12 + "}"]
+    good = [r"\author{F. L. Nezon \and G. Bodi \and H. Kesat \and I. Luvil \and J. Domar \and K. Tiros \and L. Wemak}", r"\title{On the convergence of a sparse network to the coarse mesh of an operator that is bounded in the field of the previous section, and on what follows for the smooth schedule of it}"]
+    docs = spark.createDataFrame([(i, t + r" \begin{document} " + PROSE) for i, t in enumerate([*bad, *good])], "doc_id long, text string")
+    assert {r.doc_id for r in residue_parts(docs).collect()} == set(range(len(bad)))
+
+
 def test_parts():
     text = "\\title{A {B}}\\author{C}\\begin{document}\\begin{abstract}D\\end{abstract} E % no\n\\section{F} G \\iffalse H \\fi\\begin{thebibliography}{1}I\\end{thebibliography}"
     assert [(k, c.strip()) for k, c in parts(text)] == [("title", "A {B}"), ("author", "C"), ("abstract", "D"), ("body", "E"), ("section", "G")]
