@@ -297,10 +297,29 @@ def residue_parts(documents: DataFrame) -> DataFrame:
 
 
 def mined_templates(documents: DataFrame) -> DataFrame:
-    """``(template, kind, messages)``: the templates of the parts found, mined over all of them."""
-    found = residue_parts(documents).where("length(content) < 400").select("content", "kind")
-    masked = F.regexp_replace(F.lower("content"), r"\d+", "<*>")
-    return found.groupBy(masked.alias("template"), "kind").agg(F.count(F.lit(1)).alias("messages"))
+    """``(template, kind, messages)``: templates of the messages in the parts found, of any length, mined over all of them.
+
+    Equal messages are counted first, so that a leaf of the tree holds each wording once; a leaf is mined in a fixed
+    order, so the templates do not depend on how the documents are spread.
+    """
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(" ".join(_masked(s)), kind) for text in frame["text"] for part, content in parts(text) for s, kind in residue_of(part, content)[1]]
+            yield pd.DataFrame(rows, columns=["message", "kind"])
+
+    def mine(leaf: pd.DataFrame) -> pd.DataFrame:
+        tree = TemplateTree()
+        for message, kind, n in sorted(zip(leaf["message"], leaf["kind"], leaf["n"], strict=True), key=lambda x: (-x[2], x[0])):
+            tree.add(message.split(), kind, n)
+        return pd.DataFrame(tree.templates(), columns=["template", "kind", "messages"])
+
+    texts = spread(documents.where("doc_id is not null and text is not null").select("text"))
+    counted = texts.mapInPandas(scan, "message string, kind string").groupBy("message", "kind").agg(F.count(F.lit(1)).alias("n"))
+    words = F.split("message", " ")
+    leaves = counted.select("*", F.slice(words, 1, 2).alias("first"), F.size(words).alias("length")).groupBy("kind", "first", "length")
+    found = leaves.applyInPandas(mine, "template string, kind string, messages long")
+    return found.groupBy("template", "kind").agg(F.sum("messages").alias("messages"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

@@ -109,6 +109,13 @@ def test_residue_in_fields_of_any_length(spark):
     assert {r.doc_id for r in residue_parts(docs).collect()} == set(range(len(bad)))
 
 
+def test_templates_of_long_parts(spark):
+    docs = [(i, r"\section{A} " + "Sample sentence goes here. " * 30) for i in range(3)] + [(3, r"\section{A} Sample sentence goes here."), (4, "Error 404: page not found"), (5, "Error 503: page not found"), (6, PROSE)]
+    want = [("error <*>: page not found", "error", 2), ("sample sentence goes here.", "placeholder", 91)]
+    for cut in (1, 5):
+        assert sorted(map(tuple, mined_templates(spark.createDataFrame(docs, "doc_id long, text string").repartition(cut)).collect())) == want
+
+
 def test_parts():
     text = "\\title{A {B}}\\author{C}\\begin{document}\\begin{abstract}D\\end{abstract} E % no\n\\section{F} G \\iffalse H \\fi\\begin{thebibliography}{1}I\\end{thebibliography}"
     assert [(k, c.strip()) for k, c in parts(text)] == [("title", "A {B}"), ("author", "C"), ("abstract", "D"), ("body", "E"), ("section", "G")]
