@@ -324,6 +324,29 @@ def er_describe(spark, folder):
     return d.select("count", *[r6(c).alias(c) for c in ("mean", "std")], "min", *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "max")
 
 
+# The three profiles above and below read table a, as their SQL says; these give the same of table b.
+
+
+@query("select 'b' side, * from (" + " union all ".join(f"select '{c}' as \"column\", count_if({c} is null) nulls, round(count_if({c} is null)::double / count(*), 6) null_rate from tableb" for c in ("title", "manufacturer", "price")) + ")")
+def er_null_profile_b(spark, folder):
+    out = P.null_profile(table(spark, folder, "tableb"), ["title", "manufacturer", "price"])
+    return out.select(F.lit("b").alias("side"), "column", "nulls", r6("null_rate").alias("null_rate"))
+
+
+@query("select count(price) as count, round(avg(price), 6) mean, round(stddev_samp(price), 6) std, min(price) min, round(quantile_cont(price, 0.25), 6) q25, round(quantile_cont(price, 0.5), 6) q50, round(quantile_cont(price, 0.75), 6) q75, max(price) max from tableb where not isnan(price)")
+def er_describe_b(spark, folder):
+    d = P.describe(table(spark, folder, "tableb"), "price")
+    return d.select("count", *[r6(c).alias(c) for c in ("mean", "std")], "min", *[r6(c).alias(c) for c in ("q25", "q50", "q75")], "max")
+
+
+@query(
+    """with v as (select least(price, 500.0) v from tableb where price is not null and not isnan(price)), e as (select min(v) lo, (max(v) - min(v)) / 50 w from v), b as (select least(floor((v - lo) / w), 49)::int bin, lo, w from v, e)
+select bin, round(lo + bin * w, 6) low, count(*) n, round(count(*) / ((select count(*) from b) * w), 6) density from b group by bin, lo, w"""
+)
+def er_histogram_b(spark, folder):
+    return P.histogram(table(spark, folder, "tableb"), "price", 50, clip=500.0).select("bin", r6("low").alias("low"), "n", r6("density").alias("density"))
+
+
 @query("select median(length(title)) median_length from tableb")
 def er_median_length(spark, folder):
     return P.median_length(table(spark, folder, "tableb"), "title")
