@@ -17,6 +17,9 @@ from .features import FEATURE_NAMES
 #: Stands for a missing feature; the has_* features tell it from a value.
 MISSING = -1.0
 
+#: Trees beyond the patience that are grown at first; MLlib cannot go on with a model, so each increment doubles the last.
+FIRST = 30
+
 
 def to_vectors(features: DataFrame, names: tuple[str, ...] = FEATURE_NAMES) -> DataFrame:
     """``features`` with a ``features`` vector and the label as ``y``."""
@@ -25,12 +28,12 @@ def to_vectors(features: DataFrame, names: tuple[str, ...] = FEATURE_NAMES) -> D
     return out.withColumn("y", F.col("label").cast("double"))
 
 
-def train_model(train: DataFrame, valid: DataFrame, rounds: int = 60, patience: int = 50, rate: float = 0.05, depth: int = 5, seed: int = 42, weight: float | None = None) -> GBTClassificationModel:
+def train_model(train: DataFrame, valid: DataFrame, rounds: int = 1000, patience: int = 50, rate: float = 0.05, depth: int = 5, seed: int = 42, weight: float | None = None) -> GBTClassificationModel:
     """Boosted trees on ``features``/``y`` with early stopping.
 
     Positives weigh ``weight``, by default the number of negatives per positive; without positives ``ValueError``.
-    Trees are grown once to ``rounds``; the loss on ``valid`` after each tree gives the best number of trees within
-    ``patience``, and the model is cut there - a shorter run with the same seed is a prefix of a longer one.
+    Trees are grown in increments until the loss on ``valid`` has not improved for ``patience`` trees or there are
+    ``rounds``, and the model is cut at its best tree - a shorter run with the same seed is a prefix of a longer one.
     """
     if weight is None:
         weight = class_weight(train).head().weight
@@ -43,17 +46,26 @@ def train_model(train: DataFrame, valid: DataFrame, rounds: int = 60, patience:
             featuresCol="features", labelCol="y", weightCol="w", maxIter=n, stepSize=rate, maxDepth=depth, maxBins=255, minInstancesPerNode=20, seed=seed, featureSubsetStrategy="all"
         ).fit(weighted)
 
-    model = grow(rounds)
-    losses = model.evaluateEachIteration(valid.withColumn("w", F.lit(1.0)))
-    best, stale = 0, 0
+    held = valid.withColumn("w", F.lit(1.0))
+    size = min(rounds, patience + FIRST)
+    while True:
+        model = grow(size)
+        losses = model.evaluateEachIteration(held)
+        best, stopped = best_round(losses, patience)
+        if stopped or size == rounds:
+            return model if best == len(losses) - 1 else grow(best + 1)
+        size = min(rounds, 2 * size)
+
+
+def best_round(losses: list[float], patience: int) -> tuple[int, bool]:
+    """Index of the least loss before ``patience`` rounds without a lower one, and whether these were reached."""
+    best = 0
     for i, loss in enumerate(losses):
         if loss < losses[best]:
-            best, stale = i, 0
-        else:
-            stale += 1
-            if stale >= patience:
-                break
-    return model if best == len(losses) - 1 else grow(best + 1)
+            best = i
+        elif i - best >= patience:
+            return best, True
+    return best, False
 
 
 @dataclass

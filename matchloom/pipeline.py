@@ -46,7 +46,7 @@ def run_features(spark: SparkSession, data: dict[str, DataFrame], config: Config
 
 def run_train(features: dict[str, DataFrame], config: Config) -> GBTClassificationModel:
     p = config.model.params
-    model = train_model(to_vectors(features["train"]), to_vectors(features["valid"]), rounds=int(p.get("n_estimators", 60)), patience=config.model.early_stopping_rounds, rate=float(p.get("learning_rate", 0.05)), seed=config.pipeline.random_seed, weight=p.get("scale_pos_weight"))
+    model = train_model(to_vectors(features["train"]), to_vectors(features["valid"]), rounds=int(p.get("n_estimators", 1000)), patience=config.model.early_stopping_rounds, rate=float(p.get("learning_rate", 0.05)), seed=config.pipeline.random_seed, weight=p.get("scale_pos_weight"))
     model.write().overwrite().save(f"{config.pipeline.artifacts_dir}/model")
     return model
 

@@ -396,7 +396,7 @@ def er_gbt_scores(spark, folder):
     from ..operators.model import calibrate, to_vectors, train_model
 
     parts = {s: to_vectors(stored(_features(spark, folder, s).where("label is not null"))) for s in ("train", "valid", "test")}
-    model = train_model(parts["train"], parts["valid"], rounds=20, patience=10)
+    model = train_model(parts["train"], parts["valid"], rounds=1000, patience=50)
     calibrated, threshold = calibrate(model, parts["valid"])
     out = calibrated.predict_proba(parts["test"])
     return out.select("pair_id", "label", "raw", "probability", (F.col("probability") >= threshold).cast("int").alias("pred"))

@@ -54,3 +54,29 @@ def test_importance_and_baseline(spark):
     model = train_model(to_vectors(df), to_vectors(df), rounds=2)
     assert feature_importance(model, spark).count() == 20
     assert evaluate_naive_baseline(df, df)["f1"] == 1.0
+
+
+def test_trees_grow_until_patience_ends(spark, monkeypatch):
+    from matchloom.operators import model as M
+
+    assert M.best_round([3.0, 2.0, 2.5, 2.4, 1.0], 2) == (1, True) and M.best_round([3.0, 2.0, 2.5], 2) == (1, False)
+    monkeypatch.setattr(M, "FIRST", 1)
+    df = to_vectors(frame(spark, [0, 1] * 40))
+    assert train_model(df, df, rounds=7, patience=2).getNumTrees == 7
+
+
+def test_scores_train_to_the_reference_limits(spark, monkeypatch):
+    import matchloom.operators.model as M
+    from matchloom.plans import queries as Q
+
+    seen = {}
+
+    def train(*_, **limits):
+        seen.update(limits)
+        raise InterruptedError
+
+    monkeypatch.setattr(M, "train_model", train)
+    monkeypatch.setattr(Q, "_features", lambda *_: frame(spark, [0, 1]))
+    with pytest.raises(InterruptedError):
+        Q.er_gbt_scores(spark, "")
+    assert seen == {"rounds": 1000, "patience": 50}
