@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -69,6 +70,26 @@ def dropped(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def parallel(spark: SparkSession) -> int:
+    """Partitions for work that the size in bytes understates: as many as there are cores, or more where the session shuffles into more."""
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", rows: int = 200_000) -> DataFrame:
+    """Equi-join of ``large``, one key of which may hold any share of all rows, with ``small``, which has few rows for any key.
+
+    The most frequent key is counted first; where it has more than ``rows`` rows, its rows go to that many more tasks
+    and the rows of ``small`` with them.  Both should be tables that are cheap to read again.
+    """
+    most = large.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).head().n or 0
+    salts = -(-most // rows)
+    if salts < 2:
+        return large.join(small, on, how)
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan over at least as many partitions as there are cores, for work per row that outweighs moving the row.
 
