@@ -9,14 +9,7 @@ from pyspark.sql import functions as F
 from ..runtime import stored
 from .listings import both_tables, read_listings
 from .listing_text import near
-from .resolve import SALTS, vertex
-
-
-def salted_join(large: DataFrame, small: DataFrame, on: list[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join in which the rows of one key of ``large`` spread over ``salts`` tasks; ``small`` holds few rows for any key."""
-    left = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+from .resolve import vertex
 
 
 def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:

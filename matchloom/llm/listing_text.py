@@ -139,6 +139,27 @@ def shortened(word: str, most: int) -> set[str]:
     return forms
 
 
+#: Words of this length on are compared over their ends; shorter ones, and those up to two letters longer, as a whole.
+ENDS = 12
+
+
+def spelling_forms(word: str) -> set[str]:
+    """Forms of which two words share one if they are within their slips (see ``slips``) of each other.
+
+    A short word gives itself with up to two letters left out.  Of two slips in a long one, at most one lies in one of
+    its ends, so each end with one letter left out will do, and the number of forms does not depend on the length.
+    """
+    forms = shortened(word, slips(word)) if len(word) < ENDS + 2 else set()
+    if len(word) >= ENDS:
+        forms |= {"<" + x for x in shortened(word[: ENDS // 2], 1)} | {x + ">" for x in shortened(word[-ENDS // 2 :], 1)}
+    return forms
+
+
+def slips(word: str) -> int:
+    """Slips of the pen that a name of this length may hold."""
+    return 0 if len(word) < 5 else 1 if len(word) < 7 else 2
+
+
 def _index(words: set[str]) -> dict[str, tuple[str, ...]]:
     out: dict[str, list[str]] = {}
     for w in sorted(words):
@@ -150,6 +171,7 @@ def _index(words: set[str]) -> dict[str, tuple[str, ...]]:
 
 _KNOWN = GENERIC_WORDS | set(EDITIONS) | set(COLOURS)
 _FORMS = _index(set(_KNOWN))
+_LONGEST = max(map(len, _KNOWN)) + 2
 
 
 @lru_cache(maxsize=1 << 16)
@@ -157,7 +179,7 @@ def generic(word: str) -> str | None:
     """The known title word that this is, allowing one slip of the pen in words of five letters or more, two from eight on."""
     if word in _KNOWN:
         return word
-    if len(word) < 5 or not word.isalpha():
+    if len(word) < 5 or len(word) > _LONGEST or not word.isalpha():
         return None
     most = 1 if len(word) < 8 else 2
     met = {w for form in shortened(word, most) for w in _FORMS.get(form, ())}

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread, stored
-from .listing_text import category_words, is_missing, near, parse, plain, shortened, squeezed
+from ..runtime import parallel, spread, stored
+from .listing_text import category_words, is_missing, near, parse, plain, spelling_forms, squeezed
 from .listing_text import _WORD as WORD
 
 FACTS = ("version", "edition", "size", "colour", "pack")
@@ -62,8 +62,10 @@ def with_names(read: DataFrame, words: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     rest = F.coalesce("rest", empty)
     joined = F.when(F.size(rest) > 1, F.transform(F.sequence(F.lit(1), F.size(rest) - 1), lambda i: F.concat(F.get(rest, i - 1), F.get(rest, i)))).otherwise(empty)
-    alone = F.filter(rest, lambda w: F.length(w) >= 5)
-    return read.join(parts, ["side", "id"], "left").select(*[c for c in read.columns if c not in ("words", "broken")], F.array_distinct(F.concat(alone, joined, F.col("broken"))).alias("names"), F.coalesce("makers", empty).alias("makers"))
+    # words of two or three letters are mostly pieces of a broken name, which stands among the joined ones then
+    long, paired = F.filter(rest, lambda w: F.length(w) >= 4), F.concat(joined, F.col("broken"))
+    alone = F.when((F.size(long) == 0) & (F.size(paired) == 0), rest).otherwise(long)
+    return read.join(parts, ["side", "id"], "left").select(*[c for c in read.columns if c not in ("words", "broken")], F.array_distinct(F.concat(alone, paired)).alias("names"), F.coalesce("makers", empty).alias("makers"))
 
 
 def prepare(tablea: DataFrame, tableb: DataFrame, makers: DataFrame) -> DataFrame:
@@ -72,11 +74,6 @@ def prepare(tablea: DataFrame, tableb: DataFrame, makers: DataFrame) -> DataFram
     return with_names(stored(read_listings(listings)), maker_words(listings, makers))
 
 
-def slips(word: str) -> int:
-    """Slips of the pen that a name of this length may hold."""
-    return 0 if len(word) < 5 else 1 if len(word) < 7 else 2
-
-
 def spelling_keys(names: DataFrame) -> DataFrame:
     """``names(facts, name)`` with one row per shortened form, hashed with the facts to ``key``."""
 
@@ -84,10 +81,12 @@ def spelling_keys(names: DataFrame) -> DataFrame:
         for frame in frames:
             for at in range(0, len(frame), 2000):
                 part = frame.iloc[at : at + 2000]
-                rows = [(f, n, k) for f, n in zip(part["facts"], part["name"], strict=True) for k in shortened(n, slips(n))]
+                rows = [(f, n, k) for f, n in zip(part["facts"], part["name"], strict=True) for k in spelling_forms(n)]
                 yield pd.DataFrame(rows, columns=["facts", "name", "form"])
 
-    return names.select("facts", "name").mapInPandas(expand, "facts string, name string, form string").select("facts", "name", F.xxhash64("facts", "form").alias("key"))
+    # the names are few bytes and much work, so their partitions must not be put together by size
+    cut = names.select("facts", "name").repartition(parallel(names.sparkSession), "facts", "name")
+    return cut.mapInPandas(expand, "facts string, name string, form string").select("facts", "name", F.xxhash64("facts", "form").alias("key"))
 
 
 def near_names(names: DataFrame) -> DataFrame:
