@@ -1,4 +1,9 @@
-"""Template residue, filler, error pages and script notices: every message judged, templates mined with a fixed-depth prefix tree."""
+"""Template residue, filler, error pages and script notices.
+
+Every message of the corpus - a sentence, a title, a list of authors - goes through a fixed-depth prefix tree, the templates
+that come out are classified once, and the verdicts are joined back to the parts of the documents that hold the messages.
+Slots left open and filler, which have no wording of their own, are found apart from that inside each record.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,11 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import parallel, spread, stored
 from .document_parts import parts
 
 # Names of the fields that templates ask for.
@@ -136,6 +142,7 @@ _MARK = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|caption|footno
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|\n\s*\n|\n")
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"[0-9a-f]*\d[0-9a-f]*|\d+", re.I)
+_ESCAPED = re.compile(r"\\([_$#&%{}])")
 _TEXT_WORD = re.compile(r"[^\W\d_]+")
 _FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blindmathpaper|blinddocument)\b(?:\[[^\]]*\])?")
 
@@ -147,42 +154,80 @@ def _judge(template: str) -> str:
     return next((k for k, p in _KINDS if p.match(template)), "")
 
 
-def _masked(message: str) -> list[str]:
-    """The message's words in lower case, digits as wildcards."""
-    if _DIGIT.search(message) is None:
-        return message.lower().split()
-    return [("<*>" if w.isdigit() else _DIGITS.sub("<*>", w)) if any(c.isdigit() for c in w) else w for w in message.lower().split()]
+def masked(message: str) -> str:
+    """The message in lower case with single spaces, digits as wildcards."""
+    t = " ".join(message.lower().split())
+    return _DIGITS.sub(WILD, t) if _DIGIT.search(t) else t
 
 
-class TemplateTree:
-    """Messages by their first words, then by length, then by similarity to the templates met there.
+#: Stands for a word that varies.
+WILD = "<*>"
+#: Words from which on a leaf of the tree branches no further.
+DEPTH = 4
+#: A wording that stands alone in sections of this many papers of different titles is a template, whatever it says.
+REPEATED = 5
 
-    The depth is fixed.  A message joins the most similar template of its leaf if at least ``alike`` of the words agree
-    and both have the same kind, and words that differ become wildcards.
-    """
 
-    def __init__(self, alike: float = 0.7):
-        self.alike, self.leaves = alike, {}
+class Leaf:
+    """Templates of the messages that agree in their first words and their length.
 
-    def add(self, words: list[str], kind: str, messages: int = 1) -> None:
-        leaf = self.leaves.setdefault((*words[:2], len(words), kind), [])
-        best, most = None, -1.0
-        for t in leaf:
-            same = sum(a == b for a, b in zip(t[0], words, strict=True)) / max(1, len(words))
-            if same > most:
-                best, most = t, same
-                if same == 1.0:
-                    break
-        if best is None or most < self.alike:
-            best = [words, 0]
-            leaf.append(best)
-        elif most < 1.0:
-            best[0] = [a if a == b else "<*>" for a, b in zip(best[0], words, strict=True)]
-        best[1] += messages
+    A message joins the template that agrees with it in most words, if these are at least ``alike`` of all; words that
+    differ become wildcards.  Templates are looked up over groups of positions: with one group more than words may
+    differ, one group agrees in full, so a leaf with many messages need not compare each with each.
+    """
 
-    def templates(self) -> list[tuple[str, str, int]]:
-        """``(template, kind, messages)`` of all leaves."""
-        return [(" ".join(words), key[-1], n) for key, leaf in self.leaves.items() for words, n in leaf]
+    def __init__(self, length: int, alike: float = 0.7):
+        self.length, self.differ = length, int(length * (1 - alike) + 1e-9)
+        self.templates: list[list] = []  # words, members
+        self.by: dict[tuple, set[int]] = {}
+
+    def _groups(self, words: list[str]) -> list[tuple]:
+        free, k = self.length - DEPTH, self.differ + 1
+        if free < k:
+            return [(0,)]
+        return [(g, *words[DEPTH + g * free // k : DEPTH + (g + 1) * free // k]) for g in range(k)]
+
+    def add(self, words: list[str], member: tuple) -> None:
+        groups = self._groups(words)
+        best, most = None, self.length - self.differ - 1
+        for k in sorted(set().union(*(self.by.get(g, ()) for g in groups))):
+            same = sum(map(str.__eq__, self.templates[k][0], words))
+            if same > most:
+                best, most = k, same
+        if best is None:
+            best = len(self.templates)
+            self.templates.append([words, [member]])
+        else:
+            t = self.templates[best]
+            t[1].append(member)
+            if most == self.length:
+                return
+            for g in self._groups(t[0]):
+                self.by[g].discard(best)
+            t[0] = [a if a == b else WILD for a, b in zip(t[0], words, strict=True)]
+            groups = self._groups(t[0])
+        for g in groups:
+            self.by.setdefault(g, set()).add(best)
+
+
+def classify(words: list[str], members: list[tuple]) -> str:
+    """Kind of a template, or ``""``: by the wording that it, or its most frequent message, begins with, or by where it stands.
+
+    ``members`` are ``(message, own, n, alone, titles)``.  A template of three fixed words or more, half of it fixed, that
+    makes up a whole section nearly wherever it occurs, in papers of ``REPEATED`` different titles, is a placeholder:
+    content that stands alone is not worded alike in different papers, and copies of one paper have one title.
+    """
+    kind = _judge(" ".join(words)) or _judge(members[0][0])
+    if kind:
+        return kind
+    fixed = [w for w in words if WILD not in w and _TEXT_WORD.search(w) and w[0] not in "\\{$"]
+    if len(fixed) < 3 or 2 * len(fixed) < len(words):
+        return ""
+    titles = 0
+    for m in members:
+        titles |= m[4]
+    alone, n = sum(m[3] for m in members), sum(m[2] for m in members)
+    return "placeholder" if (titles & (1 << 64) - 1).bit_count() >= REPEATED and 10 * alone >= 9 * n else ""
 
 
 def _filler(words: list[str]) -> bool:
@@ -206,11 +251,12 @@ def _unfilled(text: str) -> bool:
     return _SLOT_SIGN.search(text) is not None and SLOT.search(text) is not None and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
 
 
-def residue_of(kind: str, content: str) -> tuple[str, list[tuple[str, str]]]:
-    """What a part of a document is instead of content, or ``""`` if more than half of its words are content, and its messages.
+def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
+    """``(message, own, times, words)`` of a part: its different messages, masked; what each is found to be without its wording; how often it stands there and its words in all.
 
-    Messages are the sentences of the part that are residue, each with its own kind.  A title or a list of authors is one
-    message.  Names are in no language, so of filler only repetition and its known wording count among authors.
+    A title or a list of authors is one message.  ``own`` is placeholder for a slot with hardly a word beside it, filler
+    for words in no language and for repetition, else ``""``.  Names are in no language, so only repetition counts among
+    authors.  Formulas and quoted wording are masked.
     """
     dummy = _FILLER_COMMAND.findall(content) if "\\" in content else []
     text = content
@@ -219,107 +265,135 @@ def residue_of(kind: str, content: str) -> tuple[str, list[tuple[str, str]]]:
         text = _QUOTED.sub(" quoted ", text)
         if not (_SLOT_SIGN.search(text) and SLOT.search(text)):
             text = _MATH.sub(" formula ", text)
-        text = re.sub(r"\\([_$#&%{}])", r"\1", text)
-    field = kind in ("title", "author")
-    if field:
+        text = _ESCAPED.sub(r"\1", text)
+    if kind in ("title", "author"):
         whole = " ".join(text.split())
-        words = _TEXT_WORD.findall(_MARK.sub(" ", whole).lower())
-        verdict = _judge(" ".join(_masked(whole))) if whole else ""
-        if not verdict and _unfilled(_MARK.sub(" ", whole)):
-            verdict = "placeholder"
-        if not verdict and (dummy or (_filler(words) if kind == "title" else _repeated(words))):
-            verdict = "filler"
-        return verdict, [(whole or " ".join(dummy), verdict)] if verdict else []
+        bare = _MARK.sub(" ", whole)
+        words = _TEXT_WORD.findall(bare.lower())
+        own = "placeholder" if _unfilled(bare) else "filler" if dummy or (_filler(words) if kind == "title" else _repeated(words)) else ""
+        return [(masked(whole or " ".join(dummy)), own, 1, 1)] if whole or dummy else []
     if "\\" in text:
         text = _MARK.sub(" ", text)
-    bad, good, kinds, others, seen = 0, 0, {}, [], {}
-    messages = [(command, "filler") for command in dummy]
-    content_sentences = []
     lower = text.lower()
     chrome = any(sign in lower for sign in _CHROME_SIGNS)
+    found: dict[str, list] = {}
+    others: list[str] = []
     for sentence in _SENTENCE.split(text):
         s = " ".join(sentence.split())
         if not s:
             continue
         if chrome and len(s) < 200 and _CHROME.search(s):
             s = " ".join(_CHROME.sub(" ", s).split())
-            if not any(c.isalnum() for c in s):
+            if not any(map(str.isalnum, s)):
                 continue
         words = _TEXT_WORD.findall(s.lower())
-        masked = _masked(s)
-        n = max(1, len(masked) if _DIGIT.search(s) is None else sum(not any(c.isdigit() for c in w) for w in s.split()))
-        seen[s] = seen.get(s, 0) + 1
-        verdict = _judge(" ".join(masked))
-        if not verdict and _unfilled(s):
-            verdict = "placeholder"
-        if not verdict and _filler(words):
-            verdict = "filler"
-        if verdict:
-            bad += n
-            kinds[verdict] = kinds.get(verdict, 0) + n
-            messages.append((s, verdict))
-        else:
-            good += n
+        own = "placeholder" if _unfilled(s) else "filler" if _filler(words) else ""
+        if not own:
             others += words
-            content_sentences.append(s)
-    if dummy:
-        bad += 20 * len(dummy)
-        kinds["filler"] = kinds.get("filler", 0) + 20 * len(dummy)
+        message = masked(s)
+        size = sum(WILD not in w for w in message.split(" ")) if WILD in message else message.count(" ") + 1
+        row = found.setdefault(message, [own, 0, 0])
+        row[1] += 1
+        row[2] += max(1, size)
     # a long text has few different words for its length, so those of all sentences together are not held to be repeated
-    again = seen and len(seen) < 3 and sum(seen.values()) >= 4 * len(seen) and sum(len(x.split()) for x in seen) <= 10 * len(seen)
-    if again or (not kinds and _strange(others)):
-        return "filler", messages + [(s, "filler") for s in content_sentences]
-    return (max(sorted(kinds), key=kinds.get), messages) if kinds and bad >= good else ("", [])
+    times = sum(r[1] for r in found.values())
+    again = found and len(found) < 3 and times >= 4 * len(found) and sum(len(m.split()) for m in found) <= 10 * len(found)
+    if again or _strange(others):
+        for row in found.values():
+            row[0] = row[0] or "filler"
+    return [(m, *row) for m, row in found.items()] + [(masked(command), "filler", 1, 20) for command in dummy]
 
 
-_SCHEMA = "doc_id long, part string, kind string, content string"
+_READ = "row long, doc_id long, at int, part string, message string, own string, times int, words int, all int, title long"
 
 
-def residue_parts(documents: DataFrame) -> DataFrame:
-    """``(doc_id, part, kind, content)`` for every part of a document that is residue; kind placeholder, filler, error or script.
-
-    Comments, disabled drafts and missing includes are no parts, and quoted wording counts as content, so texts that
-    write about residue stay.  Null and empty texts have no parts.  Copies are judged each, in any order alike.
-    """
+def read_messages(documents: DataFrame) -> DataFrame:
+    """One row for every different message of every part: document, number and kind of the part, message, times, words, those of the part, and a hash of the paper's title."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [
-                (doc, part, kind, " ".join(content.split()))
-                for doc, text in zip(frame["doc_id"], frame["text"], strict=True)
-                for part, content in parts(text)
-                if (kind := residue_of(part, content)[0])
-            ]
-            yield pd.DataFrame(rows, columns=["doc_id", "part", "kind", "content"])
+            rows = []
+            for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
+                cut = parts(text)
+                title = next((xxhash.xxh64_intdigest(" ".join(c.lower().split())) >> 1 for k, c in cut if k == "title"), None)
+                for at, (kind, content) in enumerate(cut):
+                    found = messages_of(kind, content)
+                    total = sum(m[3] for m in found)
+                    rows += [(row, doc, at, kind, *m, total, title) for m in found]
+            out = pd.DataFrame([r[:-1] for r in rows], columns=[c.split()[0] for c in _READ.split(", ")[:-1]])
+            yield out.assign(title=pd.array([r[-1] for r in rows], "Int64"))
 
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    return texts.mapInPandas(scan, _SCHEMA)
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(scan, _READ)
 
 
-def mined_templates(documents: DataFrame) -> DataFrame:
-    """``(template, kind, messages)``: templates of the messages in the parts found, of any length, mined over all of them.
+def _key(c: str = "message") -> list[Column]:
+    """96 bits that stand for a message in a join."""
+    return [F.xxhash64(c).alias("k1"), F.hash(c).alias("k2")]
+
 
-    Equal messages are counted first, so that a leaf of the tree holds each wording once; a leaf is mined in a fixed
-    order, so the templates do not depend on how the documents are spread.
+def judged_messages(read: DataFrame) -> DataFrame:
+    """``(message, template, kind)`` for the messages whose template, or own content, is residue: the tree over all messages of ``read``.
+
+    Equal messages are counted first, so that a hot one is one row.  A leaf of the tree is read as a whole, its frequent messages
+    first and equally frequent ones in alphabetical order, so the templates depend neither on order nor on partitions.
     """
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, leaf = None, None
+
+        def ended() -> list[tuple]:
+            out = []
+            for words, members in leaf.templates if leaf else ():
+                kind, template = classify(words, members), " ".join(words)
+                out += [(m[0], template, kind or m[1]) for m in members if kind or m[1]]
+            return out
+
         for frame in frames:
-            rows = [(" ".join(_masked(s)), kind) for text in frame["text"] for part, content in parts(text) for s, kind in residue_of(part, content)[1]]
-            yield pd.DataFrame(rows, columns=["message", "kind"])
-
-    def mine(leaf: pd.DataFrame) -> pd.DataFrame:
-        tree = TemplateTree()
-        for message, kind, n in sorted(zip(leaf["message"], leaf["kind"], leaf["n"], strict=True), key=lambda x: (-x[2], x[0])):
-            tree.add(message.split(), kind, n)
-        return pd.DataFrame(tree.templates(), columns=["template", "kind", "messages"])
-
-    texts = spread(documents.where("doc_id is not null and text is not null").select("text"))
-    counted = texts.mapInPandas(scan, "message string, kind string").groupBy("message", "kind").agg(F.count(F.lit(1)).alias("n"))
-    words = F.split("message", " ")
-    leaves = counted.select("*", F.slice(words, 1, 2).alias("first"), F.size(words).alias("length")).groupBy("kind", "first", "length")
-    found = leaves.applyInPandas(mine, "template string, kind string, messages long")
-    return found.groupBy("template", "kind").agg(F.sum("messages").alias("messages"))
+            rows = []
+            for m in zip(*(frame[c].tolist() for c in ("message", "own", "n", "alone", "titles")), strict=True):
+                words = m[0].split(" ")
+                own = (words[:DEPTH], len(words))
+                if own != key:
+                    rows += ended()
+                    key, leaf = own, Leaf(len(words))
+                leaf.add(words, m)
+            yield pd.DataFrame(rows, columns=["message", "template", "kind"])
+        yield pd.DataFrame(ended(), columns=["message", "template", "kind"])
+
+    alone = (F.col("words") >= 0.9 * F.col("all")) & ~F.col("part").isin("title", "author")
+    paper = F.when(alone & F.col("title").isNotNull(), F.expr("shiftleft(1L, cast(pmod(title, 64) as int))"))
+    counted = read.groupBy("message").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n"), F.count_if(alone).alias("alone"), F.coalesce(F.bit_or(paper), F.lit(0)).alias("titles"))
+    split = F.split("message", " ")
+    placed = counted.withColumn("leaf", F.struct(F.slice(split, 1, DEPTH).alias("first"), F.size(split).alias("length")))
+    sorted_ = placed.repartition(parallel(read.sparkSession), "leaf").sortWithinPartitions("leaf", F.desc("n"), "message")
+    return sorted_.drop("leaf").mapInPandas(mine, "message string, template string, kind string")
+
+
+def _hits(documents: DataFrame) -> DataFrame:
+    """Messages that are residue, in the parts that are: row, doc_id, at, part, template, kind, times, words."""
+    read = stored(read_messages(documents))
+    verdicts = stored(judged_messages(read))
+    keyed = verdicts.select(*_key(), "template", "kind")
+    hits = read.select("row", "doc_id", "at", "part", *_key(), "times", "words", "all").join(keyed, ["k1", "k2"]).drop("k1", "k2")
+    bad = F.sum("words").over(Window.partitionBy("row", "at"))  # a part's messages are one document's, hence few
+    return hits.withColumn("bad", bad).where("2 * bad >= all").drop("bad", "all")
+
+
+def residue_parts(documents: DataFrame) -> DataFrame:
+    """``(doc_id, part, kind)`` for every part of a document that is residue; kind placeholder, filler, error or script.
+
+    A part is residue if half of its words are messages whose template is; its kind is that of most of these words.
+    Comments, disabled drafts and missing includes are no parts, and quoted wording counts as content, so texts that
+    write about residue stay.  Null and empty texts have no parts.  Copies are judged each, in any order alike.
+    """
+    by = _hits(documents).groupBy("row", "doc_id", "at", "part", "kind").agg(F.sum("words").alias("n"))
+    return by.groupBy("row", "doc_id", "at", "part").agg(F.max_by("kind", F.struct("n", "kind")).alias("kind")).select("doc_id", "part", "kind")
+
+
+def mined_templates(documents: DataFrame) -> DataFrame:
+    """``(template, kind, messages)``: templates of the messages in the parts found, of any length, as the tree over all messages has them."""
+    return _hits(documents).groupBy("template", "kind").agg(F.sum("times").alias("messages"))
 
 
 def without_residue(documents: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from matchloom.llm.document_parts import parts
 from matchloom.llm.leakage import WORD, ItemIndex, Settings, carried, leaked_items, readable
 from matchloom.llm.mixing import _copies, balanced_rates, mixture, reached_shares, token_sizes
-from matchloom.llm.residue import mined_templates, residue_parts, without_residue
+from matchloom.llm.residue import Leaf, mined_templates, residue_parts, without_residue
 
 ITEM = "Dr. Luvilol measured 79 volts across the luminous canyon and noted that the archive cools it by a third. Suppose an amber causeway doubles the archive; how many prisms remain if 572 are coiled?"
 OTHER = "Dr. Kesat measured 12 volts across the folded rudder and noted that the valve heats it by a third. Suppose a tidal sluice mirrors the anvil; how many kilns remain if 31 are woven?"
@@ -116,6 +116,40 @@ def test_templates_of_long_parts(spark):
         assert sorted(map(tuple, mined_templates(spark.createDataFrame(docs, "doc_id long, text string").repartition(cut)).collect())) == want
 
 
+def test_repeated_wordings(spark):
+    """What stands alone in sections of papers of different titles is a template, also where it varies; copies of one paper show nothing."""
+    themes = "one two three four five six seven".split()
+    paper = lambda title, section: rf"\title{{{title} of a sparse network}} \begin{{document}} {PROSE} \section{{A}} {section} \section{{B}} {PROSE} {title}"
+    docs = [(i, paper(t, f"Kindly let the coordinator know how the {t} was done.")) for i, t in enumerate(themes)]
+    docs += [(20 + i, paper("same", "The sparse network converges on the mesh of its operator.")) for i in range(9)]
+    docs += [(40 + i, paper(t, f"The {t} network converges on the coarse mesh of its operator. {PROSE}")) for i, t in enumerate(themes)]
+    docs += [(60, "Access denied to all of our users in here. You do not have permission."), (61, PROSE + "Access granted to some of our users in here. Access granted to none of our users in here.")]
+    got = []
+    for cut, seed in ((1, 1), (3, 2), (7, 3)):
+        df = spark.createDataFrame(random.Random(seed).sample(docs, len(docs)), "doc_id long, text string").repartition(cut)
+        got.append((sorted({r.doc_id for r in residue_parts(df).collect()}), sorted(map(tuple, mined_templates(df).collect()))))
+    assert got[0] == got[1] == got[2] and got[0][0] == [*range(7), 60]
+    assert ("kindly let the coordinator know how the <*> was done.", "placeholder", 7) in got[0][1]
+
+
+def test_leaf_finds_most_alike():
+    r = random.Random(6)
+    messages = [["a", "b", "c", "d", *(r.choice("xyz") for _ in range(9))] for _ in range(300)]
+    leaf, plain = Leaf(13), []
+    for m in messages:
+        leaf.add(m, (" ".join(m),))
+        best, most = None, -1
+        for t in plain:
+            same = sum(a == b for a, b in zip(t, m, strict=True))
+            if same > most:
+                best, most = t, same
+        if best is None or most < 13 - leaf.differ:
+            plain.append(list(m))
+        else:
+            best[:] = [a if a == b else "<*>" for a, b in zip(best, m, strict=True)]
+    assert [t[0] for t in leaf.templates] == plain and sum(len(t[1]) for t in leaf.templates) == 300
+
+
 def test_parts():
     text = "\\title{A {B}}\\author{C}\\begin{document}\\begin{abstract}D\\end{abstract} E % no\n\\section{F} G \\iffalse H \\fi\\begin{thebibliography}{1}I\\end{thebibliography}"
     assert [(k, c.strip()) for k, c in parts(text)] == [("title", "A {B}"), ("author", "C"), ("abstract", "D"), ("body", "E"), ("section", "G")]
