@@ -12,7 +12,7 @@ from .canonical import typed_makers
 from .components import link_groups
 from .cosine import split_overlaps
 from .leakage import leaked_items
-from .linkage import across, match
+from .linkage import across, match, matched_groups
 from .listings import both_tables, prepare
 from .mixing import mixture, reached_shares
 from .residue import mined_templates, residue_parts, without_residue
@@ -74,10 +74,12 @@ def p4_groups(spark: SparkSession, folder: str) -> DataFrame:
     return resolve(_listings(spark, folder))
 
 
+def _match(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return match(_listings(spark, folder), both_tables(table(spark, folder, "tablea"), table(spark, folder, "tableb")))
+
+
 def _matches(spark: SparkSession, folder: str) -> DataFrame:
-    listings = both_tables(table(spark, folder, "tablea"), table(spark, folder, "tableb"))
-    scored, members = match(_listings(spark, folder), listings)
-    return across(members, scored)
+    return across(*_match(spark, folder))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,6 +92,12 @@ def p5_confidence(spark: SparkSession, folder: str) -> DataFrame:
     return _matches(spark, folder)
 
 
+def p5_groups(spark: SparkSession, folder: str) -> DataFrame:
+    """Every listing with the group that the matches put it in."""
+    _, members, groups = _match(spark, folder)
+    return matched_groups(members, groups)
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that carry an evaluation item, whole or in part."""
     return leaked_items(table(spark, folder, "documents"), table(spark, folder, "bench_items")).select("doc_id", "item_id")
@@ -127,7 +135,7 @@ def p8_kept(spark: SparkSession, folder: str) -> DataFrame:
     return without_residue(table(spark, folder, "documents"))
 
 
-_ALL = (p1_found, p1_report, p2_found, p2_unmatched, p3_found, p4_found, p4_groups, p5_found, p5_confidence, p6_found, p6_leaked, p7_mixture, p7_shares, p8_found, p8_templates, p8_kept)
+_ALL = (p1_found, p1_report, p2_found, p2_unmatched, p3_found, p4_found, p4_groups, p5_found, p5_confidence, p5_groups, p6_found, p6_leaked, p7_mixture, p7_shares, p8_found, p8_templates, p8_kept)
 QUERIES: dict[str, Query] = {f.__name__: f for f in _ALL}
 
 #: Groups by walking the links from every record; SQL has no cheaper way, so it suits small tables only.
