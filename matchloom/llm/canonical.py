@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import parallel, ship
 from .listing_text import _INVISIBLE, is_missing, near, plain
 
 # Words around a company's name that are not part of it.
@@ -174,6 +174,8 @@ class Names:
         if not name:
             return []
         if name not in self.seen:
+            if len(self.seen) >= SEEN:
+                self.seen.clear()
             self.seen[name] = self.tree.within(name, allowed(name))
         out = []
         for d, _, refs in self.seen[name]:
@@ -193,6 +195,10 @@ def best(candidates: list[tuple[int, int, int]]) -> tuple[int, int] | None:
     return (top[0][2], top[0][0]) if len({c[2] for c in top}) == 1 else None
 
 
+#: Names whose search a task keeps for the next value that has them.
+SEEN = 50_000
+#: Values that one visit to a shard takes.
+VALUES = 20_000
 #: References held by one tree; a longer list is sharded and every shard answers for itself.
 TREE_ENTRIES = 200_000
 
@@ -209,6 +215,8 @@ def map_values(values: DataFrame, reference: DataFrame, value: str, ref_id: str,
     """
     ship(values.sparkSession)
     typed = values.select(F.col(value).alias("value")).where("value is not null").distinct()
+    # few bytes and much work: partitions must not be put together by size
+    typed = typed.repartition(parallel(values.sparkSession), "value")
     names = reference.select(F.col(ref_id).cast("long").alias("ref"), F.col(ref_name).alias("name")).where("ref is not null and name is not null")
     total = names.count()
     if total <= tree_entries:
@@ -230,7 +238,7 @@ def map_values(values: DataFrame, reference: DataFrame, value: str, ref_id: str,
         return pd.DataFrame(rows, columns=["value", "distance", "apart", "ref"])
 
     # every value visits every shard, the stated query set against all of the reference; parts keep one visit small
-    parts = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-typed.count() // VALUES))
     spread = typed.select("value", F.pmod(F.xxhash64("value"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     listed = names.select("ref", "name", F.pmod(F.xxhash64("ref"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
     hits = spread.groupBy("part", "shard").cogroup(listed.groupBy("part", "shard")).applyInPandas(shard, "value string, distance int, apart int, ref long")

@@ -13,7 +13,6 @@ from ..runtime import dropped, stored
 
 #: Links that one cell of the grid takes on average.
 LINKS_PER_CELL = 400_000
-MOST_BLOCKS = 256
 
 
 def local_representatives(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,13 +40,27 @@ def _cell(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"v": name[keep], "r": rep[keep]})
 
 
+def block_of(c: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(c)), F.lit(blocks)).cast("int")
+
+
+def exchanged(found: DataFrame, moved: DataFrame, blocks: int) -> DataFrame:
+    """``(u, v, row, col)``: each representative u that now points to v, for the cells of its column in which it stands.
+
+    ``found(v, p)`` has every vertex's representative.  A representative goes to no more cells than it has vertices, so
+    the exchange is bounded by the vertices whatever the number of blocks.
+    """
+    cells = found.select(F.col("p").alias("u"), block_of("v", blocks).alias("row")).distinct()
+    return moved.join(cells, "u").select("u", "v", "row", block_of("u", blocks).alias("col"))
+
+
 def connected_components(links: DataFrame, u: str, v: str, blocks: int | None = None) -> DataFrame:
     """One row ``(vertex BIGINT, component BIGINT)`` for every vertex of ``links``; component is its group's smallest vertex.
 
     Vertices are hashed into ``blocks`` blocks and each link u-v goes to the grid cell (block of u, block of v), so the
     links of one vertex, however many, spread over a whole row of cells.  Each round runs union-find inside every cell,
-    takes the smallest representative that any cell found for a vertex, and sends to the cells of a representative's
-    column what that representative itself now points to.  It ends when no vertex has two representatives and
+    takes the smallest representative that any cell found for a vertex, and sends what a representative itself now points
+    to down its column, to the cells in which it stands.  It ends when no vertex has two representatives and
     every representative points to itself.
 
     Links with a null end are ignored, a link of a vertex to itself makes it a group of its own, repeated links count
@@ -56,10 +69,10 @@ def connected_components(links: DataFrame, u: str, v: str, blocks: int | None =
     pairs = links.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
     pairs = stored(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
     if blocks is None:
-        blocks = min(MOST_BLOCKS, max(2, math.ceil(math.sqrt(pairs.count() / LINKS_PER_CELL))))
+        blocks = max(2, math.ceil(math.sqrt(pairs.count() / LINKS_PER_CELL)))
 
     def block(c: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(c)), F.lit(blocks)).cast("int")
+        return block_of(c, blocks)
 
     placed = pairs.where("u <> v").select("u", "v", block("u").alias("row"), block("v").alias("col"))
     before = None
@@ -76,8 +89,7 @@ def connected_components(links: DataFrame, u: str, v: str, blocks: int | None =
         if not open_ends:
             break
         stars = found.select(F.col("v").alias("u"), F.col("p").alias("v")).unionByName(merged)
-        exchanged = moved.select("u", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("row"), block("u").alias("col"))
-        placed = stars.select("u", "v", block("u").alias("row"), block("v").alias("col")).unionByName(exchanged)
+        placed = stars.select("u", "v", block("u").alias("row"), block("v").alias("col")).unionByName(exchanged(found, moved, blocks))
         before = found
     ends = pairs.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
     return ends.join(found.select(F.col("v").alias("vertex"), "p"), "vertex", "left").select("vertex", F.coalesce("p", "vertex").alias("component"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import log
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import spread
+from ..runtime import spread, stored
 
 WORD = re.compile(r"[^\W_]+")
 _INVISIBLE = re.compile("[­​-‏⁠﻿]|\\\\-|\\{\\}")
@@ -34,6 +35,16 @@ class Settings:
     block: int = 16
 
 
+@dataclass
+class Counts:
+    """Different items and their words in all, and how many items hold a word, or a pair of neighbouring words."""
+
+    items: int
+    words: int
+    in_items: dict[str, int]
+    pairs: dict[tuple[str, str], int]
+
+
 class ItemIndex:
     """Inverted lists of the items' word pairs with BM25 contributions, in blocks that know their largest one.
 
@@ -41,32 +52,33 @@ class ItemIndex:
     ``_least``), so that every item that the check can accept has a score of 1 or more.
     """
 
-    def __init__(self, items: list[tuple[int, str]], settings: Settings):
+    def __init__(self, items: list[tuple[int, str]], settings: Settings, corpus: Counts | None = None):
         self.settings = settings
         same: dict[tuple[str, ...], list[int]] = defaultdict(list)
         for i, t in items:
             same[tuple(WORD.findall(t.lower()))].append(i)
         self.ids = list(same.values())
         self.words = [list(words) for words in same]
-        n = max(1, len(self.words))
-        mean = sum(map(len, self.words)) / n or 1.0
         lists: dict[tuple[str, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
         for d, words in enumerate(self.words):
             for pair in zip(words, words[1:], strict=False):
                 lists[pair][d] += 1
-        in_items: dict[str, int] = defaultdict(int)
-        for words in self.words:
-            for w in set(words):
-                in_items[w] += 1
+        if corpus is None:
+            in_items: dict[str, int] = defaultdict(int)
+            for words in self.words:
+                for w in set(words):
+                    in_items[w] += 1
+            corpus = Counts(len(self.words), sum(map(len, self.words)), in_items, {p: len(d) for p, d in lists.items()})
+        n, mean = max(1, corpus.items), corpus.words / max(1, corpus.items) or 1.0
         #: rarity of single words, for the check; squared, so that words which every sentence of a pattern has weigh little
-        self.weight = {w: log(1 + n / c) ** 2 for w, c in in_items.items()}
+        self.weight = {w: log(1 + n / c) ** 2 for w, c in corpus.in_items.items()}
         self.postings: dict[tuple[str, str], tuple[list[int], list[float], list[float]]] = {}
         self.most: dict[tuple[str, str], float] = {}
         k1, b = settings.k1, settings.b
         raw: dict[tuple[str, str], list[float]] = {}
         own: list[list[tuple[tuple[str, str], int, float]]] = [[] for _ in self.words]
         for pair, docs in lists.items():
-            idf = log(1 + (n - len(docs) + 0.5) / (len(docs) + 0.5))
+            idf = log(1 + (n - corpus.pairs[pair] + 0.5) / (corpus.pairs[pair] + 0.5))
             raw[pair] = [idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(self.words[d]) / mean)) for d, tf in docs.items()]
             for (d, tf), score in zip(docs.items(), raw[pair], strict=True):
                 own[d].append((pair, tf, score))
@@ -213,7 +225,7 @@ def carried(item: list[str], words: list[str], weight: dict[str, float]) -> tupl
     return len(covered) / max(1, len(item)), sum(weight.get(item[p], 0.0) for p in covered) / total if total else 0.0
 
 
-#: Items that one index holds; a longer list is searched in parts, each over all documents.
+#: Items that one index holds; a longer list is searched in parts, each over the words of all documents.
 INDEX_ITEMS = 20_000
 
 
@@ -221,7 +233,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | No
     """``(doc_id, item_id, coverage)`` for every document that carries enough of an item's text.
 
     Every document, as it reads once it is set, is a query against the index of all items; what reaches the item's
-    bound, as all do that the check can accept, is then checked word by word.  The index is counted before it is broadcast.
+    bound, as all do that the check can accept, is then checked word by word.  The items are counted before they are
+    broadcast; more than ``index_items`` are cut into parts, which share the counts of the whole list, so that the
+    number of parts changes no weight and no bound.
 
     Documents or items without text match nothing, an item of a single word cannot be found, copies of a document
     are found each, and empty tables give an empty result.
@@ -230,28 +244,48 @@ def leaked_items(documents: DataFrame, items: DataFrame, settings: Settings | No
     wanted = items.where("item_id is not null and text is not null").select("item_id", "text")
     parts = max(1, -(-wanted.count() // index_items))
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
+    send = documents.sparkSession.sparkContext.broadcast
+    if parts == 1:
+        return _searched(texts, send((sorted((r.item_id, r.text) for r in wanted.collect()), None)), settings)
+    # a long list: documents are read once, and every part of the list is weighed by the counts of the whole
+    texts = stored(texts.select("doc_id", F.array_join(_words(readable)("text"), " ").alias("text")))
+    wanted = stored(wanted.select("item_id", "text", _words(lambda t: WORD.findall(t.lower()))("text").alias("words")))
+    one = wanted.select("words").distinct().withColumn("part", F.pmod(F.xxhash64("words"), F.lit(parts)))
+    total = one.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("words")).alias("words")).head()
+    neighbours = F.when(F.size("words") > 1, F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(F.get("words", i).alias("a"), F.get("words", i + 1).alias("b"))))
+    terms = [stored(one.select("part", F.explode(F.array_distinct(c)).alias("t"))) for c in (F.col("words"), neighbours)]
     found = None
     for part in range(parts):
-        own = wanted if parts == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        held = documents.sparkSession.sparkContext.broadcast(sorted((r.item_id, r.text) for r in own.collect()))
-
-        def scan(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            index = ItemIndex(held.value, settings)
-            for frame in frames:
-                rows = []
-                for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
-                    words = readable(text)
-                    hit = index.retrieve(words)
-                    if hit:
-                        pairs = set(zip(words, words[1:], strict=False))
-                        for k in hit:
-                            if not index.reachable(k, pairs):
-                                continue
-                            share, weighed = carried(index.words[k], words, index.weight)
-                            if min(share, weighed) >= settings.coverage:
-                                rows += [(doc, i, share) for i in index.ids[k]]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
-
-        out = texts.mapInPandas(scan, "doc_id long, item_id long, coverage double")
+        own = sorted((r.item_id, r.text) for r in wanted.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == part).select("item_id", "text").collect())
+        words, pairs = ([(r.t, r.n) for r in t.join(t.where(F.col("part") == part).select("t").distinct(), "t", "left_semi").groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()] for t in terms)
+        counts = Counts(total.n, total.words, dict(words), {(p.a, p.b): n for p, n in pairs})
+        out = _searched(texts, send((own, counts)), settings)
         found = out if found is None else found.unionByName(out)
     return found
+
+
+def _words(read: Callable[[str], list[str]]) -> Callable[[str], Column]:
+    return F.pandas_udf(lambda texts: texts.map(read), "array<string>")
+
+
+def _searched(texts: DataFrame, held: Broadcast, settings: Settings) -> DataFrame:
+    """Documents against the index of one list of items, which every task builds from the broadcast."""
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = ItemIndex(held.value[0], settings, held.value[1])
+        for frame in frames:
+            rows = []
+            for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
+                words = readable(text)
+                hit = index.retrieve(words)
+                if hit:
+                    pairs = set(zip(words, words[1:], strict=False))
+                    for k in hit:
+                        if not index.reachable(k, pairs):
+                            continue
+                        share, weighed = carried(index.words[k], words, index.weight)
+                        if min(share, weighed) >= settings.coverage:
+                            rows += [(doc, i, share) for i in index.ids[k]]
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "coverage"])
+
+    return texts.mapInPandas(scan, "doc_id long, item_id long, coverage double")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import math
 from collections.abc import Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,11 +25,12 @@ BUCKET = 20_000
 def token_sizes(documents: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, source, tokens)``: the length of every whole text in tokens; 0 for null and empty texts."""
 
+    held = documents.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # a file of bounded size, read where it is named
+
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(vocabulary, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in held.value.splitlines() if line.strip())}
         encode = tiktoken.Encoding("sizes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         for frame in frames:
             sizes = [len(encode(t)) if t else 0 for t in frame["text"]]
@@ -45,6 +47,8 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-9
     mean))``.  The dual has one convex part per source; each round is one distributed aggregation that yields value and
     slope for all sources, followed by a Newton step kept inside a shrinking bracket.
 
+    ``RuntimeError`` where a source is not balanced within ``tolerance`` after ``rounds``.
+
     Rates depend on source and size alone, so rows are counted by both first.  A wanted source without tokens cannot
     contribute; the shares of the others are scaled up to 1.
     """
@@ -83,6 +87,8 @@ def balanced_rates(sizes: DataFrame, targets: DataFrame, tolerance: float = 1e-9
             s["low" if gap < 0 else "high"] = s["tilt"]
             step = s["tilt"] - gap / r.slope if r.slope > 0 else math.inf
             s["tilt"] = step if s["low"] < step < s["high"] else (s["low"] + s["high"]) / 2
+    if left := sorted(k for k, s in state.items() if not s["done"]):
+        raise RuntimeError(f"no balance after {rounds} rounds for {', '.join(left)}")
     rates = counted.join(F.broadcast(current()), "source").select("source", "tokens", rate.alias("rate"))
     return rates, state
 

@@ -2,7 +2,9 @@ import random
 
 import pytest
 
-from matchloom.llm.components import connected_components, link_groups
+from pyspark.sql import functions as F
+
+from matchloom.llm.components import block_of, connected_components, exchanged, link_groups
 
 
 def by_union_find(links):
@@ -29,6 +31,17 @@ def test_against_union_find(spark, blocks):
     assert got == by_union_find(links)
 
 
+@pytest.mark.parametrize("blocks", [16, 64])
+def test_exchange_is_bounded_by_vertices(spark, blocks):
+    """A chain cut into stars of ten, every star's representative moved on: no more rows than vertices at any number of blocks."""
+    found = spark.range(2000).select(F.col("id").alias("v"), (F.floor(F.col("id") / 10) * 10).alias("p"))
+    moved = found.select(F.col("p").alias("u"), (F.col("p") - 10).alias("v")).distinct()
+    rows = exchanged(found, moved, blocks)
+    assert 200 <= rows.count() <= 2000
+    cells = found.select(F.col("p").alias("u"), block_of("v", blocks).alias("row")).distinct()
+    assert cells.join(rows, ["u", "row"], "left_anti").count() == 0
+
+
 def test_no_links(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 

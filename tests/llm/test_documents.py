@@ -55,6 +55,15 @@ def test_leaks_of_copies_and_short_lists(spark):
         assert sorted((r.doc_id, r.item_id) for r in leaked_items(d, it).collect() if texts[r.item_id] == ITEM) == want
 
 
+def test_leaks_do_not_depend_on_parts(spark):
+    """Any number of items to an index gives the same links and shares."""
+    docs = [(1, PROSE + ITEM), (2, PROSE + " ".join(ITEM.split()[:16]) + " " + PROSE), (3, OTHER), (4, " ".join(r"\emph{" + w + "}" for w in ITEM.split())), (5, PROSE)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    it = spark.createDataFrame(list(enumerate([ITEM, *SAME, ITEM, None])), "item_id long, text string")
+    got = [sorted((r.doc_id, r.item_id, round(r.coverage, 9)) for r in leaked_items(d, it, index_items=k).collect()) for k in (1, 2, 3, 100)]
+    assert got[0] == got[1] == got[2] == got[3] and {x[:2] for x in got[0]} >= {(1, 0), (1, 6), (2, 0), (4, 0), (4, 6)}
+
+
 def test_leaks_in_dressed_words(spark):
     soft = " ".join(w[:2] + "\u00ad" + w[2:] if len(w) > 3 else w for w in ITEM.split())
     wide = "".join(chr(ord(c) + 0xFEE0) if c.isalpha() else c for c in ITEM)
@@ -169,6 +178,13 @@ def test_mixture(spark):
     assert _copies(sizes.limit(0), targets).count() == 0
 
 
+def test_unfinished_balance_is_an_error(spark):
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 1 + i * i % 97) for i in range(500)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    with pytest.raises(RuntimeError, match="no balance after 2 rounds"):
+        balanced_rates(sizes, targets, rounds=2)
+
+
 def test_token_sizes(spark):
     docs = spark.createDataFrame([(1, "a", "hello world", 5), (2, None, None, 5), (3, "a", "", 5), (4, "a", "x " * 20000, 5), (4, "a", "<|endoftext|>", 5)], "doc_id long, source string, text string, tokens int")
     got = [(r.doc_id, r.tokens) for r in token_sizes(docs).orderBy("doc_id", "tokens").collect()]
