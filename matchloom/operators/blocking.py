@@ -6,14 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, word_trigrams
-from ..runtime import spread
-
-#: A score this close below the threshold still counts, so that the order of summing does not decide.
-SLACK = 1e-9
-#: Share of the threshold that a row's unindexed grams may reach together.  A larger share makes the index smaller and the
-#: bound on what it misses looser; three fifths cost least on titles.
-UNINDEXED = 0.6
-
+from ..runtime import spread, stored
+from .cosine import SLACK, cosine_join, dot_products
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
     """``(side, id, gram, tf)`` of the normalised text; rows without text have no grams."""
@@ -35,46 +29,43 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "title
     return raw.select("side", "id", "gram", "df", (F.col("w") / norm).alias("weight"))
 
 
+def _sides(vectors: DataFrame) -> list[DataFrame]:
+    return [vectors.where(F.col("side") == s).select(F.col("id").alias("key"), F.col("gram").alias("term"), "weight") for s in "ab"]
+
+
 def similarity_join(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(ltable_id, rtable_id, score)`` for every pair of an a-row and a b-row with cosine of at least ``threshold``.
 
-    Exact.  Grams are ordered from the most to the least frequent.  While the norm of a row's grams so far stays below a
-    share of the threshold they are not indexed: alone they cannot bring a pair to it.  Sums over the indexed, rarer
-    grams are bounded with that norm, and the few pairs that are left are scored over all grams.  Pairs without a common
-    gram never count, whatever the threshold.
+    Exact (see ``cosine.cosine_join``).  Pairs without a common gram never count, whatever the threshold.
     """
-    order = Window.partitionBy("side", "id").orderBy(F.desc("df"), "gram").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(order))
-    rest = F.sqrt(F.coalesce(F.sum(F.when(~F.col("open"), F.col("weight") * F.col("weight"))).over(Window.partitionBy("side", "id")), F.lit(0.0)))
-    marked = vectors.withColumn("open", reach >= UNINDEXED * threshold - SLACK).withColumn("rest", rest)
+    return cosine_join(*_sides(vectors), threshold).toDF("ltable_id", "rtable_id", "score")
 
-    def side(name: str, key: str, *more: str) -> DataFrame:
-        return marked.where((F.col("side") == name)).select(F.col("id").alias(key), "gram", *more)
 
-    a = side("a", "ltable_id", F.col("weight").alias("wa"), F.col("open").alias("oa"), F.col("rest").alias("ra"))
-    b = side("b", "rtable_id", F.col("weight").alias("wb"), F.col("open").alias("ob"), F.col("rest").alias("rb"))
-    opened = a.where("oa").join(b.where("ob"), "gram").groupBy("ltable_id", "rtable_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("part"), F.max(F.greatest("ra", "rb")).alias("rest"))
-    met = opened.where(F.col("part") + F.col("rest") >= threshold - SLACK).select("ltable_id", "rtable_id")
+def generate_candidates(a: DataFrame, b: DataFrame, threshold: float = 0.1, id_col: str = "id", text_col: str = "title") -> DataFrame:
+    """Candidate pairs with their score; empty where either table is."""
+    return similarity_join(stored(tfidf(a, b, id_col, text_col)), threshold)
 
-    def whole(name: str, key: str, out: str) -> DataFrame:
-        return vectors.where(F.col("side") == name).groupBy(F.col("id").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias(out))
 
-    both = met.join(whole("a", "ltable_id", "x"), "ltable_id").join(whole("b", "rtable_id", "y"), "rtable_id")
-    score = F.aggregate(F.map_entries("x"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("y")[e["key"]], F.lit(0.0)))
-    return both.select("ltable_id", "rtable_id", score.alias("score")).where(F.col("score") >= threshold - SLACK)
+def _ceiling(truth: DataFrame, found: DataFrame) -> DataFrame:
+    hit = found.select("ltable_id", "rtable_id", F.lit(1).alias("hit")).distinct()
+    counts = truth.join(hit, ["ltable_id", "rtable_id"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("survived"))
+    return counts.select("true_pairs", "survived", F.coalesce(F.col("survived") / F.nullif("true_pairs", F.lit(0)), F.lit(0.0)).alias("ceiling"))
 
 
-def generate_candidates(a: DataFrame, b: DataFrame, threshold: float = 0.1, id_col: str = "id", text_col: str = "title") -> DataFrame:
-    """Candidate pairs with their score; empty where either table is."""
-    return similarity_join(tfidf(a, b, id_col, text_col), threshold)
+def _truth(labels: DataFrame) -> DataFrame:
+    return labels.where("label = 1").select("ltable_id", "rtable_id").distinct()
 
 
 def recall_ceiling(candidates: DataFrame, labels: DataFrame) -> DataFrame:
     """One row ``(true_pairs, survived, ceiling)``: distinct true pairs and those among the candidates; 0 without true pairs."""
-    truth = labels.where("label = 1").select("ltable_id", "rtable_id").distinct()
-    found = candidates.select("ltable_id", "rtable_id", F.lit(1).alias("hit")).distinct()
-    counts = truth.join(found, ["ltable_id", "rtable_id"], "left").agg(F.count(F.lit(1)).alias("true_pairs"), F.count("hit").alias("survived"))
-    return counts.select("true_pairs", "survived", F.coalesce(F.col("survived") / F.nullif("true_pairs", F.lit(0)), F.lit(0.0)).alias("ceiling"))
+    return _ceiling(_truth(labels), candidates)
+
+
+def recall_ceiling_at(vectors: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
+    """The same for candidates at ``threshold`` without making them: the true pairs alone are scored, each once."""
+    truth = _truth(labels)
+    scored = dot_products(truth.toDF("key_1", "key_2"), *_sides(vectors)).where((F.col("cosine") > 0) & (F.col("cosine") >= threshold - SLACK))
+    return _ceiling(truth, scored.toDF("ltable_id", "rtable_id", "score"))
 
 
 def reduction(candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:

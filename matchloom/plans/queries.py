@@ -105,7 +105,8 @@ select count(*) true_pairs, count(k.ltable_id) survived, round(coalesce(count(k.
 )
 def er_recall_ceiling(spark, folder):
     labels = table(spark, folder, "train").unionByName(table(spark, folder, "valid")).unionByName(table(spark, folder, "test"))
-    return B.recall_ceiling(_candidates(spark, folder), labels).withColumn("ceiling", r6("ceiling"))
+    vectors = stored(B.tfidf(table(spark, folder, "tablea"), table(spark, folder, "tableb")))
+    return B.recall_ceiling_at(vectors, labels, THRESHOLD).withColumn("ceiling", r6("ceiling"))
 
 
 # similarities of labelled pairs

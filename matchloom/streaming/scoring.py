@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, word_trigrams
-from ..operators.blocking import SLACK
+from ..operators.cosine import SLACK
 
 
 def freeze_index(reference: DataFrame, id_col: str = "id", text_col: str = "title") -> tuple[DataFrame, DataFrame]:

@@ -54,5 +54,46 @@ def test_recall_ceiling(spark, tables):
     assert ceiling(spark, [(2, 12)], LABELS) == 0.0
     assert ceiling(spark, [(0, 10), (0, 10)], LABELS) == pytest.approx(1 / 3)
     assert ceiling(spark, true, [(2, 12, 0)]) == 0.0
+    labels = spark.createDataFrame(LABELS, "ltable_id long, rtable_id long, label int")
+    for t in (0.05, 0.5, 0.9):
+        assert B.recall_ceiling_at(B.tfidf(*tables), labels, t).head() == B.recall_ceiling(B.generate_candidates(*tables, t), labels).head()
     assert B.recall_ceiling(B.generate_candidates(*tables, 0.05), spark.createDataFrame(LABELS, "ltable_id long, rtable_id long, label int")).head().ceiling > 0
     assert B.reduction(B.generate_candidates(*tables, 0.5), *tables).head().reduction > 0.7
+
+
+def test_hot_terms_are_split(spark, monkeypatch):
+    from matchloom.operators import cosine as K
+
+    rows = [(i, t, w) for i in range(60) for t, w in ((1, 0.6), (100 + i % 7, 0.8))]
+    sides = [spark.createDataFrame(rows, "key long, term long, weight double")] * 2
+    want = {(i, j) for i in range(60) for j in range(60)}
+    for postings, meetings in ((2000, 1e9), (5, 1e9), (5, 0)):
+        monkeypatch.setattr(K, "POSTINGS", postings)
+        assert {(r.key_1, r.key_2) for r in K.cosine_join(*sides, 0.3, meetings).collect()} == want
+        assert {(r.key_1, r.key_2) for r in K.cosine_join(*sides, 0.5, meetings).collect()} == {(i, j) for i, j in want if i % 7 == j % 7}
+
+
+@pytest.mark.parametrize("meetings", [0, 1e9])
+def test_join_against_brute_force(spark, meetings, monkeypatch):
+    from matchloom.operators import cosine as K
+
+    monkeypatch.setattr(K, "BLOCK", 15)
+    r = random.Random(4)
+
+    def vectors(n):
+        out = {}
+        for k in range(n):
+            v = {f"t{r.randrange(12)}": r.random() + 0.1 for _ in range(r.randrange(1, 6))}
+            norm = math.sqrt(sum(x * x for x in v.values()))
+            out[f"k{k}"] = {t: x / norm for t, x in v.items()}
+        return out
+
+    left, right = vectors(40), vectors(40)
+    left["k40"] = dict(right["k0"])
+    bad = [(None, "t1", 1.0, ""), ("k99", None, 1.0, ""), ("k98", "t1", None, "")]
+    frames = [spark.createDataFrame([(k, t, w, "x") for k, v in side.items() for t, w in v.items()] + bad, "key string, term string, weight double, rest string") for side in (left, right)]
+    for t in (0.1, 0.5, 0.9):
+        got = {(x.key_1, x.key_2): x.cosine for x in K.cosine_join(*frames, t, meetings).collect()}
+        want = {(i, j): c for i, x in left.items() for j, y in right.items() if (c := sum(w * y.get(k, 0) for k, w in x.items())) >= t - 1e-9}
+        assert got == pytest.approx(want)
+    assert K.cosine_join(frames[0].limit(0), frames[1], 0.5, meetings).count() == 0
