@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,41 +37,86 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_scratch: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, a laptop) is a local temporary folder made, once per session.
+    Where the session names none, a local temporary folder is made, once per session, if the master is local as in tests;
+    elsewhere each machine would write to a folder of its own, so this is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    own = spark.conf.get("matchloom.scratch", None)
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="matchloom-")
-        spark.conf.set("matchloom.scratch", own)
-    return own
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+    if context.applicationId not in _scratch:
+        folder = tempfile.mkdtemp(prefix="matchloom-")
+        _scratch[context.applicationId] = "file://" + folder
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return _scratch[context.applicationId]
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The plan behind it is cut, so that a lost executor costs a re-read rather than a recomputation, and the written
-    size tells the optimizer whether a side is small enough to broadcast.
+    size tells the optimizer whether a side is small enough to broadcast.  The table lies there until ``dropped`` or,
+    if it was made within ``released``, until that ends; whatever is left goes when the program ends.
     """
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _made:
+        made.append(path)
+    _left.add(path)
+    if len(_left) == 1:
+        atexit.register(_clear, spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_made: list[list[str]] = []
+_left: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _left.discard(path)
+
+
+def _clear(spark: SparkSession) -> None:
+    for path in list(_left):
+        try:
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended; its local folder goes on its own
+            return
+
+
 def dropped(df: DataFrame) -> None:
     """Delete a table made by ``stored`` that no later plan reads."""
     spark = df.sparkSession
     for file in df.inputFiles()[:1]:
         path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
         if path.getName().startswith("table-"):
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, next((p for p in _left if p.endswith(path.getName())), path.toString()))
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Within it, results are to be consumed; at its end the tables that were stored meanwhile are deleted."""
+    made: list[str] = []
+    _made.append(made)
+    try:
+        yield
+    finally:
+        _made.remove(made)
+        for path in made:
+            if path in _left:
+                _delete(spark, path)
 
 
 def parallel(spark: SparkSession) -> int:
