@@ -1,4 +1,4 @@
-"""Weighted cosine join with pruned inverted lists, and overlaps between evaluation and training splits found with it."""
+"""Overlaps between evaluation and training splits, found with the weighted cosine join."""
 
 from __future__ import annotations
 
@@ -6,60 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import stored
+from ..operators.cosine import cosine_join
+from ..runtime import salted_join, stored
 from .listings import both_tables, read_listings
 from .listing_text import near
 from .resolve import vertex
 
 
-def _prepared(vectors: DataFrame, order: DataFrame, threshold: float) -> DataFrame:
-    """``(key, terms, rest, open)``: each vector's terms as an array, the norm of the part that need not be indexed, and the part that has to be.
-
-    Terms are taken from the most to the least frequent.  While the terms taken so far cannot bring any dot product to
-    the threshold - by the largest weights on the other side, or by their own norm - they are left out of the index.
-    """
-    term = F.struct((-F.col("df")).alias("d"), "term", "weight", "most")
-    rows = vectors.join(order, "term").groupBy("key").agg(F.array_sort(F.collect_list(term)).alias("terms"))
-    zero = F.struct(F.lit(0.0).alias("most"), F.lit(0.0).alias("norm"), F.lit(0).alias("left_out"), F.lit(0.0).alias("rest"))
-
-    def take(acc: Column, x: Column) -> Column:
-        most, norm = acc["most"] + x["weight"] * x["most"], acc["norm"] + x["weight"] * x["weight"]
-        inside = F.least(most, F.sqrt(norm)) >= F.lit(threshold - 1e-9)
-        return F.struct(most.alias("most"), norm.alias("norm"), (acc["left_out"] + F.when(inside, 0).otherwise(1)).alias("left_out"), F.when(inside, acc["rest"]).otherwise(norm).alias("rest"))
-
-    cut = rows.withColumn("cut", F.aggregate("terms", zero, take))
-    opened = F.slice("terms", F.col("cut.left_out") + 1, F.size("terms"))
-    slim = F.transform("terms", lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight")))
-    return cut.select("key", slim.alias("terms"), F.sqrt("cut.rest").alias("rest"), F.transform(opened, lambda x: F.struct(x["term"].alias("term"), x["weight"].alias("weight"))).alias("open"))
-
-
-def cosine_join(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """``(key_1, key_2, cosine)`` for every pair of vectors whose dot product reaches ``threshold``.
-
-    Both sides hold unit vectors as rows ``(key, term, weight)`` with positive weights, one row for each key and term.
-    The result is exact: a pair that reaches the threshold has its rarest common term in the indexed part of both
-    vectors, partial sums with the larger left-out norm bound the dot product from above, and what survives is summed in full.
-    Null keys, terms and weights are ignored; empty sides give an empty result.
-    """
-    ok = "key is not null and term is not null and weight is not null"
-    left, right = left.where(ok).select("key", "term", "weight"), right.where(ok).select("key", "term", "weight")
-    per = left.select("term", "weight", F.lit(1).alias("side")).unionByName(right.select("term", "weight", F.lit(2).alias("side")))
-    most = [F.max(F.when(F.col("side") == s, F.col("weight"))).alias(f"most_{s}") for s in (1, 2)]
-    # a term that only one side has takes part in no dot product
-    terms = stored(per.groupBy("term").agg(F.count(F.lit(1)).alias("df"), *most).where("most_1 is not null and most_2 is not null"))
-    one = stored(_prepared(left, terms.select("term", "df", F.col("most_2").alias("most")), threshold))
-    two = stored(_prepared(right, terms.select("term", "df", F.col("most_1").alias("most")), threshold))
-
-    def postings(side: DataFrame, n: int) -> DataFrame:
-        return side.select(F.col("key").alias(f"key_{n}"), F.col("rest").alias(f"rest_{n}"), F.explode("open").alias("x")).select(f"key_{n}", f"rest_{n}", "x.term", F.col("x.weight").alias(f"w{n}"))
-
-    summed = postings(one, 1).join(postings(two, 2), "term").groupBy("key_1", "key_2").agg(F.sum(F.col("w1") * F.col("w2")).alias("part"), F.max(F.greatest("rest_1", "rest_2")).alias("rest"))
-    candidates = summed.where(F.col("part") + F.col("rest") >= F.lit(threshold - 1e-9)).select("key_1", "key_2")
-    both = candidates.join(one.select(F.col("key").alias("key_1"), F.col("terms").alias("x")), "key_1").join(two.select(F.col("key").alias("key_2"), F.map_from_entries("terms").alias("y")), "key_2")
-    dot = F.aggregate("x", F.lit(0.0), lambda acc, e: acc + e["weight"] * F.coalesce(F.col("y")[e["term"]], F.lit(0.0)))
-    return both.select("key_1", "key_2", dot.alias("cosine")).where(F.col("cosine") >= F.lit(threshold - 1e-9))
-
-
 def unit_vectors(texts: DataFrame) -> DataFrame:
     """``(key, term, weight)`` from ``texts(key, scope, squeezed)``: the text's trigrams, each once, weighted by rarity.
 
@@ -81,17 +34,17 @@ _SCOPE = ["side", "facts", "forms", "model"]
 
 
 def entered_again(keys: DataFrame) -> DataFrame:
-    """``(key_1, key_2)``: titles of an evaluation record and of a training record that are one listing entered twice.
+    """``(key_1, key_2)``: titles of an evaluation record and of a training record that are one listing, once or entered twice.
 
-    ``keys(key, side, facts, forms, model, squeezed, tested, trained)`` has one row per spelling.  Terms live within the
-    stated facts and their wording, so titles that state a fact differently have no term in common, and facts stated on
-    one side only need no vectors; of the pairs that the join returns those stay whose letters and digits are a few
-    edits apart.
+    ``keys(key, side, facts, forms, model, squeezed, tested, trained)`` has one row per spelling; one that both sides
+    have meets itself.  Terms live within the stated facts and their wording, so titles that state a fact differently
+    have no term in common, and facts stated on one side only need no vectors; of the pairs that the join returns those
+    stay whose letters and digits are a few edits apart.
     """
-    shared = keys.groupBy(*_SCOPE).agg(F.count(F.lit(1)).alias("n"), F.max("tested").alias("t1"), F.max("trained").alias("t2")).where("n > 1 and t1 and t2").select(*_SCOPE)
+    shared = keys.groupBy(*_SCOPE).agg(F.max("tested").alias("t1"), F.max("trained").alias("t2")).where("t1 and t2").select(*_SCOPE)
     met = stored(keys.join(shared, _SCOPE, "left_semi").select("key", F.xxhash64(*_SCOPE).alias("scope"), "squeezed", "tested", "trained"))
     vectors = stored(unit_vectors(met).join(met.select("key", "tested", "trained"), "key"))
-    pairs = cosine_join(vectors.where("tested"), vectors.where("trained"), ENTERED_AGAIN_COSINE).where("key_1 <> key_2")
+    pairs = cosine_join(vectors.where("tested"), vectors.where("trained"), ENTERED_AGAIN_COSINE).select("key_1", "key_2")
 
     @F.pandas_udf("boolean")
     def close(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -100,27 +53,19 @@ def entered_again(keys: DataFrame) -> DataFrame:
 
     text = met.select("key", "squeezed")
     named = pairs.join(text.toDF("key_1", "text_1"), "key_1").join(text.toDF("key_2", "text_2"), "key_2")
-    return named.where(close("text_1", "text_2")).select("key_1", "key_2")
+    # titles without a letter or digit have no vector; they meet what has none either, under the same facts
+    bare = met.where("squeezed = ''")
+    none = bare.where("tested").select("scope", F.col("key").alias("key_1")).join(bare.where("trained").select("scope", F.col("key").alias("key_2")), "scope").select("key_1", "key_2")
+    return named.where(close("text_1", "text_2")).select("key_1", "key_2").unionByName(none)
 
 
-def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, tableb: DataFrame) -> DataFrame:
-    """``(eval_pair, split, source, train_pair)``: every evaluation row with every training row on the same two records.
-
-    ``evaluation`` has pair_id, ltable_id, rtable_id, source and split; ``train`` the first three.  Records of a table are
-    the same if they have the same id or one is the other entered again (see ``entered_again``); a record without
-    title, or missing from its table, is only the same as itself.  Labels play no role and repeated rows count each;
-    rows without one of their ids overlap with nothing.
+def _same_records(tested: DataFrame, trained: DataFrame, tablea: DataFrame, tableb: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(tested, trained, same)``: the rows with their records replaced by keys, and the keys ``(key_1, key_2)`` of equal records.
 
-    Titles of the same letters, digits and facts share a 64-bit key, which stands for the record in all joins.  The
-    joins are equi-joins with one partner per record and side, so that the rows of a frequent record can be split.
+    The key of a record is the smallest vertex whose title has the same letters, digits and facts, or the record's own
+    where it has no title or is not in its table.
     """
 
-    def ends(pairs: DataFrame, *more: str | Column) -> DataFrame:
-        kept = pairs.where("pair_id is not null and ltable_id is not null and rtable_id is not null")
-        return kept.select("pair_id", vertex(F.lit("a"), F.col("ltable_id")).alias("l"), vertex(F.lit("b"), F.col("rtable_id")).alias("r"), *more)
-
-    tested, trained = ends(evaluation, "split", "source"), ends(train)
-
     def records(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.explode(F.array("l", "r")).alias("v")).distinct()
 
@@ -128,20 +73,59 @@ def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, t
     used = stored(used.groupBy("v").agg(F.max("tested").alias("tested"), F.max("trained").alias("trained")))
     listings = stored(both_tables(tablea, tableb).withColumn("v", vertex(F.col("side"), F.col("id"))).join(used.select("v"), "v", "left_semi").select("side", "id", "title"))
     read = read_listings(listings).select(*_SCOPE, "squeezed", vertex(F.col("side"), F.col("id")).alias("v"))
-    keyed = stored(read.withColumn("key", F.xxhash64(*_SCOPE, "squeezed")).join(used, "v"))
-    keys = stored(keyed.groupBy("key").agg(*[F.min(c).alias(c) for c in (*_SCOPE, "squeezed")], F.max("tested").alias("tested"), F.max("trained").alias("trained")))
-    own = keys.where("tested and trained").select(F.col("key").alias("key_1"), F.col("key").alias("key_2"))
-    untitled = used.where("tested and trained").join(keyed.select("v"), "v", "left_anti").select(F.col("v").alias("key_1"), F.col("v").alias("key_2"))
-    same = stored(entered_again(keys).unionByName(own).unionByName(untitled))
-    names = keyed.select("v", "key")
+    titled = stored(read.join(used, "v"))
+    text = [*_SCOPE, "squeezed"]
+    keys = stored(titled.groupBy(*text).agg(F.min("v").alias("key"), F.max("tested").alias("tested"), F.max("trained").alias("trained")))
+    names = stored(salted_join(titled, keys.select(*text, "key"), text).select("v", "key"))
+    untitled = used.where("tested and trained").join(names, "v", "left_anti").select(F.col("v").alias("key_1"), F.col("v").alias("key_2"))
+    same = stored(entered_again(keys).unionByName(untitled))
 
     def as_keys(rows: DataFrame) -> DataFrame:
         for end in ("l", "r"):
             rows = rows.join(names.select(F.col("v").alias(end), F.col("key").alias(f"{end}_key")), end, "left").withColumn(end, F.coalesce(f"{end}_key", end)).drop(f"{end}_key")
         return rows
 
-    tested, trained = stored(as_keys(tested)), stored(as_keys(trained))
-    other = trained.select(F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("pair_id").alias("train_pair"))
+    return stored(as_keys(tested)), stored(as_keys(trained)), same
+
+
+def _ends(pairs: DataFrame, *more: str | Column) -> DataFrame:
+    kept = pairs.where("pair_id is not null and ltable_id is not null and rtable_id is not null")
+    return kept.select("pair_id", vertex(F.lit("a"), F.col("ltable_id")).alias("l"), vertex(F.lit("b"), F.col("rtable_id")).alias("r"), *more)
+
+
+def _combinations(tested: DataFrame, trained: DataFrame, same: DataFrame) -> DataFrame:
+    """``(l, r, l2, r2)``: pairs of evaluation records with pairs of training records that are the same, each once."""
     combos = tested.select("l", "r").distinct().join(same.select(F.col("key_1").alias("l"), F.col("key_2").alias("l2")), "l").join(same.select(F.col("key_1").alias("r"), F.col("key_2").alias("r2")), "r")
-    seen = combos.join(other.select("l2", "r2").distinct(), ["l2", "r2"], "left_semi")
+    return combos.join(trained.select(F.col("l").alias("l2"), F.col("r").alias("r2")).distinct(), ["l2", "r2"], "left_semi")
+
+
+def split_overlaps(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, tableb: DataFrame) -> DataFrame:
+    """``(eval_pair, split, source, train_pair)``: every evaluation row with every training row on the same two records.
+
+    ``evaluation`` has pair_id, ltable_id, rtable_id, source and split; ``train`` the first three.  Records of a table are
+    the same if they have the same id or one is the other entered again (see ``entered_again``); a record without
+    title, or missing from its table, is only the same as itself.  Labels play no role and repeated rows count each;
+    rows without one of their ids overlap with nothing.
+
+    The joins are equi-joins with one partner per record and side, so that the rows of a frequent record can be split.
+    """
+    tested, trained, same = _same_records(_ends(evaluation, "split", "source"), _ends(train), tablea, tableb)
+    seen = _combinations(tested, trained, same)
+    other = trained.select(F.col("l").alias("l2"), F.col("r").alias("r2"), F.col("pair_id").alias("train_pair"))
     return tested.join(seen, ["l", "r"]).join(other, ["l2", "r2"]).select(F.col("pair_id").alias("eval_pair"), "split", "source", "train_pair")
+
+
+def overlap_counts(evaluation: DataFrame, train: DataFrame, tablea: DataFrame, tableb: DataFrame) -> DataFrame:
+    """``(split, source, rows, overlapping, links)``: rows of each split and source, how many overlap with training rows, and in how many combinations.
+
+    Rows of the same two records are counted on either side before they meet, so no combination of rows is made.
+    """
+    tested, trained, same = _same_records(_ends(evaluation, "split", "source"), _ends(train), tablea, tableb)
+    many = trained.groupBy(F.col("l").alias("l2"), F.col("r").alias("r2")).agg(F.count(F.lit(1)).alias("m"))
+    per_pair = _combinations(tested, trained, same).join(many, ["l2", "r2"]).groupBy("l", "r").agg(F.sum("m").alias("m"))
+    own = tested.groupBy("l", "r", "split", "source").agg(F.count(F.lit(1)).alias("n"))
+    per = own.join(per_pair, ["l", "r"]).groupBy("split", "source").agg(F.sum("n").alias("overlapping"), F.sum(F.col("n") * F.col("m")).alias("links"))
+    rows = evaluation.groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"))
+    matched = rows["split"].eqNullSafe(per["split"]) & rows["source"].eqNullSafe(per["source"])
+    counts = [F.coalesce(per[c], F.lit(0)).alias(c) for c in ("overlapping", "links")]
+    return rows.join(per, matched, "left").select(rows["split"], rows["source"], "rows", *counts)

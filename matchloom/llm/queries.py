@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..runtime import stored, table
 from .canonical import typed_makers
 from .components import link_groups
-from .cosine import split_overlaps
+from .cosine import overlap_counts, split_overlaps
 from .leakage import leaked_items
 from .linkage import across, match, matched_groups
 from .listings import both_tables, prepare
@@ -25,23 +25,18 @@ def _evaluation(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "valid").withColumn("split", F.lit("valid")).unionByName(table(spark, folder, "test").withColumn("split", F.lit("test")))
 
 
-def _overlaps(spark: SparkSession, folder: str) -> DataFrame:
-    return split_overlaps(_evaluation(spark, folder), table(spark, folder, "train"), table(spark, folder, "tablea"), table(spark, folder, "tableb"))
+def _splits(spark: SparkSession, folder: str) -> tuple[DataFrame, ...]:
+    return _evaluation(spark, folder), *(table(spark, folder, n) for n in ("train", "tablea", "tableb"))
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     """Each valid or test row with each training row on the same two records."""
-    return _overlaps(spark, folder).select(F.least("eval_pair", "train_pair").alias("pair_id_1"), F.greatest("eval_pair", "train_pair").alias("pair_id_2"))
+    return split_overlaps(*_splits(spark, folder)).select(F.least("eval_pair", "train_pair").alias("pair_id_1"), F.greatest("eval_pair", "train_pair").alias("pair_id_2"))
 
 
 def p1_report(spark: SparkSession, folder: str) -> DataFrame:
     """Rows of each split and source, how many of them overlap with training rows, and with how many."""
-    links = _overlaps(spark, folder).groupBy("split", "source", "eval_pair").agg(F.count(F.lit(1)).alias("n"))
-    per = links.groupBy("split", "source").agg(F.count(F.lit(1)).alias("overlapping"), F.sum("n").alias("links"))
-    rows = _evaluation(spark, folder).groupBy("split", "source").agg(F.count(F.lit(1)).alias("rows"))
-    same = (rows["split"] == per["split"]) & rows["source"].eqNullSafe(per["source"])
-    counts = [F.coalesce(per[c], F.lit(0)).alias(c) for c in ("overlapping", "links")]
-    return rows.join(per, same, "left").select(rows["split"], rows["source"], "rows", *counts)
+    return overlap_counts(*_splits(spark, folder))
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

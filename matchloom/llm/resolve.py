@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import salted_join, stored
+from ..runtime import dropped, salted_join, stored
 from .components import RIGHT, connected_components
 from .listings import near_names, prepare
 
@@ -98,8 +98,11 @@ def resolve(read: DataFrame) -> DataFrame:
         merges = stored(_accepted(profiles, links))
         into = merges.select(F.col("u").alias("pid"), "v")
         moved = profiles.join(into, "pid", "left").withColumn("pid", F.coalesce("v", "pid"))
+        spent = [profiles, track, links, merges]
         profiles = stored(moved.groupBy("pid", "facts").agg(*_together("models", "names", "makers", "kinds"), F.sum("titles").alias("titles")))
         track = stored(track.join(into, "pid", "left").select("first_pid", F.coalesce("v", "pid").alias("pid")))
+        for table in spent:
+            dropped(table)
     ends = stored(members.join(track.withColumnRenamed("pid", "group_id"), "first_pid").select("facts", "model", "names", "makers", "group_id"))
     grouped = salted_join(read.where(stated(read)).select("side", "id", "facts", "model", "names", "makers"), ends, ["facts", "model", "names", "makers"])
     alone = read.where(~stated(read)).select("side", "id", vertex(F.col("side"), F.col("id")).alias("group_id"))

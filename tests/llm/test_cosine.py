@@ -1,34 +1,10 @@
-import math
-import random
+from collections import Counter
 
-import pytest
-
-from matchloom.llm.cosine import cosine_join, split_overlaps
+from matchloom.llm.cosine import overlap_counts, split_overlaps
 
 LISTING = "id long, title string, manufacturer string, price double, key string"
 
 
-def test_join_against_brute_force(spark):
-    r = random.Random(4)
-
-    def vectors(n):
-        out = {}
-        for k in range(n):
-            v = {r.randrange(12): r.random() + 0.1 for _ in range(r.randrange(1, 6))}
-            norm = math.sqrt(sum(x * x for x in v.values()))
-            out[k] = {t: x / norm for t, x in v.items()}
-        return out
-
-    left, right = vectors(40), vectors(40)
-    left[40] = dict(right[0])
-    frames = [spark.createDataFrame([(k, t, w, "x") for k, v in side.items() for t, w in v.items()] + [(None, 1, 1.0, ""), (99, None, 1.0, ""), (98, 1, None, "")], "key long, term long, weight double, rest string") for side in (left, right)]
-    for t in (0.1, 0.5, 0.9):
-        got = {(x.key_1, x.key_2): x.cosine for x in cosine_join(*frames, t).collect()}
-        want = {(i, j): c for i, x in left.items() for j, y in right.items() if (c := sum(w * y.get(k, 0) for k, w in x.items())) >= t - 1e-9}
-        assert got == pytest.approx(want)
-    assert cosine_join(frames[0].limit(0), frames[1], 0.5).count() == 0
-
-
 def overlaps(spark, evaluation, train, a, b):
     e = spark.createDataFrame(evaluation, "pair_id long, ltable_id long, rtable_id long, source string, split string, l string")
     t = spark.createDataFrame(train, "pair_id long, ltable_id long, rtable_id long, key string")
@@ -47,3 +23,9 @@ def test_split_overlaps(spark):
     assert overlaps(spark, evaluation, train, a, b) == want
     assert overlaps(spark, evaluation, [], a, b) == [] == overlaps(spark, [], train, a, b)
     assert overlaps(spark, evaluation[:1], train[:1], [], []) == [(20, 10)]
+    names = {p: (s, x) for p, _, _, x, s, _ in evaluation}
+    tables = [spark.createDataFrame(t, LISTING) for t in (a, b)]
+    e = spark.createDataFrame(evaluation, "pair_id long, ltable_id long, rtable_id long, source string, split string, l string")
+    report = overlap_counts(e, spark.createDataFrame(train, "pair_id long, ltable_id long, rtable_id long, key string"), *tables)
+    links, hit, every = Counter(names[x] for x, _ in want), Counter(names[x] for x in {x for x, _ in want}), Counter(names.values())
+    assert {(r.split, r.source): (r["rows"], r.overlapping, r.links) for r in report.collect()} == {k: (n, hit[k], links[k]) for k, n in every.items()}
