@@ -1,108 +1,19 @@
 """String and vector similarities.
 
-Texts of up to 62 characters can be compared by bit-parallel recurrences in Column expressions, which stay in the JVM; one Arrow
-function has the same recurrences on long integers for any length and for many features of a pair at once.
+What the JVM has no function for - common subsequences, Jaro-Winkler, best windows - runs on Python's long integers, one bit for each
+character, so texts may have any length; Arrow batches carry the pairs, and one function gives all fuzzy features at once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .text import chars, numeric_tokens, tokens, trigram_set
-
-#: Characters that fit a signed 64-bit mask with room for the carry.
-MASK = 62
-
-
-def _positions(a: Column, c: Column) -> Column:
-    """Bit k set where character k of ``a`` is ``c``."""
-    at = F.transform(F.sequence(F.lit(1), F.greatest(F.length(a), F.lit(1))), lambda i: F.when(F.substring(a, i, 1) == c, F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long")))
-    return F.aggregate(at, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-
-
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence; ``a`` may hold up to 62 characters."""
-    full = (F.pow(F.lit(2.0), F.length(a)) - 1).cast("long")
-    masks = F.transform(chars(b), lambda c: _positions(a, c))
-
-    def step(v: Column, m: Column) -> Column:
-        hit = v.bitwiseAND(m)
-        return ((v + hit).bitwiseOR(v - hit)).bitwiseAND(full)
-
-    rest = F.aggregate(masks, full, step)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(F.length(a) - F.bit_count(rest))
-
-
-def indel_ratio(a: Column, b: Column) -> Column:
-    """Twice the common subsequence over both lengths; 1 for two empty texts."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, F.lit(1.0)).otherwise(2.0 * lcs(a, b) / total)
-
-
-def token_sort_ratio(a: Column, b: Column) -> Column:
-    return indel_ratio(F.array_join(F.array_sort(tokens(a)), " "), F.array_join(F.array_sort(tokens(b)), " "))
-
-
-def token_set_ratio(a: Column, b: Column) -> Column:
-    """Best of the common tokens against each side's, and of both sides' own tokens; 0 if a side has none."""
-    ta, tb = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    common, own_a, own_b = F.array_intersect(ta, tb), F.array_except(ta, tb), F.array_except(tb, ta)
-    text_a, text_b = F.array_join(F.array_sort(own_a), " "), F.array_join(F.array_sort(own_b), " ")
-    s, la, lb = F.length(F.array_join(F.array_sort(common), " ")), F.length(text_a), F.length(text_b)
-    gap = F.when(s > 0, 1).otherwise(0)
-    whole_a, whole_b = s + gap + la, s + gap + lb
-    apart = 1.0 - (la + lb - 2 * lcs(text_a, text_b)) / (whole_a + whole_b)
-    best = F.when(s == 0, apart).otherwise(F.greatest(apart, 1.0 - (1 + la) / (s + whole_a), 1.0 - (1 + lb) / (s + whole_b)))
-    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).when((F.size(common) > 0) & ((F.size(own_a) == 0) | (F.size(own_b) == 0)), F.lit(1.0)).otherwise(best)
-
-
-def partial_ratio(a: Column, b: Column) -> Column:
-    """Best indel ratio of the shorter text with any window of the longer one, cut-off windows at its ends included."""
-
-    def best(short: Column, long: Column) -> Column:
-        n, m = F.length(short), F.length(long)
-        windows = F.transform(F.sequence(2 - n, m), lambda i: F.substring(long, F.greatest(i, F.lit(1)), F.least(n, n + i - 1)))
-        return F.array_max(F.transform(windows, lambda w: indel_ratio(short, w)))
-
-    la, lb = F.length(a), F.length(b)
-    some = F.when(la < lb, best(a, b)).when(la > lb, best(b, a)).otherwise(F.greatest(best(a, b), best(b, a)))
-    return F.when((la == 0) & (lb == 0), F.lit(1.0)).when((la == 0) | (lb == 0), F.lit(0.0)).otherwise(some)
-
-
-def jaro_winkler(a: Column, b: Column) -> Column:
-    """Jaro similarity raised for a common start of up to four characters where it exceeds 0.7; 1 for two empty texts."""
-    la, lb = F.length(a), F.length(b)
-    reach = F.greatest(F.floor(F.greatest(la, lb) / 2).cast("int") - 1, F.lit(0))
-
-    def near(j: Column) -> Column:
-        """Positions of a, as bits, within reach of position j of b that hold its character."""
-        start, end = F.greatest(j - reach, F.lit(1)), F.least(j + reach, la)
-        at = F.when(start <= end, F.sequence(start, end)).otherwise(F.array().cast("array<int>"))
-        c = F.substring(b, j, 1)
-        bits = F.transform(at, lambda i: F.when(F.substring(a, i, 1) == c, F.pow(F.lit(2.0), i - 1).cast("long")).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y))
-
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("hit"))
-
-    def step(acc: Column, j: Column) -> Column:
-        free = near(j).bitwiseAND(F.bitwise_not(acc["used"]))
-        first = free.bitwiseAND(-free)
-        return F.when(free == 0, acc).otherwise(F.struct(acc["used"].bitwiseOR(first).alias("used"), F.concat(acc["hit"], F.array(F.substring(b, j, 1))).alias("hit")))
-
-    def score(r: Column) -> Column:
-        mine = F.filter(chars(a), lambda x, k: F.floor(r["used"] / F.pow(F.lit(2.0), k)).cast("long") % 2 == 1)
-        m = F.size(r["hit"])
-        swaps = F.floor(F.size(F.filter(F.zip_with(mine, r["hit"], lambda x, y: x != y), lambda x: x)) / 2)
-        jaro = F.when(m == 0, F.lit(0.0)).otherwise((m / la + m / lb + (m - swaps) / m) / 3)
-        prefix = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), lambda p, i: F.when((p == i - 1) & (i <= la) & (i <= lb) & (F.substring(a, i, 1) == F.substring(b, i, 1)), i).otherwise(p))
-        return F.when(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro)).otherwise(jaro)
-
-    matched = F.aggregate(F.sequence(F.lit(1), F.greatest(lb, F.lit(1))), zero, step, score)
-    return F.when((la == 0) & (lb == 0), F.lit(1.0)).when((la == 0) | (lb == 0), F.lit(0.0)).when((la == 1) & (lb == 1), (a == b).cast("double")).otherwise(matched)
-
+from .text import numeric_tokens, trigram_set
 
 def levenshtein_norm(a: Column, b: Column) -> Column:
     return 1.0 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
@@ -137,7 +48,7 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(norm == 0, F.lit(0.0)).otherwise(dot(x, y) / norm)
 
 
-# The same recurrences on Python's long integers.
+# On Python's long integers.
 
 
 def _masks(a: str) -> dict[str, int]:
@@ -158,14 +69,17 @@ def _lcs(size: int, masks: dict[str, int], b: str) -> int:
 
 
 def lcs_text(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
     return _lcs(len(a), _masks(a), b)
 
 
 def ratio_text(a: str, b: str) -> float:
+    """Twice the common subsequence over both lengths; 1 for two empty texts."""
     return 2 * lcs_text(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
 def token_set_text(a: str, b: str) -> float:
+    """Best of the common tokens against each side's, and of both sides' own tokens; 0 if a side has none."""
     ta, tb = set(a.split()), set(b.split())
     if not ta or not tb:
         return 0.0
@@ -180,6 +94,7 @@ def token_set_text(a: str, b: str) -> float:
 
 
 def partial_text(a: str, b: str) -> float:
+    """Best indel ratio of the shorter text with any window of the longer one, cut-off windows at its ends included."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     out = 0.0
@@ -196,6 +111,7 @@ def partial_text(a: str, b: str) -> float:
 
 
 def jaro_winkler_text(a: str, b: str) -> float:
+    """Jaro similarity raised for a common start of up to four characters where it exceeds 0.7; 1 for two empty texts."""
     if not a or not b:
         return 1.0 if a == b else 0.0
     if len(a) == len(b) == 1:
@@ -217,12 +133,34 @@ def jaro_winkler_text(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
 
 
+def _measure(plain: Callable[[str, str], float], kind: str = "double") -> Callable[[Column, Column], Column]:
+    """A measure of two texts of any length as a function of Columns; null where a text is."""
+
+    def of(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else plain(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    def column(a: Column, b: Column) -> Column:
+        ship(SparkSession.active())
+        return F.pandas_udf(of, kind)(a, b)
+
+    column.__doc__ = plain.__doc__
+    return column
+
+
+def token_sort_text(a: str, b: str) -> float:
+    """Ratio of both texts with their tokens in order."""
+    return ratio_text(" ".join(sorted(a.split())), " ".join(sorted(b.split())))
+
+
+lcs, indel_ratio, token_sort_ratio, token_set_ratio = _measure(lcs_text, "int"), _measure(ratio_text), _measure(token_sort_text), _measure(token_set_text)
+partial_ratio, jaro_winkler = _measure(partial_text), _measure(jaro_winkler_text)
+
 FUZZY = ("jaro_winkler_raw", "jaro_winkler_norm", "token_sort_ratio", "token_set_ratio", "partial_ratio")
 
 
 def _fuzzy(raw_a: pd.Series, raw_b: pd.Series, a: pd.Series, b: pd.Series) -> pd.DataFrame:
     rows = [
-        (jaro_winkler_text(p, q), jaro_winkler_text(x, y), ratio_text(" ".join(sorted(x.split())), " ".join(sorted(y.split()))), token_set_text(x, y), partial_text(x, y))
+        (jaro_winkler_text(p, q), jaro_winkler_text(x, y), token_sort_text(x, y), token_set_text(x, y), partial_text(x, y))
         for p, q, x, y in zip(raw_a, raw_b, a, b, strict=True)
     ]
     return pd.DataFrame(rows, columns=list(FUZZY))
@@ -231,8 +169,7 @@ def _fuzzy(raw_a: pd.Series, raw_b: pd.Series, a: pd.Series, b: pd.Series) -> pd
 def string_similarities(df: DataFrame, raw_a: str, raw_b: str, norm_a: str, norm_b: str) -> DataFrame:
     """``df`` with the nine string features of two texts and their normalised forms; null texts count as empty.
 
-    The five fuzzy ones come from one Arrow function.  As Column expressions, which exist above for texts of up to 62
-    characters, they take several times as long on titles, since every position is looked up anew.
+    The five fuzzy ones come from one Arrow function.
     """
     ship(df.sparkSession)
     ra, rb, a, b = (F.coalesce(F.col(c), F.lit("")) for c in (raw_a, raw_b, norm_a, norm_b))

@@ -25,10 +25,6 @@ def normalize(c: Column) -> Column:
     return F.array_join(F.filter(tokens(spaced), lambda t: ~t.isin(*STOP_TOKENS)), " ")
 
 
-def chars(c: Column) -> Column:
-    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, i, 1))).otherwise(F.array().cast("array<string>"))
-
-
 def trigram_set(c: Column) -> Column:
     """Distinct three-character substrings; a shorter text is its own only one, an empty text has none."""
     n = F.length(c)

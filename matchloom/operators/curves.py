@@ -20,12 +20,31 @@ def by_score(scored: DataFrame) -> DataFrame:
     return scored.groupBy("s").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.sum(1 - F.col("y").cast("long")).alias("neg"))
 
 
+#: Ranges of values that ordered sums are made in at once.
+RANGES = 64
+
+
+def running_sums(counted: DataFrame, value: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """``counted``, one row for each ``value``, with running and whole sums: ``{"n": "upto"}`` adds ``upto`` and ``all_n`` to column n.
+
+    Values are cut into ranges of about equal numbers of rows, summed in each range at once, and what the ranges before it hold is
+    added, so that no task orders all values.
+    """
+    edges = counted.agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)]).alias("e")).head().e or []
+    place = F.size(F.filter(F.array(*map(F.lit, sorted(set(edges)))) if edges else F.array().cast("array<double>"), lambda e: e < F.col(value)))
+    placed = counted.withColumn("_range", -place if descending else place)
+    whole = placed.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])  # a row for each range
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
+    offsets = whole.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in sums], *[F.sum(f"_{c}").over(every).alias(f"all_{c}") for c in sums])
+    within = Window.partitionBy("_range").orderBy(F.desc(value) if descending else F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(F.broadcast(offsets), "_range")
+    return joined.withColumns({out: F.sum(c).over(within) + F.col(f"_before_{c}") for c, out in sums.items()}).drop("_range", *[f"_before_{c}" for c in sums])
+
+
 def cumulative(scored: DataFrame) -> DataFrame:
     """``(s, pos, neg, tp, fp, all_pos, all_neg)``: what lies at or above each distinct score."""
-    down = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy()
-    sums = [F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg")]
-    return by_score(scored).select("s", "pos", "neg", *sums)
+    return running_sums(by_score(scored), "s", {"pos": "tp", "neg": "fp"}, descending=True)
 
 
 def pr_curve(scored: DataFrame) -> DataFrame:
@@ -42,18 +61,22 @@ def max_f1(scored: DataFrame) -> DataFrame:
     return best.select((-F.col("b.n")).alias("threshold"), F.col("b.f1").alias("f1"))
 
 
-def roc_auc(scored: DataFrame) -> DataFrame:
-    """One row ``(auc_roc)``, ties counted half; null unless both labels occur."""
-    c = cumulative(scored)
+def ranking(scored: DataFrame) -> DataFrame:
+    """One row ``(auc_roc, average_precision)``; ties count half in the first, which is null unless both labels occur."""
     wins = F.sum(F.col("pos") * (F.col("all_neg") - F.col("fp") + F.col("neg") / 2))
     pairs = F.max("all_pos") * F.max("all_neg")
-    return c.agg(F.when(pairs > 0, wins / pairs).alias("auc_roc"))
+    precision = F.sum(ratio(F.col("pos"), F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp")))
+    return cumulative(scored).agg(F.when(pairs > 0, wins / pairs).alias("auc_roc"), precision.alias("average_precision"))
+
+
+def roc_auc(scored: DataFrame) -> DataFrame:
+    """One row ``(auc_roc)``."""
+    return ranking(scored).select("auc_roc")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
     """One row ``(average_precision)``: precision at each score weighted by the recall it adds."""
-    c = cumulative(scored)
-    return c.agg(F.sum(ratio(F.col("pos"), F.col("all_pos")) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("average_precision"))
+    return ranking(scored).select("average_precision")
 
 
 def confusion(decided: DataFrame) -> DataFrame:
@@ -74,7 +97,7 @@ def metrics(scored: DataFrame, threshold: float) -> DataFrame:
     sums = base.agg(tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), brier(base).alias("brier_score"), F.count(F.lit(1)).alias("n_test"), F.sum(F.col("y").cast("long")).alias("n_positive"), F.sum(F.col("pred").cast("long")).alias("n_predicted_positive"))
     p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
     f1 = ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))
-    joined = sums.crossJoin(roc_auc(scored)).crossJoin(average_precision(scored))
+    joined = sums.crossJoin(ranking(scored))
     return joined.select(F.lit(float(threshold)).alias("threshold"), p.alias("precision"), r.alias("recall"), f1.alias("f1"), "auc_roc", "average_precision", "brier_score", "n_test", "n_positive", "n_predicted_positive")
 
 

@@ -39,6 +39,10 @@ def hashed_grams(texts: list[str], dim: int = 64) -> list[list[float]]:
     return out
 
 
+#: Encoders by the name that settings give; others may be added.
+ENCODERS: dict[str, Encoder] = {"hashed-trigrams": hashed_grams}
+
+
 def embed(df: DataFrame, id_col: str, text: Column, out: str, encoder: Encoder = hashed_grams) -> DataFrame:
     """``(id, vector)``: each text encoded once, in Arrow batches."""
 
@@ -97,22 +101,31 @@ def prepare_records(df: DataFrame, suffix: str) -> DataFrame:
 
 
 def dangling(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs that name a record which its table does not have."""
+    """Pairs ``(ltable_id, rtable_id)``, each once, that name a record which its table does not have, or none."""
     left = pairs.join(a.select(F.col("id").alias("ltable_id")), "ltable_id", "left_anti")
     right = pairs.join(b.select(F.col("id").alias("rtable_id")), "rtable_id", "left_anti")
     return left.select("ltable_id", "rtable_id").unionByName(right.select("ltable_id", "rtable_id")).distinct()
 
 
-def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, emb_a: DataFrame | None = None, emb_b: DataFrame | None = None, check: bool = False) -> DataFrame:
+def refuse_broken(pairs: DataFrame, a: DataFrame, b: DataFrame) -> None:
+    """``KeyError`` if a pair names a record that its table does not have, ``ValueError`` if a table has an id twice."""
+    twice = [t.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(s).alias("what"), "id", F.lit(None).cast("long").alias("other")) for s, t in (("a", a), ("b", b))]
+    lost = dangling(pairs.select("ltable_id", "rtable_id"), a, b).select(F.lit("pair").alias("what"), F.col("ltable_id").alias("id"), F.col("rtable_id").alias("other"))
+    bad = twice[0].unionByName(twice[1]).unionByName(lost).head()
+    if bad is not None and bad.what == "pair":
+        raise KeyError(f"no such record: {bad.id}, {bad.other}")
+    if bad is not None:
+        raise ValueError(f"table {bad.what} has the id {bad.id} more than once")
+
+
+def pair_features(pairs: DataFrame, a: DataFrame, b: DataFrame, emb_a: DataFrame | None = None, emb_b: DataFrame | None = None, check: bool = True) -> DataFrame:
     """``pairs`` with the twenty features; missing values are null.
 
-    Records are joined by id; pairs of unknown records are dropped, or raise ``KeyError`` with ``check``.  Without
-    embeddings the two cosines are null.
+    Records are joined by id.  Pairs of unknown records are a ``KeyError`` and repeated ids a ``ValueError``; without ``check`` the former
+    are dropped and the latter multiply pairs.  Without embeddings the two cosines are null.
     """
     if check:
-        lost = dangling(pairs, a, b).head()
-        if lost is not None:
-            raise KeyError(f"no such record: {lost.ltable_id}, {lost.rtable_id}")
+        refuse_broken(pairs, a, b)
     pairs = spread(pairs)
     both = pairs.join(prepare_records(a, "a"), F.col("ltable_id") == F.col("id_a")).join(prepare_records(b, "b"), F.col("rtable_id") == F.col("id_b"))
     cosines = {"emb_name_cosine": F.lit(None).cast("double"), "emb_record_cosine": F.lit(None).cast("double")}

@@ -11,7 +11,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .curves import brier, class_weight, max_f1, metrics
+from .curves import brier, by_score, class_weight, max_f1, metrics
 from .features import FEATURE_NAMES
 
 #: Stands for a missing feature; the has_* features tell it from a value.
@@ -89,7 +89,8 @@ class CalibratedModel:
 def calibrate(model: GBTClassificationModel, valid: DataFrame) -> tuple[CalibratedModel, float]:
     """The calibrated model and its threshold with the best F1, both fitted on the validation split."""
     raw = CalibratedModel(model, None).predict_raw(valid)
-    fitted = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="_fit", isotonic=True).fit(raw)
+    points = by_score(raw.select("y", F.col("raw").alias("s"))).select(F.col("s").alias("raw"), (F.col("pos") / (F.col("pos") + F.col("neg"))).alias("y"), (F.col("pos") + F.col("neg")).cast("double").alias("w"))
+    fitted = IsotonicRegression(featuresCol="raw", labelCol="y", weightCol="w", predictionCol="_fit", isotonic=True).fit(points)
     calibrated = CalibratedModel(model, fitted)
     scored = calibrated.predict_proba(valid).select("y", F.col("probability").alias("s"))
     return calibrated, max_f1(scored).head().threshold

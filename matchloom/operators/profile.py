@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .curves import running_sums
+
 
 def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     """``(column, nulls, null_rate)`` per column, from one pass over the table."""
@@ -15,16 +17,44 @@ def null_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     return counts.select("n", rows).select("r.column", "r.nulls", F.coalesce(F.col("r.nulls") / F.nullif("n", F.lit(0)), F.lit(0.0)).alias("null_rate"))
 
 
+def quantiles(df: DataFrame, value: Column, at: dict[str, float]) -> DataFrame:
+    """One row with the exact quantiles ``at``, interpolated between neighbours; null without values.
+
+    Values are counted first and found by their ranks, so no task holds them all.
+    """
+    counted = df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ranked = running_sums(counted, "v", {"n": "upto"})
+
+    def ranked_value(rank: Column) -> Column:
+        return F.min(F.when(F.col("upto") > rank, F.col("v")))
+
+    spot = {k: (F.col("all_n") - 1) * F.lit(q) for k, q in at.items()}
+    ends = ranked.agg(*[f(ranked_value(g(c))).alias(f"{k}_{n}") for k, c in spot.items() for n, f, g in (("lo", lambda x: x, F.floor), ("hi", lambda x: x, F.ceil))], F.max("all_n").alias("all_n"))
+    share = {k: c - F.floor(c) for k, c in spot.items()}
+    return ends.select(*[(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * share[k]).alias(k) for k in at])
+
+
 def describe(df: DataFrame, column: str) -> DataFrame:
     """One row: count, mean, sample deviation, least, exact interpolated quartiles, largest; nulls and NaN left out."""
     c = F.col(column).cast("double")
-    present = df.where(c.isNotNull() & ~F.isnan(c))
-    quartiles = [F.percentile(c, F.lit(q)).alias(n) for n, q in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))]
-    return present.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), *quartiles, F.max(c).alias("max"))
+    sums = df.where(c.isNotNull() & ~F.isnan(c)).agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"))
+    return sums.crossJoin(quantiles(df, c, {"q25": 0.25, "q50": 0.5, "q75": 0.75})).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def median_length(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.median(F.length(column)).alias("median_length"))
+    """One row ``(median_length)`` of a text column; nulls left out."""
+    return quantiles(df, F.length(column).cast("double"), {"median_length": 0.5})
+
+
+def first_per_class(df: DataFrame, by: str, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows of every value of ``by`` in the given order; Spark keeps ``n`` of each task before they meet."""
+    w = Window.partitionBy(by).orderBy(*order)
+    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+
+
+def look_up(df: DataFrame, id_col: str, *ids: int) -> DataFrame:
+    """The records with these ids."""
+    return df.where(F.col(id_col).isin(*ids))
 
 
 def label_mix(splits: dict[str, DataFrame]) -> DataFrame:

@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 
 def read_trees(path: str | Path) -> tuple[list[str], list[dict]]:
-    """Feature names and trees of a model file; a tree has split_feature, threshold, decision_type, left/right_child and leaf_value."""
+    """Feature names and trees of a model file (see ``parse_trees``)."""
+    return parse_trees(Path(path).read_text())
+
+
+def parse_trees(text: str) -> tuple[list[str], list[dict]]:
+    """Feature names and trees of a model's text; a tree has split_feature, threshold, decision_type, left/right_child and leaf_value."""
     names, trees, tree = [], [], None
-    for line in Path(path).read_text().splitlines():
+    for line in text.splitlines():
         key, _, value = line.partition("=")
         if key == "feature_names":
             names = value.split()

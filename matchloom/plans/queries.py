@@ -170,15 +170,21 @@ def er_token_set_ratio(spark, folder):
 
 
 @query(
-    f"""with n as (select distinct p_name as name from part), q as (select x.name x, y.name y, case when length(x.name) <= length(y.name) then x.name else y.name end s, case when length(x.name) <= length(y.name) then y.name else x.name end l from n x join n y on x.name < y.name),
-w as (select x, y, s, unnest(list_transform(generate_series(2 - length(s), length(l)), lambda i: substring(l, greatest(i, 1)::int, least(length(s), length(s) + i - 1)::int))) win from q union all
-  select x, y, l, unnest(list_transform(generate_series(2 - length(l), length(s)), lambda i: substring(s, greatest(i, 1)::int, least(length(l), length(l) + i - 1)::int))) from q where length(s) = length(l))
-select x as name_1, y as name_2, round(max({Q.indel_ratio("s", "win")}), 6) as value from w group by all"""
+    f"""with {Q.PAIRS}, d as (select distinct norm_a x, norm_b y from p where norm_a <> '' and norm_b <> ''),
+q as (select x, y, case when length(x) <= length(y) then x else y end s, case when length(x) <= length(y) then y else x end l from d),
+o as (select x, y, length(s) n, {Q.masks("s", "l")} masks from q union all select x, y, length(l), {Q.masks("l", "s")} from q where length(s) = length(l)),
+w as (select x, y, n, unnest(list_transform(generate_series(2 - n, len(masks)), lambda i: list_slice(masks, greatest(i, 1), least(len(masks), n + i - 1)))) own from o),
+m as (select x, y, max(2.0 * {Q.lcs_of("n", "own")} / (n + len(own))) v from w group by x, y)
+select pair_id, round(coalesce(v, case when norm_a = norm_b then 1.0 else 0.0 end), 6) as value from p left join m on norm_a = x and norm_b = y"""
 )
 def er_partial_ratio(spark, folder):
-    names = table(spark, folder, "part").select(F.col("p_name").alias("name")).distinct()
-    met = names.select(F.col("name").alias("name_1"), F.substring("name", 1, 0).alias("k")).join(names.select(F.col("name").alias("name_2"), F.substring("name", 1, 0).alias("k")), "k").where("name_1 < name_2")
-    return met.select("name_1", "name_2", r6(S.partial_ratio(F.col("name_1"), F.col("name_2"))).alias("value"))
+    return _strings(spark, folder).select("pair_id", r6("partial_ratio").alias("value"))
+
+
+@query(f"with {Q.PAIRS}, q as (select pair_id, regexp_replace(title_a, '{ASCII}', '?', 'g') x, regexp_replace(title_b, '{ASCII}', '?', 'g') y from p) select pair_id, round({Q.jaro_winkler('x', 'y')}, 6) as value from q")
+def er_jaro_winkler_raw(spark, folder):
+    known = pairs(spark, folder).select("pair_id", *[_plain(F.col(f"title_{s}")).alias(s) for s in "ab"])
+    return S.string_similarities(known, "a", "b", "a", "b").select("pair_id", r6("jaro_winkler_raw").alias("value"))
 
 
 @query("select x.vec_id, round(coalesce(list_dot_product(x.embedding::double[], y.embedding::double[]) / nullif(sqrt(list_dot_product(x.embedding::double[], x.embedding::double[])) * sqrt(list_dot_product(y.embedding::double[], y.embedding::double[])), 0), 0), 6) as value from embeddings x join embeddings y on y.vec_id = x.vec_id + 1")
@@ -237,11 +243,48 @@ def er_pair_features(spark, folder):
     return _features(spark, folder, "train")
 
 
-@query("select t.pair_id from train t left join tablea a on a.id = t.ltable_id left join tableb b on b.id = t.rtable_id where a.id is null or b.id is null")
+_WHOLE = ("price_abs_diff", "price_log_ratio", "price_rel_diff", "manufacturer_exact", "manufacturer_jw")
+_FOLDED = "(select id, regexp_replace(title, '{a}', '?', 'g') title, regexp_replace(manufacturer, '{a}', '?', 'g') manufacturer, price from {t})"
+
+
+@query(
+    "with "
+    + Q.PAIRS.replace("join tablea a", f"join {_FOLDED.format(a=ASCII, t='tablea')} a").replace("join tableb b", f"join {_FOLDED.format(a=ASCII, t='tableb')} b")
+    + f""", q as (select *, {_PRICED} priced, {_MADE} made, {Q.normalize("mfr_a")} fa, {Q.normalize("mfr_b")} fb, list_distinct({Q.tokens("norm_a")}) ta, list_distinct({Q.tokens("norm_b")}) tb,
+  array_to_string(list_sort({Q.tokens("norm_a")}), ' ') sa, array_to_string(list_sort({Q.tokens("norm_b")}), ' ') sb from p),
+u as (select *, list_intersect(ta, tb) common, array_to_string(list_sort(list_filter(ta, lambda w: not list_contains(tb, w))), ' ') x, array_to_string(list_sort(list_filter(tb, lambda w: not list_contains(ta, w))), ' ') y from q),
+w as (select *, length(array_to_string(list_sort(common), ' ')) s, case when len(common) > 0 then 1 else 0 end g from u),
+z as (select *, s + g + length(x) la, s + g + length(y) lb from w),
+f as (select pair_id, ltable_id, rtable_id, label, {Q.jaro_winkler("title_a", "title_b")} jaro_winkler_raw, {Q.jaro_winkler("norm_a", "norm_b")} jaro_winkler_norm, {Q.indel_ratio("sa", "sb")} token_sort_ratio,
+  case when len(ta) = 0 or len(tb) = 0 then 0.0 when len(common) > 0 and (x = '' or y = '') then 1.0 when s = 0 then 1 - (length(x) + length(y) - 2.0 * {Q.lcs("x", "y")}) / (la + lb)
+    else greatest(1 - (length(x) + length(y) - 2.0 * {Q.lcs("x", "y")}) / (la + lb), 1 - (1.0 + length(x)) / (s + la), 1 - (1.0 + length(y)) / (s + lb)) end token_set_ratio,
+  1 - levenshtein(norm_a, norm_b)::double / greatest(length(norm_a), length(norm_b), 1) levenshtein_norm, {Q.jaccard(Q.trigrams("norm_a"), Q.trigrams("norm_b"))} trigram_jaccard, {Q.jaccard(Q.numbers("norm_a"), Q.numbers("norm_b"))} numeric_token_overlap,
+  case when greatest(length(norm_a), length(norm_b)) = 0 then 0.0 else least(length(norm_a), length(norm_b))::double / greatest(length(norm_a), length(norm_b)) end length_ratio,
+  """
+    + ", ".join(f"case when priced then {e} end {n}" for n, e in PRICE.items())
+    + f""", case when made then (fa = fb)::int::double end manufacturer_exact, case when made then {Q.jaro_winkler("fa", "fb")} end manufacturer_jw, priced::int::double has_price_both, made::int::double has_manufacturer_both from z)
+select pair_id, ltable_id, rtable_id, label, """
+    + ", ".join(f"round({n}, 6) {n}" for n in X.FEATURE_NAMES if not n.startswith("emb_") and n not in ("partial_ratio", "high_name_sim_price_mismatch", "disagreeing_fields"))
+    + """, (jaro_winkler_norm > 0.9 and coalesce(price_rel_diff > 0.5, false))::int::double high_name_sim_price_mismatch, coalesce(price_rel_diff > 0.3, false)::int::double + coalesce(manufacturer_exact < 1, false)::int::double disagreeing_fields from f"""
+)
+def er_feature_row(spark, folder):
+    """The feature row without embeddings and best windows, which have queries of their own; DuckDB counts bytes, so other signs than ASCII count as one."""
+    a, b = (table(spark, folder, t).withColumns({c: _plain(F.col(c)) for c in ("title", "manufacturer")}) for t in ("tablea", "tableb"))
+    t = table(spark, folder, "train").select("pair_id", "ltable_id", "rtable_id", "label")
+    names = [n for n in X.FEATURE_NAMES if not n.startswith("emb_") and n != "partial_ratio"]
+    return X.pair_features(t, a, b).select("pair_id", "ltable_id", "rtable_id", "label", *[r6(n).alias(n) for n in names])
+
+
+@query(
+    f"""select t.pair_id from (select pair_id, case when label is not null then ltable_id end ltable_id, rtable_id from train) t left join (select id from tablea where {Q.present_text("title")}) a on a.id = t.ltable_id
+left join (select id from tableb where {Q.present_text("title")}) b on b.id = t.rtable_id where a.id is null or b.id is null"""
+)
 def er_dangling_pairs(spark, folder):
-    t = table(spark, folder, "train")
-    lost = X.dangling(t, table(spark, folder, "tablea"), table(spark, folder, "tableb"))
-    return t.join(lost, (t["ltable_id"] == lost["ltable_id"]) & (t["rtable_id"] == lost["rtable_id"]), "left_semi").select("pair_id")
+    """Training pairs that name a record without title, or - where the label is missing - no left record at all."""
+    t = table(spark, folder, "train").select("pair_id", F.when(F.col("label").isNotNull(), F.col("ltable_id")).alias("ltable_id"), "rtable_id")
+    a, b = (table(spark, folder, n).where(T.present_text(F.col("title"))).select("id") for n in ("tablea", "tableb"))
+    lost = X.dangling(t, a, b)
+    return t.join(lost, t["ltable_id"].eqNullSafe(lost["ltable_id"]) & t["rtable_id"].eqNullSafe(lost["rtable_id"]), "left_semi").select("pair_id")
 
 
 # curves and figures
@@ -388,6 +431,75 @@ def er_error_samples(spark, folder):
     return P.error_samples(decided, "pair_id").select("kind", "pair_id", "s")
 
 
+@query("select label, pair_id, ltable_id, rtable_id from (select *, row_number() over (partition by label order by pair_id) k from train where label is not null) where k <= 5")
+def er_first_per_class(spark, folder):
+    return P.first_per_class(table(spark, folder, "train").where("label is not null").select("label", "pair_id", "ltable_id", "rtable_id"), "label", 5, "pair_id")
+
+
+@query("select id, title, manufacturer, price from tablea where id in (1, 2, 3, 5, 8, 13)")
+def er_look_up(spark, folder):
+    return P.look_up(table(spark, folder, "tablea"), "id", 1, 2, 3, 5, 8, 13).select("id", "title", "manufacturer", "price")
+
+
+def _scored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    known = pairs(spark, folder, name).where("label is not null")
+    return known.select("label", (F.floor(S.trigram_jaccard(F.col("title_norm_a"), F.col("title_norm_b")) * 100 + 1e-9) / 100).alias("trigram_jaccard"))
+
+
+@query(
+    "with "
+    + ", ".join(
+        Q.PAIRS.replace("\np as", f"\np_{s} as").replace("from train t", f"from {s} t") + f", y_{s} as (select label::double y, floor({Q.jaccard(Q.trigrams('norm_a'), Q.trigrams('norm_b'))} * 100 + 1e-9) / 100 s from p_{s} where label is not null)"
+        for s in ("valid", "test")
+    )
+    + """, b as (select s, sum(y::bigint)::bigint pos, count(*) n from y_valid group by s), c as (select s, sum(pos) over (order by s desc) tp, sum(n) over (order by s desc) seen, sum(pos) over () every from b),
+best as (select s threshold from c order by coalesce(2.0 * tp / nullif(seen + every, 0), 0) desc, s limit 1),
+k as (select count_if(y = 1 and s >= threshold) tp, count_if(y = 0 and s >= threshold) fp, count_if(y = 1 and s < threshold) fn, any_value(threshold) threshold, count(*) n from y_test, best)
+select threshold, round(tp / nullif(tp + fp, 0)::double, 6) "precision", round(tp / nullif(tp + fn, 0)::double, 6) recall, round(2.0 * tp / nullif(2 * tp + fp + fn, 0), 6) f1, n n_test from k"""
+)
+def er_naive_baseline(spark, folder):
+    """One feature as the score: threshold from the validation split, figures on the test split."""
+    from ..operators.model import evaluate_naive_baseline
+
+    r = evaluate_naive_baseline(_scored(spark, folder, "test"), _scored(spark, folder, "valid"), "trigram_jaccard")
+    return spark.createDataFrame([(float(r["threshold"]), *[round(r[k], 6) for k in ("precision", "recall", "f1")], r["n_test"])], "threshold double, precision double, recall double, f1 double, n_test long")
+
+
+_MODEL_TEXT = """feature_names=trigram_jaccard length_ratio price_rel_diff
+
+Tree=0
+split_feature=0 2
+threshold=0.4 0.25
+decision_type=2 10
+left_child=1 -2
+right_child=-1 -3
+leaf_value=0.75 -0.5 -0.25
+
+Tree=1
+split_feature=1
+threshold=0.6
+decision_type=2
+left_child=-1
+right_child=-2
+leaf_value=-0.125 0.25
+
+end of trees
+"""
+
+
+@query(
+    f"""with {Q.PAIRS}, f as (select pair_id, {Q.jaccard(Q.trigrams("norm_a"), Q.trigrams("norm_b"))} j, case when greatest(length(norm_a), length(norm_b)) = 0 then 0.0 else least(length(norm_a), length(norm_b))::double / greatest(length(norm_a), length(norm_b)) end l,
+  case when {_PRICED} then {PRICE["price_rel_diff"]} end d from p)
+select pair_id, round(1 / (1 + exp(-((case when j <= 0.4 then case when d is null or d <= 0.25 then -0.5 else -0.25 end else 0.75 end) + (case when l <= 0.6 then -0.125 else 0.25 end)))), 6) probability from f"""
+)
+def er_model_text(spark, folder):
+    """Pairs scored by a model in the text format."""
+    from ..operators.trees import parse_trees, probability
+
+    known = pairs(spark, folder).withColumns({"trigram_jaccard": S.trigram_jaccard(F.col("title_norm_a"), F.col("title_norm_b")), "length_ratio": S.length_ratio(F.col("title_norm_a"), F.col("title_norm_b"))} | X.price_features(F.col("price_a"), F.col("price_b")))
+    return known.select("pair_id", r6(probability(*parse_trees(_MODEL_TEXT))).alias("probability"))
+
+
 # model
 
 

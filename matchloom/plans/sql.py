@@ -31,12 +31,20 @@ def jaccard(x: str, y: str) -> str:
     return f"(case when {union} = 0 then 0.0 else len(list_intersect({x}, {y}))::double / {union} end)"
 
 
+def masks(a: str, b: str) -> str:
+    """For every character of ``b`` its places in ``a``, as bits; ``a`` may have up to 120 characters."""
+    return f"list_transform(generate_series(1, length({b})), lambda j: list_sum(list_transform(generate_series(1, length({a})), lambda i: case when substring({a}, i::int, 1) = substring({b}, j::int, 1) then 1::hugeint << (i - 1)::int else 0::hugeint end))::hugeint)"
+
+
+def lcs_of(n: str, places: str) -> str:
+    """Longest common subsequence of a text of ``n`` characters and one whose characters stand in it at ``places``."""
+    full = f"((1::hugeint << ({n})::int) - 1)"
+    return f"({n} - bit_count(list_reduce(list_prepend({full}, {places}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})))"
+
+
 def lcs(a: str, b: str) -> str:
-    """Longest common subsequence of texts of up to 120 characters, one bit for each character of ``a``."""
-    masks = f"list_transform(generate_series(1, length({b})), lambda j: list_sum(list_transform(generate_series(1, length({a})), lambda i: case when substring({a}, i::int, 1) = substring({b}, j::int, 1) then 1::hugeint << (i - 1)::int else 0::hugeint end))::hugeint)"
-    full = f"((1::hugeint << length({a})::int) - 1)"
-    step = f"list_reduce(list_prepend({full}, {masks}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full})"
-    return f"(case when length({a}) = 0 or length({b}) = 0 then 0 else length({a}) - bit_count({step}) end)"
+    """Longest common subsequence of texts of up to 120 characters."""
+    return f"(case when length({a}) = 0 or length({b}) = 0 then 0 else {lcs_of(f'length({a})', masks(a, b))} end)"
 
 
 def indel_ratio(a: str, b: str) -> str:
@@ -80,7 +88,7 @@ def candidates(threshold: float) -> str:
 #: Training pairs with both records and their normalised titles.
 PAIRS = f"""
 p as (
-  select t.pair_id, t.label, coalesce(a.title, 'nan') title_a, coalesce(b.title, 'nan') title_b, {normalize("coalesce(a.title, 'nan')")} norm_a, {normalize("coalesce(b.title, 'nan')")} norm_b,
+  select t.pair_id, t.ltable_id, t.rtable_id, t.label, coalesce(a.title, 'nan') title_a, coalesce(b.title, 'nan') title_b, {normalize("coalesce(a.title, 'nan')")} norm_a, {normalize("coalesce(b.title, 'nan')")} norm_b,
     a.manufacturer mfr_a, b.manufacturer mfr_b, a.price price_a, b.price price_b
   from train t join tablea a on a.id = t.ltable_id join tableb b on b.id = t.rtable_id)"""
 

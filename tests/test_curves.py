@@ -61,3 +61,24 @@ def test_profiles(spark):
     assert {(r.kind, r.k) for r in P.error_samples(decided, "k", 1).collect()} == {("fp", 1), ("fn", 2)}
     mix = P.label_mix({"x": spark.createDataFrame([(1,), (0,), (None,)], "label int")}).head()
     assert (mix.positives, mix.total) == (1, 3)
+
+
+def test_running_sums_and_quantiles(spark):
+    import numpy as np
+
+    from matchloom.operators.curves import running_sums
+    from matchloom.operators.profile import describe, first_per_class, median_length, quantiles
+
+    r = random.Random(8)
+    values = [r.choice([r.random(), round(r.random(), 1)]) for _ in range(700)]
+    df = spark.createDataFrame([(v, "x" * i) for i, v in enumerate(values)] + [(None, None), (float("nan"), "")], "v double, t string").repartition(3)
+    counted = df.where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    rows = sorted((x.v, x.n, x.upto, x.all_n) for x in running_sums(counted, "v", {"n": "upto"}).collect())
+    assert [x[2] for x in rows] == np.cumsum([x[1] for x in rows]).tolist() and {x[3] for x in rows} == {700}
+    q = quantiles(df, F.col("v"), {"a": 0.1, "b": 0.5, "c": 0.999}).head()
+    assert list(q) == pytest.approx(np.quantile(values, [0.1, 0.5, 0.999]).tolist())
+    d = describe(df, "v").head()
+    assert (d["count"], d.q75) == (700, pytest.approx(np.quantile(values, 0.75)))
+    assert median_length(df, "t").head().median_length == pytest.approx(np.median([*range(700), 0]))
+    assert describe(df.limit(0), "v").head().q50 is None
+    assert sorted(x.v for x in first_per_class(df.where("v < 0.5").withColumn("k", F.lit(1)), "k", 2, "v").collect()) == sorted(values)[:2]

@@ -41,7 +41,16 @@ def test_dangling_pairs(spark):
     a = spark.createDataFrame([(1, "x", None, None)], ENTITY)
     pairs = spark.createDataFrame([(1, 1, 1), (1, 2, 0)], "ltable_id long, rtable_id long, label int")
     assert [tuple(r) for r in X.dangling(pairs, a, a).collect()] == [(1, 2)]
-    assert X.pair_features(pairs, a, a).count() == 1
+    assert X.pair_features(pairs, a, a, check=False).count() == 1
     with pytest.raises(KeyError):
-        X.pair_features(pairs, a, a, check=True)
-    assert X.pair_features(pairs, a, a).where(F.col("emb_name_cosine").isNotNull()).count() == 0
+        X.pair_features(pairs, a, a)
+    with pytest.raises(ValueError, match="more than once"):
+        X.pair_features(pairs.limit(1), a, a.union(a))
+    assert X.pair_features(pairs, a, a, check=False).where(F.col("emb_name_cosine").isNotNull()).count() == 0
+    none = spark.createDataFrame([(None, 1, 1), (1, 1, 1)], "ltable_id long, rtable_id long, label int")
+    assert [tuple(r) for r in X.dangling(none, a, a).collect()] == [(None, 1)]
+
+
+def test_long_manufacturers(spark):
+    r = row(spark, ("x", "The " + "very long maker's name " * 9, 1.0), ("x", "very long makers name " * 9, 1.0))
+    assert 0.8 < r.manufacturer_jw < 1.0

@@ -77,7 +77,7 @@ def test_config(tmp_path):
     path = tmp_path / "c.yaml"
     path.write_text(YAML)
     config = load_config(path)
-    assert (config.dataset.name, config.blocking.threshold, config.model.params["n_estimators"], config.pipeline.random_seed) == ("toys", 0.38, 3, 42)
+    assert (config["dataset.name"], config["blocking.threshold"], config["model.params"]["n_estimators"], config["pipeline.random_seed"]) == ("toys", 0.38, 3, 42)
     with pytest.raises(FileNotFoundError):
         load_config(tmp_path / "none.yaml")
     path.write_text("blocking: {}")
@@ -86,6 +86,33 @@ def test_config(tmp_path):
     path.write_text(YAML + "pipeline: {nothing: 1}")
     with pytest.raises(TypeError):
         load_config(path)
+    for more, error in (("blocking: {method: other}", ValueError), ("model: {type: svm}", ValueError), ("model: {params: {max_bin: 3}}", TypeError), ("model: {early_stopping_rounds: x}", TypeError)):
+        path.write_text("\n".join(x for x in YAML.splitlines() if not x.startswith(more.split(":")[0])) + "\n" + more)
+        with pytest.raises(error):
+            load_config(path)
+
+
+def test_download_step(tmp_path, capsys):
+    from matchloom.__main__ import main
+
+    source, target = tmp_path / "s.csv", tmp_path / "data" / "a.csv"
+    source.write_text("id,title\n1,x\n")
+    path = tmp_path / "c.yaml"
+    path.write_text(YAML.replace("table_a: A", f"table_a: {target}").replace("test: X}", f"test: X, sources: {{table_a: {{from: {source}, sha256: {S.sha256(source)}}}}}}}"))
+    assert main(["--config", str(path), "--step", "download", "-v"]) == 0 and target.read_text() == source.read_text()
+    assert "tables: 1" in capsys.readouterr().out
+    assert main(["--config", str(path), "--step", "evaluate"]) == 1
+
+
+def test_own_columns(spark, tmp_path):
+    from matchloom.config import settings_of
+    from matchloom.pipeline import load_data
+
+    (tmp_path / "a.csv").write_text("key,name,brand,cost\n1,x y,acme,2.5\n")
+    (tmp_path / "p.csv").write_text("ltable_id,rtable_id,label\n1,1,1\n")
+    paths = {t: str(tmp_path / "a.csv") for t in ("table_a", "table_b")} | {s: str(tmp_path / "p.csv") for s in ("train", "valid", "test")}
+    data = load_data(spark, settings_of({"dataset": {"name": "own", **paths, "id_col": "key", "text_col": "name", "structured_cols": ["brand", "cost"]}}))
+    assert [tuple(r) for r in data["a"].collect()] == [(1, "x y", "acme", 2.5)] and data["a"].columns == ["id", "title", "manufacturer", "price"]
 
 
 def test_model_text(spark, tmp_path):

@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from matchloom.config import BlockingConfig, Config, DatasetConfig, ModelConfig, PipelineConfig
+from matchloom.config import settings_of
 from matchloom.operators.features import FEATURE_NAMES
 from matchloom.operators.model import evaluate_naive_baseline, feature_importance, to_vectors, train_model
 from matchloom.pipeline import run_pipeline
@@ -29,10 +29,10 @@ def make(spark, folder, n=40):
 
 def test_pipeline(spark, tmp_path):
     p = make(spark, tmp_path)
-    config = Config(
-        DatasetConfig("toys", p["a"], p["b"], p["train"], p["valid"], p["test"]), ModelConfig(params={"n_estimators": 3}, early_stopping_rounds=2), BlockingConfig(threshold=0.3),
-        PipelineConfig(output_dir=str(tmp_path / "out"), artifacts_dir=str(tmp_path / "art")),
-    )
+    config = settings_of({
+        "dataset": {"name": "toys", "table_a": p["a"], "table_b": p["b"], "train": p["train"], "valid": p["valid"], "test": p["test"]}, "blocking": {"threshold": 0.3},
+        "model": {"params": {"n_estimators": 3, "num_leaves": 7}, "early_stopping_rounds": 2}, "pipeline": {"output_dir": str(tmp_path / "out"), "artifacts_dir": str(tmp_path / "art")},
+    })
     out = run_pipeline(spark, config)
     assert out["model"]["f1"] > 0.9 and out["blocking_recall_ceiling"] > 0.5 and out["baseline"]["f1"] > 0
     assert set(json.loads((tmp_path / "out" / "metrics.json").read_text())) == {"threshold", "precision", "recall", "f1", "auc_roc", "average_precision", "brier_score", "n_test", "n_positive", "n_predicted_positive"}

@@ -31,13 +31,43 @@ def test_texts_against_plain_versions():
             assert S.partial_text(a, b) == pytest.approx(best)
 
 
-def test_columns_equal_texts(spark):
-    rows = some_pairs(150, 2)
-    cols = {"jw": (S.jaro_winkler, S.jaro_winkler_text), "set": (S.token_set_ratio, S.token_set_text), "part": (S.partial_ratio, S.partial_text), "lcs": (S.lcs, S.lcs_text), "ratio": (S.indel_ratio, S.ratio_text)}
-    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", *[c(F.col("a"), F.col("b")).alias(k) for k, (c, _) in cols.items()]).collect()
-    for r in got:
-        for k, (_, plain) in cols.items():
-            assert r[k] == pytest.approx(plain(r.a, r.b)), (k, r.a, r.b)
+def jaro_winkler_plain(a, b):
+    """By the definition, positions and flags only."""
+    if not a or not b:
+        return float(a == b)
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    taken = set()
+    pairs = []
+    for j, c in enumerate(b):
+        i = next((i for i in range(len(a)) if abs(i - j) <= reach and a[i] == c and i not in taken), None)
+        if i is not None:
+            taken.add(i)
+            pairs.append((i, c))
+    if not pairs:
+        return 0.0
+    m = len(pairs)
+    moved = sum(a[i] != c for i, (_, c) in zip(sorted(taken), pairs, strict=True)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - moved) / m) / 3
+    start = 0
+    while start < min(4, len(a), len(b)) and a[start] == b[start]:
+        start += 1
+    return jaro + start * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_columns_at_any_length(spark):
+    r = random.Random(2)
+    rows = some_pairs(60, 2)
+    for _ in range(60):
+        a = "".join(r.choice("abcdef ") for _ in range(r.randrange(0, 300)))
+        b = "".join(c for c in a if r.random() > 0.2) if r.random() < 0.6 else "".join(r.choice("abcdef ") for _ in range(r.randrange(0, 300)))
+        rows.append((a, b))
+    cols = {"jw": S.jaro_winkler, "lcs": S.lcs, "ratio": S.indel_ratio}
+    got = spark.createDataFrame([*rows, (None, "a"), ("a", None)], "a string, b string").select("a", "b", *[c(F.col("a"), F.col("b")).alias(k) for k, c in cols.items()]).collect()
+    assert [(x.jw, x.lcs, x.ratio) for x in got[-2:]] == [(None, None, None)] * 2
+    for x in got[:-2]:
+        common = lcs_by_table(x.a, x.b)
+        assert (x.lcs, x.ratio) == (common, pytest.approx(2 * common / max(1, len(x.a) + len(x.b)) if x.a or x.b else 1.0))
+        assert x.jw == pytest.approx(jaro_winkler_plain(x.a, x.b)), (x.a, x.b)
 
 
 def features(spark, a, b):
