@@ -38,25 +38,35 @@ def read_listings(listings: DataFrame) -> DataFrame:
 
 
 def maker_words(listings: DataFrame, makers: DataFrame) -> DataFrame:
-    """Words ``(word)`` of makers' names: those of the reference list, and those typed as manufacturer more than once."""
+    """Words ``(word, maker)`` of makers' names: those of the reference list, and those typed as manufacturer more than once.
+
+    ``maker`` is the word that is meant: for one that is within its slips of a listed or more often typed one, the latter,
+    so that a maker spelt in two ways does not contradict itself.
+    """
 
     @F.pandas_udf("array<string>")
     def words(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if is_missing(t) else [w for w in WORD.findall(plain(t)) if len(w) > 2 and not w.isdigit()])
 
     typed = listings.select("manufacturer").where("manufacturer is not null").groupBy("manufacturer").agg(F.count(F.lit(1)).alias("n"))
-    typed = typed.select(F.explode(words("manufacturer")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word")
-    listed = makers.select(F.explode(words(F.col("name").cast("string"))).alias("word"))
-    return typed.unionByName(listed).distinct()
+    typed = typed.select(F.explode(words("manufacturer")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select("word", F.lit(False).alias("listed"), "n")
+    listed = makers.select(F.explode(words(F.col("name").cast("string"))).alias("word"), F.lit(True).alias("listed"), F.lit(0).cast("long").alias("n"))
+    every = stored(typed.unionByName(listed).groupBy("word").agg(F.max("listed").alias("listed"), F.sum("n").alias("n")))
+    near_ = near_names(every.select(F.lit("").alias("facts"), F.col("word").alias("name")))
+    both = near_.select(F.col("name_1").alias("word"), F.col("name_2").alias("other"), "distance").unionByName(near_.select(F.col("name_2").alias("word"), F.col("name_1").alias("other"), "distance"))
+    known = both.join(every, "word").join(every.select(F.col("word").alias("other"), F.col("listed").alias("l2"), F.col("n").alias("n2")), "other")
+    better = known.where(~F.col("listed") & (F.col("l2") | (F.col("n2") > F.col("n"))))
+    meant = better.groupBy("word").agg(F.max_by("other", F.struct("l2", -F.col("distance"), "n2", "other")).alias("maker"))
+    return every.select("word").join(meant, "word", "left").select("word", F.coalesce("maker", "word").alias("maker"))
 
 
 def with_names(read: DataFrame, words: DataFrame) -> DataFrame:
     """``read`` with ``names`` (what the product line may be called) and ``makers`` (maker's words of the title) for ``words``."""
     each = read.select("side", "id", F.posexplode("words").alias("at", "word"))
-    known = each.join(words.withColumn("maker", F.lit(True)), "word", "left")
+    known = each.join(words, "word", "left")
     parts = known.groupBy("side", "id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("maker").isNull(), F.struct("at", "word")))), lambda x: x["word"]).alias("rest"),
-        F.sort_array(F.collect_set(F.when(F.col("maker"), F.col("word")))).alias("makers"),
+        F.sort_array(F.collect_set("maker")).alias("makers"),
     )
 
     empty = F.array().cast("array<string>")
@@ -85,7 +95,7 @@ def spelling_keys(names: DataFrame) -> DataFrame:
                 yield pd.DataFrame(rows, columns=["facts", "name", "form"])
 
     # the names are few bytes and much work, so their partitions must not be put together by size
-    cut = names.select("facts", "name").repartition(parallel(names.sparkSession), "facts", "name")
+    cut = names.select("facts", "name").repartition(parallel(names.sparkSession), F.xxhash64("name"))
     return cut.mapInPandas(expand, "facts string, name string, form string").select("facts", "name", F.xxhash64("facts", "form").alias("key"))
 
 
