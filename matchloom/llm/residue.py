@@ -188,6 +188,12 @@ class Leaf:
         return [(g, *words[DEPTH + g * free // k : DEPTH + (g + 1) * free // k]) for g in range(k)]
 
     def add(self, words: list[str], member: tuple) -> None:
+        if not self.templates:  # most leaves hold one message, which is looked for by none
+            self.templates.append([words, [member]])
+            return
+        if not self.by:
+            for g in self._groups(self.templates[0][0]):
+                self.by[g] = {0}
         groups = self._groups(words)
         best, most = None, self.length - self.differ - 1
         for k in sorted(set().union(*(self.by.get(g, ()) for g in groups))):
@@ -217,8 +223,9 @@ def classify(words: list[str], members: list[tuple]) -> str:
     makes up a whole section nearly wherever it occurs, in papers of ``REPEATED`` different titles, is a placeholder:
     content that stands alone is not worded alike in different papers, and copies of one paper have one title.
     """
-    kind = _judge(" ".join(words)) or _judge(members[0][0])
-    if kind:
+    template = " ".join(words)
+    kind = _judge(template) or (_judge(members[0][0]) if members[0][0] != template else "")
+    if kind or sum(m[3] for m in members) < REPEATED:
         return kind
     fixed = [w for w in words if WILD not in w and _TEXT_WORD.search(w) and w[0] not in "\\{$"]
     if len(fixed) < 3 or 2 * len(fixed) < len(words):
@@ -311,17 +318,20 @@ def read_messages(documents: DataFrame) -> DataFrame:
     """One row for every different message of every part: document, number and kind of the part, message, times, words, those of the part, and a hash of the paper's title."""
 
     def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _READ.split(", ")]
         for frame in frames:
-            rows = []
-            for row, doc, text in zip(frame["row"], frame["doc_id"], frame["text"], strict=True):
+            columns: list[list] = [[] for _ in names]
+            for row, doc, text in zip(frame["row"].tolist(), frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
                 cut = parts(text)
                 title = next((xxhash.xxh64_intdigest(" ".join(c.lower().split())) >> 1 for k, c in cut if k == "title"), None)
                 for at, (kind, content) in enumerate(cut):
                     found = messages_of(kind, content)
-                    total = sum(m[3] for m in found)
-                    rows += [(row, doc, at, kind, *m, total, title) for m in found]
-            out = pd.DataFrame([r[:-1] for r in rows], columns=[c.split()[0] for c in _READ.split(", ")[:-1]])
-            yield out.assign(title=pd.array([r[-1] for r in rows], "Int64"))
+                    if found:
+                        k, own = len(found), list(zip(*found, strict=True))
+                        for column, values in zip(columns, ([row] * k, [doc] * k, [at] * k, [kind] * k, *own, [sum(own[3])] * k, [title] * k), strict=True):
+                            column += values
+            out = dict(zip(names, columns, strict=True))
+            yield pd.DataFrame(out | {"title": pd.array(out["title"], "Int64")})
 
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
     return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(scan, _READ)
