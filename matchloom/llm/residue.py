@@ -29,8 +29,10 @@ SLOT = re.compile(
     re.I,
 )
 
-#: One of these is in every slot.
-_SLOT_SIGN = re.compile(r"\{\{|@@|__|[$#]\{|%\(|[\[<]|\(enter|xxx", re.I)
+def _signed(lower: str) -> bool:
+    """Whether a text in lower case holds a sign that every slot has one of; quicker than the pattern itself."""
+    return "[" in lower or "<" in lower or "{{" in lower or "@@" in lower or "__" in lower or "${" in lower or "#{" in lower or "%(" in lower or "(enter" in lower or "xxx" in lower
+
 
 # Wordings of residue, matched against a template from its first word on.
 _PLACEHOLDER = rf"""(?:please )?(?:insert|enter|type|add|write|put) (?:your |the |an? )?\S+(?: \S+){{0,3}} here
@@ -149,7 +151,7 @@ _FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blindmathpap
 
 def _judge(template: str) -> str:
     """Kind of residue that a wording in lower case is, or ``""``."""
-    if _SLOT_SIGN.search(template) and SLOT.fullmatch(template.strip(" .,;:")):
+    if _signed(template) and SLOT.fullmatch(template.strip(" .,;:")):
         return "placeholder"
     return next((k for k, p in _KINDS if p.match(template)), "")
 
@@ -255,7 +257,7 @@ def _strange(words: list[str]) -> bool:
 
 def _unfilled(text: str) -> bool:
     """A slot with hardly a word beside it."""
-    return _SLOT_SIGN.search(text) is not None and SLOT.search(text) is not None and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
+    return _signed(text.lower()) and SLOT.search(text) is not None and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
 
 
 def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
@@ -270,7 +272,7 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
     if "\\" in text or "$" in text or "`" in text:
         text = _FILLER_COMMAND.sub(" ", text)
         text = _QUOTED.sub(" quoted ", text)
-        if not (_SLOT_SIGN.search(text) and SLOT.search(text)):
+        if not (_signed(text.lower()) and SLOT.search(text)):
             text = _MATH.sub(" formula ", text)
         text = _ESCAPED.sub(r"\1", text)
     if kind in ("title", "author"):
@@ -283,6 +285,7 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
         text = _MARK.sub(" ", text)
     lower = text.lower()
     chrome = any(sign in lower for sign in _CHROME_SIGNS)
+    signed = _signed(lower)
     found: dict[str, list] = {}
     others: list[str] = []
     for sentence in _SENTENCE.split(text):
@@ -294,7 +297,7 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
             if not any(map(str.isalnum, s)):
                 continue
         words = _TEXT_WORD.findall(s.lower())
-        own = "placeholder" if _unfilled(s) else "filler" if _filler(words) else ""
+        own = "placeholder" if signed and _unfilled(s) else "filler" if _filler(words) else ""
         if not own:
             others += words
         message = masked(s)
