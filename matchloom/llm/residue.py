@@ -296,11 +296,12 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
             s = " ".join(_CHROME.sub(" ", s).split())
             if not any(map(str.isalnum, s)):
                 continue
-        words = _TEXT_WORD.findall(s.lower())
+        low = s.lower()
+        words = _TEXT_WORD.findall(low)
         own = "placeholder" if signed and _unfilled(s) else "filler" if _filler(words) else ""
         if not own:
             others += words
-        message = masked(s)
+        message = _DIGITS.sub(WILD, low) if _DIGIT.search(low) else low
         size = sum(WILD not in w for w in message.split(" ")) if WILD in message else message.count(" ") + 1
         row = found.setdefault(message, [own, 0, 0])
         row[1] += 1
