@@ -1,27 +1,28 @@
-"""Overlaps between evaluation and training splits, found with the weighted cosine join."""
+"""Overlaps between evaluation and training splits: titles that are a few edits apart and whose weighted trigrams reach a cosine."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.cosine import cosine_join
-from ..runtime import salted_join, stored
+from ..operators.cosine import SLACK, dot_products, ranges
+from ..runtime import parallel, salted_join, stored
 from .listings import both_tables, read_listings
-from .listing_text import near
 from .resolve import vertex
 
 
-def unit_vectors(texts: DataFrame) -> DataFrame:
-    """``(key, term, weight)`` from ``texts(key, scope, squeezed)``: the text's trigrams, each once, weighted by rarity.
+def unit_vectors(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(key, term, weight)`` for the ``wanted(key)`` of ``texts(key, scope, squeezed)``: the text's trigrams, each once, weighted by rarity.
 
     A term is a trigram within the scope, a 64-bit number; rarity is that of the trigram over all texts.
     """
     padded = F.concat(F.lit("^"), F.col("squeezed"), F.lit("$"))
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("squeezed")), lambda i: F.substring(padded, i, 3)))
-    each = texts.where("squeezed <> ''").select("key", "scope", F.explode(grams).alias("gram"))
-    rarity = stored(each.groupBy("gram").agg(F.log(1 + F.lit(float(texts.count())) / F.count(F.lit(1))).alias("idf")))
+    titled = texts.where("squeezed <> ''")
+    rarity = stored(titled.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.log(1 + F.lit(float(texts.count())) / F.count(F.lit(1))).alias("idf")))
+    each = titled.join(wanted, "key", "left_semi").select("key", "scope", F.explode(grams).alias("gram"))
     weighed = each.join(rarity, "gram").select("key", F.xxhash64("scope", "gram").alias("term"), F.col("idf").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("key")))
     return weighed.select("key", "term", (F.col("w") / norm).alias("weight"))
@@ -31,32 +32,130 @@ def unit_vectors(texts: DataFrame) -> DataFrame:
 ENTERED_AGAIN_COSINE = 0.3
 ENTERED_AGAIN_EDITS = 4
 _SCOPE = ["side", "facts", "forms", "model"]
+#: Titles of one scope and split that meet those of the other at once, titles that one group of cells takes on average, and pairs compared at once.
+CHUNK = 4_000
+GROUP = 20_000
+AT_ONCE = 200_000
+
+
+def edit_distances(flat: np.ndarray, one: np.ndarray, n_one: np.ndarray, two: np.ndarray, n_two: np.ndarray, most: int) -> np.ndarray:
+    """The distance of ``listing_text.near``, or ``most + 1``, for many pairs of texts at once.
+
+    Texts are ``n`` characters of ``flat`` from ``one`` and ``two``.  Only places within ``most`` of the diagonal are worked out, and
+    pairs are left as soon as they end or are known to be further apart.
+    """
+    width, far, top = 2 * most + 1, most + 1, len(flat) - 1
+    out = np.full(len(one), far, dtype=np.int16)
+    if not len(one):
+        return out
+    near_by = np.abs(n_one - n_two) <= most
+    ends = near_by & (n_one == 0)
+    out[ends] = n_two[ends]
+    at = np.flatnonzero(near_by & (n_one > 0))
+    row = np.full((width, len(at)), far, dtype=np.int16)
+    row[most:] = np.arange(most + 1)[:, None]
+    older, last = row, None
+    # seen[d]: the character of the second text before place r + d - most
+    seen = [flat[np.clip(two[at] + d - most - 1, 0, top)] for d in range(width)]
+    r = 0
+    while len(at):
+        r += 1
+        seen = [*seen[1:], flat[np.clip(two[at] + r + most - 1, 0, top)]]
+        char = flat[one[at] + r - 1]
+        new = np.full((width, len(at)), far, dtype=np.int16)
+        for d in range(max(0, most - r), width):
+            c = r + d - most
+            if c == 0:
+                new[d] = r
+                continue
+            v = row[d] + (char != seen[d])
+            if d + 1 < width:
+                np.minimum(v, row[d + 1] + 1, out=v)
+            if d:
+                np.minimum(v, new[d - 1] + 1, out=v)
+                if r > 1 and c > 1:
+                    np.minimum(v, np.where((char == seen[d - 1]) & (last == seen[d]), older[d] + 1, far), out=v)
+            new[d] = np.minimum(v, far)
+        older, row, last = row, new, char
+        done = n_one[at] == r
+        if done.any():
+            out[at[done]] = row[(n_two - n_one)[at[done]] + most, np.flatnonzero(done)]
+        stay = ~done & (row.min(axis=0) <= most)
+        if not stay.all():
+            at, older, row, last, seen = at[stay], older[:, stay], row[:, stay], last[stay], [s[stay] for s in seen]
+    return out
+
+
+def _few_edits(frame: pd.DataFrame) -> pd.DataFrame:
+    """The pairs ``(key_1, key_2)`` of each cell's two kinds of titles that are at most ``ENTERED_AGAIN_EDITS`` and a quarter of the longer one's length apart."""
+    cell = frame.groupby(["scope", "b1", "b2"], sort=False).ngroup().to_numpy()
+    texts, keys, second = frame["squeezed"].tolist(), frame["key"].to_numpy(), frame["second"].to_numpy(bool)
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    start = np.cumsum(size) - size
+    flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters = np.zeros((len(texts), 32), dtype=np.int16)
+    np.add.at(letters, (np.repeat(np.arange(len(texts)), size), flat % 32), 1)
+    one, two = np.flatnonzero(~second), np.flatnonzero(second)
+    two = two[np.argsort(cell[two], kind="stable")]
+    low, high = (np.searchsorted(cell[two], cell[one], side) for side in ("left", "right"))
+    total, at, rows = np.cumsum(high - low), 0, []
+    while at < len(one):
+        # a part holds about AT_ONCE pairs, or all of one title
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + AT_ONCE, "right")))
+        i, j = np.repeat(one[at:to], (high - low)[at:to]), two[ranges(low[at:to], high[at:to])]
+        at = to
+        most = np.minimum(ENTERED_AGAIN_EDITS, np.maximum(size[i], size[j]) // 4)
+        fit = np.abs(size[i] - size[j]) <= most
+        i, j, most = i[fit], j[fit], most[fit]
+        # letters that only one of two texts has take an edit each
+        more = letters[i] - letters[j]
+        fit = np.maximum(np.maximum(more, 0).sum(axis=1), np.maximum(-more, 0).sum(axis=1)) <= most
+        i, j, most = i[fit], j[fit], most[fit]
+        fit = edit_distances(flat, start[i], size[i], start[j], size[j], ENTERED_AGAIN_EDITS) <= most
+        rows.append((keys[i[fit]], keys[j[fit]]))
+    return pd.DataFrame({c: np.concatenate([r[n] for r in rows]) if rows else np.empty(0, np.int64) for n, c in enumerate(("key_1", "key_2"))})
+
+
+def few_edits_apart(tested: DataFrame, trained: DataFrame) -> DataFrame:
+    """``(key_1, key_2)`` for ``(key, scope, squeezed)`` of either side: texts of one scope that are a few edits apart.
+
+    The titles themselves are moved, not their trigrams: those of a scope go to one cell, or, where there are many, to cells
+    in which a chunk of one side meets a chunk of the other, so no task holds a large scope.
+    """
+    spark = tested.sparkSession
+    counts = [side.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(f"p{n}")) for n, side in enumerate((tested, trained), 1)]
+    parts = stored(counts[0].join(counts[1], "scope"))
+    sides = []
+    for n, side in enumerate((tested, trained), 1):
+        own, other = F.pmod(F.xxhash64("key"), F.col(f"p{n}")).cast("int").alias(f"b{n}"), F.explode(F.sequence(F.lit(0), F.col(f"p{3 - n}") - 1)).alias(f"b{3 - n}")
+        sides.append(side.join(parts, "scope").select("key", "scope", "squeezed", own, other, F.lit(n == 2).alias("second")))
+    placed = stored(sides[0].unionByName(sides[1]))
+    tasks = parallel(spark)
+    groups = max(tasks, -(-placed.count() // GROUP))
+    # titles are few bytes and much work, so their partitions must not be put together by size
+    cut = placed.withColumn("group", F.pmod(F.xxhash64("scope", "b1", "b2"), F.lit(groups)).cast("int")).repartition(tasks, "group")
+    return cut.groupBy("group").applyInPandas(_few_edits, "key_1 long, key_2 long")
 
 
 def entered_again(keys: DataFrame) -> DataFrame:
     """``(key_1, key_2)``: titles of an evaluation record and of a training record that are one listing, once or entered twice.
 
     ``keys(key, side, facts, forms, model, squeezed, tested, trained)`` has one row per spelling; one that both sides
-    have meets itself.  Terms live within the stated facts and their wording, so titles that state a fact differently
-    have no term in common, and facts stated on one side only need no vectors; of the pairs that the join returns those
-    stay whose letters and digits are a few edits apart.
+    have meets itself.  Titles meet within the stated facts and their wording, and facts stated on one side only need no
+    look; of titles that are a few edits apart those stay whose weighted trigrams reach the cosine.  Both tests have to
+    hold, and the edits leave few pairs, so only these need vectors.
     """
     shared = keys.groupBy(*_SCOPE).agg(F.max("tested").alias("t1"), F.max("trained").alias("t2")).where("t1 and t2").select(*_SCOPE)
     met = stored(keys.join(shared, _SCOPE, "left_semi").select("key", F.xxhash64(*_SCOPE).alias("scope"), "squeezed", "tested", "trained"))
-    vectors = stored(unit_vectors(met).join(met.select("key", "tested", "trained"), "key"))
-    pairs = cosine_join(vectors.where("tested"), vectors.where("trained"), ENTERED_AGAIN_COSINE).select("key_1", "key_2")
-
-    @F.pandas_udf("boolean")
-    def close(a: pd.Series, b: pd.Series) -> pd.Series:
-        most = ENTERED_AGAIN_EDITS
-        return pd.Series([near(x, y, most) <= min(most, max(len(x), len(y)) // 4) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-    text = met.select("key", "squeezed")
-    named = pairs.join(text.toDF("key_1", "text_1"), "key_1").join(text.toDF("key_2", "text_2"), "key_2")
+    sides = [met.where(f"{s} and squeezed <> ''").select("key", "scope", "squeezed") for s in ("tested", "trained")]
+    pairs = stored(few_edits_apart(*sides))
+    other = pairs.where("key_1 <> key_2")
+    vectors = stored(unit_vectors(met, other.select(F.explode(F.array("key_1", "key_2")).alias("key")).distinct()))
+    near = dot_products(other, vectors, vectors).where(F.col("cosine") >= ENTERED_AGAIN_COSINE - SLACK).select("key_1", "key_2")
     # titles without a letter or digit have no vector; they meet what has none either, under the same facts
     bare = met.where("squeezed = ''")
     none = bare.where("tested").select("scope", F.col("key").alias("key_1")).join(bare.where("trained").select("scope", F.col("key").alias("key_2")), "scope").select("key_1", "key_2")
-    return named.where(close("text_1", "text_2")).select("key_1", "key_2").unionByName(none)
+    return pairs.where("key_1 = key_2").unionByName(near).unionByName(none)
 
 
 def _same_records(tested: DataFrame, trained: DataFrame, tablea: DataFrame, tableb: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

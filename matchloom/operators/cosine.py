@@ -57,7 +57,7 @@ def _block_index(vectors: DataFrame, terms: DataFrame, threshold: float) -> Data
     return reach.select("key", "tid", "weight", open_.alias("open"), rest.alias("rest"))
 
 
-def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The numbers of all ranges, one range after the other."""
     sizes = ends - starts
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
@@ -100,7 +100,7 @@ def _meet(threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFra
             near = np.flatnonzero((sums > 0) & (sums + rest >= threshold - SLACK))
             if len(near):
                 dense[own] = w
-                spots = _ranges(starts[near], ends[near])
+                spots = ranges(starts[near], ends[near])
                 dots = np.add.reduceat(weight[spots] * dense[code[spots]], np.concatenate([[0], np.cumsum(ends[near] - starts[near])[:-1]]))
                 dense[own] = 0.0
                 fit = dots >= threshold - SLACK
