@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ POSTINGS = 2_000
 MEETINGS = 8
 #: Vectors of a block.
 BLOCK = 20_000
+#: Pairs that two blocks give at once.
+PAIRS = 200_000
 #: Share of the threshold that a block's unindexed terms may add to a dot product together.
 UNINDEXED = 0.3
 
@@ -63,66 +67,85 @@ def ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
 
 
-def _meet(threshold: float) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+def _block(frame: pd.DataFrame) -> pd.DataFrame:
+    """One row ``(block)``: the vectors, one after the other, with their terms numbered within the block."""
+    frame = frame.sort_values("key", kind="stable")
+    keys, starts = np.unique(frame["key"].to_numpy(), return_index=True)
+    terms, code = np.unique(frame["tid"].to_numpy(), return_inverse=True)
+    arrays = {"keys": keys, "bounds": np.append(starts, len(frame)), "terms": terms, "code": code.astype(np.int32), "weight": frame["weight"].to_numpy()}
+    if "open" in frame:
+        arrays |= {"open": np.packbits(frame["open"].to_numpy(bool)), "rest": frame["rest"].to_numpy()[starts]}
+    return pd.DataFrame({"block": [pickle.dumps(arrays, protocol=5)]})
+
+
+def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """The pairs of two blocks: sums over the inverted lists of the right one, one vector of the left at a time; what the unindexed rest may bring to the threshold is summed in full."""
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"key_1": left["key"].iloc[:0], "key_2": right["r_key"].iloc[:0], "cosine": np.empty(0)})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("r_key", kind="stable")
-        names, starts = np.unique(right["r_key"].to_numpy(), return_index=True)
-        ends = np.append(starts[1:], len(right))
-        owner = np.repeat(np.arange(len(names)), ends - starts)
-        rest = right["rest"].to_numpy()[starts]
-        terms, code = np.unique(right["r_tid"].to_numpy(), return_inverse=True)
-        weight = right["r_weight"].to_numpy()
-        indexed = np.flatnonzero(right["open"].to_numpy())
+    def pairs(left: dict, right: dict) -> Iterator[tuple]:
+        names, starts, ends = right["keys"], right["bounds"][:-1], right["bounds"][1:]
+        terms, code, weight, rest = right["terms"], right["code"], right["weight"], right["rest"]
+        indexed = np.flatnonzero(np.unpackbits(right["open"], count=len(code)))
         indexed = indexed[np.argsort(code[indexed], kind="stable")]
         bounds = np.searchsorted(code[indexed], np.arange(len(terms) + 1))
-        listed, listed_weight = owner[indexed], weight[indexed]
-
-        left = left.sort_values("key", kind="stable")
-        tid = left["tid"].to_numpy()
-        at = np.searchsorted(terms, tid)
-        at[at == len(terms)] = 0
-        known = terms[at] == tid
-        keys, first = np.unique(left["key"].to_numpy(), return_index=True)
-        last, left_weight = np.append(first[1:], len(left)), left["weight"].to_numpy()
+        listed, listed_weight = np.repeat(np.arange(len(names)), ends - starts)[indexed], weight[indexed]
+        place = np.searchsorted(terms, left["terms"])
+        place[place == len(terms)] = 0
+        at, known = place[left["code"]], (terms[place] == left["terms"])[left["code"]]
         sums, dense = np.zeros(len(names)), np.zeros(len(terms))
-        rows = []
-        for key, a, b in zip(keys, first, last, strict=True):
-            own, w = at[a:b][known[a:b]], left_weight[a:b][known[a:b]]
+        least = threshold - SLACK - rest
+        for key, a, b in zip(left["keys"], left["bounds"][:-1], left["bounds"][1:], strict=True):
+            own, w = at[a:b][known[a:b]], left["weight"][a:b][known[a:b]]
             sums[:] = 0.0
             for t, x in zip(own, w, strict=True):
                 i, j = bounds[t], bounds[t + 1]
                 sums[listed[i:j]] += x * listed_weight[i:j]
-            near = np.flatnonzero((sums > 0) & (sums + rest >= threshold - SLACK))
+            near = np.flatnonzero((sums >= least) & (sums > 0))
             if len(near):
                 dense[own] = w
                 spots = ranges(starts[near], ends[near])
                 dots = np.add.reduceat(weight[spots] * dense[code[spots]], np.concatenate([[0], np.cumsum(ends[near] - starts[near])[:-1]]))
                 dense[own] = 0.0
                 fit = dots >= threshold - SLACK
-                rows.append((np.repeat(key, fit.sum()), names[near[fit]], dots[fit]))
-        if not rows:
-            return empty
-        return pd.DataFrame({c: np.concatenate([r[i] for r in rows]) for i, c in enumerate(("key_1", "key_2", "cosine"))})
+                if fit.any():
+                    yield np.repeat(key, fit.sum()), names[near[fit]], dots[fit]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in range(3)], ["key_1", "key_2", "cosine"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for given in batches:
+            for one, two in zip(given.column("one"), given.column("two"), strict=True):
+                rows, held = [], 0
+                for found in pairs(pickle.loads(one.as_buffer()), pickle.loads(two.as_buffer())):
+                    rows.append(found)
+                    held += len(found[0])
+                    if held >= PAIRS:
+                        yield batch(rows)
+                        rows, held = [], 0
+                if rows:
+                    yield batch(rows)
 
     return meet
 
 
 def _by_blocks(left: DataFrame, right: DataFrame, terms: DataFrame, threshold: float) -> DataFrame:
+    """Every block of the left with every block of the right, each a single row of a stored table.
+
+    A cartesian product reads both where they lie, so a vector is written once however many blocks it meets.
+    """
     spark = left.sparkSession
     n = [v.select("key").distinct().count() for v in (left, right)]
     blocks = [max(1, -(-k // BLOCK)) for k in n]
     blocks[0] = max(blocks[0], -(-parallel(spark) // blocks[1]))
-    places = [F.pmod(F.xxhash64("key"), F.lit(b)).cast("int") for b in blocks]
-    every = [F.explode(F.sequence(F.lit(0), F.lit(b - 1))) for b in blocks]
-    one = left.join(terms.select("term", "tid"), "term").select("key", "tid", "weight", places[0].alias("b1"), every[1].alias("b2"))
-    two = _block_index(right, terms, threshold).select("key", "tid", "weight", "open", "rest", every[0].alias("b1"), places[1].alias("b2")).toDF("r_key", "r_tid", "r_weight", "open", "rest", "r1", "r2")
+    one, two = left.join(terms.select("term", "tid"), "term").select("key", "tid", "weight"), _block_index(right, terms, threshold)
+    packed = []
+    for side, b in ((one, blocks[0]), (two, blocks[1])):
+        placed = side.withColumn("b", F.pmod(F.xxhash64("key"), F.lit(b)).cast("int"))
+        packed.append(stored(placed.groupBy("b").applyInPandas(_block, "block binary")))
+    # a left block for each task, which a row of the product holds with one of the right
+    met = packed[0].toDF("one").repartition(blocks[0]).crossJoin(packed[1].toDF("two").hint("shuffle_replicate_nl"))
     kinds = [v.schema["key"].dataType.simpleString() for v in (left, right)]
-    return one.groupBy("b1", "b2").cogroup(two.groupBy("r1", "r2")).applyInPandas(_meet(threshold), f"key_1 {kinds[0]}, key_2 {kinds[1]}, cosine double")
+    return met.mapInArrow(_meet(threshold), f"key_1 {kinds[0]}, key_2 {kinds[1]}, cosine double")
 
 
 def cosine_join(left: DataFrame, right: DataFrame, threshold: float, meetings: float = MEETINGS) -> DataFrame:

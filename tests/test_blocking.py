@@ -97,3 +97,19 @@ def test_join_against_brute_force(spark, meetings, monkeypatch):
         want = {(i, j): c for i, x in left.items() for j, y in right.items() if (c := sum(w * y.get(k, 0) for k, w in x.items())) >= t - 1e-9}
         assert got == pytest.approx(want)
     assert K.cosine_join(frames[0].limit(0), frames[1], 0.5, meetings).count() == 0
+
+
+def test_blocks_are_written_once(spark, monkeypatch):
+    from matchloom.operators import cosine as K
+
+    sides = [spark.createDataFrame([(i, t, w) for i in range(n) for t, w in ((1, 0.6), (100 + i % 7, 0.8))], "key long, term long, weight double") for n in (90, 60)]
+    moved = []
+    for block in (1000, 10):
+        monkeypatch.setattr(K, "BLOCK", block)
+        monkeypatch.setattr(K, "PAIRS", block)
+        out = K.cosine_join(*sides, 0.5, 0)
+        found = {(r.key_1, r.key_2) for r in out.collect()}
+        assert found == {(i, j) for i in range(90) for j in range(60) if i % 7 == j % 7}
+        # nothing is repeated for each block of the other side
+        moved.append(out._jdf.queryExecution().optimizedPlan().toString().count("Generate"))
+    assert moved == [0, 0]
