@@ -36,3 +36,12 @@ def test_salted_join_keeps_every_row(spark):
     for rows in (7, 1000):
         assert R.salted_join(large, small, ["k"], rows=rows).count() == 100
     assert R.salted_join(large.limit(0), small, ["k"]).count() == 0
+
+
+def test_stored_tables_leave_no_garbage_on_the_driver(spark):
+    def full() -> int:
+        return sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName())
+
+    before = full()
+    assert R.stored(spark.range(3)).count() == 3
+    assert full() > before
