@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import deleted, shared_folder, stored
+from .boosting import BINS, boosted_trees
 from .curves import brier, by_score, class_weight, max_f1, metrics
 from .features import FEATURE_NAMES
 
 #: Stands for a missing feature; the has_* features tell it from a value.
 MISSING = -1.0
 
-#: Trees beyond the patience that are grown at first; MLlib cannot go on with a model, so each increment doubles the last.
+#: Not used any more: trees beyond the patience that were grown at first, when growth went in increments.
 FIRST = 30
 
 
@@ -32,29 +37,40 @@ def train_model(train: DataFrame, valid: DataFrame, rounds: int = 1000, patience
     """Boosted trees on ``features``/``y`` with early stopping.
 
     Positives weigh ``weight``, by default the number of negatives per positive; without positives ``ValueError``.
-    Trees are grown in increments until the loss on ``valid`` has not improved for ``patience`` trees or there are
-    ``rounds``, and the model is cut at its best tree - a shorter run with the same seed is a prefix of a longer one.
+    Trees are grown in one job until the loss on ``valid`` has not improved for ``patience`` trees or there are ``rounds``, and the
+    model is cut at its best tree.  Nothing is drawn at random; ``seed`` is only noted in the model.
     """
     if weight is None:
         weight = class_weight(train).head().weight
         if weight is None:
             raise ValueError("no positive examples in the training data")
-    weighted = train.withColumn("w", F.when(F.col("y") == 1, float(weight)).otherwise(1.0))
-
-    def grow(n: int) -> GBTClassificationModel:
-        return GBTClassifier(
-            featuresCol="features", labelCol="y", weightCol="w", maxIter=n, stepSize=rate, maxDepth=depth, maxBins=255, minInstancesPerNode=20, seed=seed, featureSubsetStrategy="all"
-        ).fit(weighted)
-
-    held = valid.withColumn("w", F.lit(1.0))
-    size = min(rounds, patience + FIRST)
-    while True:
-        model = grow(size)
-        losses = model.evaluateEachIteration(held)
-        best, stopped = best_round(losses, patience)
-        if stopped or size == rounds:
-            return model if best == len(losses) - 1 else grow(best + 1)
-        size = min(rounds, 2 * size)
+    nodes = stored(boosted_trees(train, valid, float(weight), rounds, patience, rate, depth))
+    losses = [r.loss for r in nodes.groupBy("tree").agg(F.max("loss").alias("loss")).orderBy("tree").collect()]
+    size = best_round(losses, patience)[0] + 1
+    params = {"featuresCol": "features", "labelCol": "y", "weightCol": "w", "maxIter": size, "stepSize": rate, "maxDepth": depth, "maxBins": BINS, "minInstancesPerNode": 20, "seed": seed, "featureSubsetStrategy": "all", "impurity": "variance"}
+    return as_model(nodes.where(F.col("tree") < size), size, params, len(train.select("features").head().features))
+
+
+def as_model(nodes: DataFrame, trees: int, params: dict, features: int) -> GBTClassificationModel:
+    """The model of ``nodes`` (see ``boosting.NODES``), written as MLlib stores one and loaded."""
+    spark = nodes.sparkSession
+    folder = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}"
+
+    def about(kind: str, uid: str, own: dict, **more) -> str:
+        return json.dumps({"class": f"org.apache.spark.ml.{kind}", "timestamp": int(time.time() * 1000), "sparkVersion": spark.version, "uid": uid, "paramMap": own, "defaultParamMap": {}} | more)
+
+    node = F.struct(
+        F.col("node").alias("id"), "prediction", "impurity", F.array("weight", "total", "squares").alias("impurityStats"), F.col("rows").alias("rawCount"), "gain", F.col("left").alias("leftChild"), F.col("right").alias("rightChild"),
+        F.struct(F.col("feature").alias("featureIndex"), F.when(F.col("feature") < 0, F.array().cast("array<double>")).otherwise(F.array("threshold")).alias("leftCategoriesOrThreshold"), F.lit(-1).alias("numCategories")).alias("split"),
+    )
+    try:
+        spark.createDataFrame([(about("classification.GBTClassificationModel", f"GBTClassifier_{uuid.uuid4().hex[:12]}", params, numFeatures=features, numTrees=trees),)], "value string").coalesce(1).write.text(f"{folder}/metadata")
+        each = [(t, about("regression.DecisionTreeRegressionModel", f"dtr_{uuid.uuid4().hex[:12]}", {"maxDepth": params["maxDepth"], "impurity": "variance"}), params["stepSize"] if t else 1.0) for t in range(trees)]
+        spark.createDataFrame(each, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{folder}/treesMetadata")
+        nodes.select(F.col("tree").alias("treeID"), node.alias("nodeData")).write.parquet(f"{folder}/data")
+        return GBTClassificationModel.load(folder)
+    finally:
+        deleted(spark, folder)
 
 
 def best_round(losses: list[float], patience: int) -> tuple[int, bool]:

@@ -80,3 +80,22 @@ def test_scores_train_to_the_reference_limits(spark, monkeypatch):
     with pytest.raises(InterruptedError):
         Q.er_gbt_scores(spark, "")
     assert seen == {"rounds": 1000, "patience": 50}
+
+
+def test_trees_are_grown_in_one_job_and_spread_over_tasks(spark, monkeypatch):
+    from matchloom.operators import boosting as B
+
+    r = random.Random(3)
+    rows = [(int(x > 0.5) if r.random() < 0.9 else r.randint(0, 1), x, *[r.random() for _ in FEATURE_NAMES[1:]]) for x in (r.random() for _ in range(600))]
+    df = to_vectors(spark.createDataFrame(rows, "label int, " + ", ".join(f"{n} double" for n in FEATURE_NAMES)))
+    train, valid = df.where("abs(hash(features)) % 3 > 0"), df.where("abs(hash(features)) % 3 = 0")
+    began = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    one = train_model(train, valid, rounds=1000, patience=10)
+    # MLlib took several jobs for each tree
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - began < 60
+    monkeypatch.setattr(B, "ROWS_PER_TASK", 150)
+    parted = train_model(train, valid, rounds=1000, patience=10)
+    assert 1 < one.getNumTrees == parted.getNumTrees < 1000 and one.featureImportances.toArray().argmax() == 0
+    losses = one.evaluateEachIteration(valid.selectExpr("*", "1.0D w"))
+    assert min(losses) == losses[-1]
+    assert one.toDebugString.split(")", 1)[1].count("If") == parted.toDebugString.split(")", 1)[1].count("If")
