@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize, word_trigrams
 from ..runtime import spread, stored
 from .cosine import SLACK, cosine_join, dot_products
+from .gram_blocks import meet
 
 def gram_counts(df: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
     """``(side, id, gram, tf)`` of the normalised text; rows without text have no grams."""
@@ -43,7 +44,8 @@ def similarity_join(vectors: DataFrame, threshold: float) -> DataFrame:
 
 def generate_candidates(a: DataFrame, b: DataFrame, threshold: float = 0.1, id_col: str = "id", text_col: str = "title") -> DataFrame:
     """Candidate pairs with their score; empty where either table is."""
-    return similarity_join(stored(tfidf(a, b, id_col, text_col)), threshold)
+    met = meet(a, b, threshold, id_col, text_col)
+    return similarity_join(stored(tfidf(a, b, id_col, text_col)), threshold) if met is None else met
 
 
 def _ceiling(truth: DataFrame, found: DataFrame) -> DataFrame:
@@ -68,8 +70,18 @@ def recall_ceiling_at(vectors: DataFrame, labels: DataFrame, threshold: float) -
     return _ceiling(truth, scored.toDF("ltable_id", "rtable_id", "score"))
 
 
-def reduction(candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row ``(n_a, n_b, candidates, reduction)``: share of the full product that blocking spares."""
-    one = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b"))).crossJoin(candidates.agg(F.count(F.lit(1)).alias("candidates")))
+def _reduction(counted: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    one = a.agg(F.count(F.lit(1)).alias("n_a")).crossJoin(b.agg(F.count(F.lit(1)).alias("n_b"))).crossJoin(counted)
     full = F.col("n_a") * F.col("n_b")
     return one.select("n_a", "n_b", "candidates", F.when(full > 0, 1 - F.col("candidates") / full).otherwise(F.lit(0.0)).alias("reduction"))
+
+
+def reduction(candidates: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row ``(n_a, n_b, candidates, reduction)``: share of the full product that blocking spares."""
+    return _reduction(candidates.agg(F.count(F.lit(1)).alias("candidates")), a, b)
+
+
+def reduction_at(a: DataFrame, b: DataFrame, threshold: float, id_col: str = "id", text_col: str = "title") -> DataFrame:
+    """The same for candidates at ``threshold``, which are counted where they are found and not moved."""
+    counted = meet(a, b, threshold, id_col, text_col, counted=True)
+    return reduction(generate_candidates(a, b, threshold, id_col, text_col), a, b) if counted is None else _reduction(counted, a, b)

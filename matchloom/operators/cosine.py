@@ -78,52 +78,60 @@ def _block(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": [pickle.dumps(arrays, protocol=5)]})
 
 
-def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def block_pairs(left: dict, right: dict, threshold: float) -> Iterator[tuple]:
     """The pairs of two blocks: sums over the inverted lists of the right one, one vector of the left at a time; what the unindexed rest may bring to the threshold is summed in full."""
-
-    def pairs(left: dict, right: dict) -> Iterator[tuple]:
-        names, starts, ends = right["keys"], right["bounds"][:-1], right["bounds"][1:]
-        terms, code, weight, rest = right["terms"], right["code"], right["weight"], right["rest"]
-        indexed = np.flatnonzero(np.unpackbits(right["open"], count=len(code)))
-        indexed = indexed[np.argsort(code[indexed], kind="stable")]
-        bounds = np.searchsorted(code[indexed], np.arange(len(terms) + 1))
-        listed, listed_weight = np.repeat(np.arange(len(names)), ends - starts)[indexed], weight[indexed]
-        place = np.searchsorted(terms, left["terms"])
-        place[place == len(terms)] = 0
-        at, known = place[left["code"]], (terms[place] == left["terms"])[left["code"]]
-        sums, dense = np.zeros(len(names)), np.zeros(len(terms))
-        least = threshold - SLACK - rest
-        for key, a, b in zip(left["keys"], left["bounds"][:-1], left["bounds"][1:], strict=True):
-            own, w = at[a:b][known[a:b]], left["weight"][a:b][known[a:b]]
-            sums[:] = 0.0
-            for t, x in zip(own, w, strict=True):
-                i, j = bounds[t], bounds[t + 1]
-                sums[listed[i:j]] += x * listed_weight[i:j]
-            near = np.flatnonzero((sums >= least) & (sums > 0))
-            if len(near):
-                dense[own] = w
-                spots = ranges(starts[near], ends[near])
-                dots = np.add.reduceat(weight[spots] * dense[code[spots]], np.concatenate([[0], np.cumsum(ends[near] - starts[near])[:-1]]))
-                dense[own] = 0.0
-                fit = dots >= threshold - SLACK
-                if fit.any():
-                    yield np.repeat(key, fit.sum()), names[near[fit]], dots[fit]
+    names, starts, ends = right["keys"], right["bounds"][:-1], right["bounds"][1:]
+    terms, code, weight, rest = right["terms"], right["code"], right["weight"], right["rest"]
+    indexed = np.flatnonzero(right["open"])
+    indexed = indexed[np.argsort(code[indexed], kind="stable")]
+    bounds = np.searchsorted(code[indexed], np.arange(len(terms) + 1))
+    listed, listed_weight = np.repeat(np.arange(len(names)), ends - starts)[indexed], weight[indexed]
+    place = np.searchsorted(terms, left["terms"])
+    place[place == len(terms)] = 0
+    at, known = place[left["code"]], (terms[place] == left["terms"])[left["code"]]
+    sums, dense = np.zeros(len(names)), np.zeros(len(terms))
+    least = threshold - SLACK - rest
+    for key, a, b in zip(left["keys"], left["bounds"][:-1], left["bounds"][1:], strict=True):
+        own, w = at[a:b][known[a:b]], left["weight"][a:b][known[a:b]]
+        sums[:] = 0.0
+        for t, x in zip(own, w, strict=True):
+            i, j = bounds[t], bounds[t + 1]
+            sums[listed[i:j]] += x * listed_weight[i:j]
+        near = np.flatnonzero((sums >= least) & (sums > 0))
+        if len(near):
+            dense[own] = w
+            spots = ranges(starts[near], ends[near])
+            dots = np.add.reduceat(weight[spots] * dense[code[spots]], np.concatenate([[0], np.cumsum(ends[near] - starts[near])[:-1]]))
+            dense[own] = 0.0
+            fit = dots >= threshold - SLACK
+            if fit.any():
+                yield np.repeat(key, fit.sum()), names[near[fit]], dots[fit]
+
+
+def batched(found: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Pairs of two blocks as batches of about ``PAIRS``."""
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[i] for r in rows])) for i in range(3)], ["key_1", "key_2", "cosine"])
 
+    rows, held = [], 0
+    for some in found:
+        rows.append(some)
+        held += len(some[0])
+        if held >= PAIRS:
+            yield batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield batch(rows)
+
+
+def _meet(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for given in batches:
             for one, two in zip(given.column("one"), given.column("two"), strict=True):
-                rows, held = [], 0
-                for found in pairs(pickle.loads(one.as_buffer()), pickle.loads(two.as_buffer())):
-                    rows.append(found)
-                    held += len(found[0])
-                    if held >= PAIRS:
-                        yield batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield batch(rows)
+                right = pickle.loads(two.as_buffer())
+                right["open"] = np.unpackbits(right["open"], count=len(right["code"]))
+                yield from batched(block_pairs(pickle.loads(one.as_buffer()), right, threshold))
 
     return meet
 

@@ -85,18 +85,15 @@ def er_tfidf_weights(spark, folder):
     return B.tfidf(table(spark, folder, "tablea"), table(spark, folder, "tableb")).select("side", "id", "gram", r6("weight").alias("weight"))
 
 
-def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    return B.similarity_join(stored(B.tfidf(table(spark, folder, "tablea"), table(spark, folder, "tableb"))), THRESHOLD)
-
-
 @query(f"with {Q.candidates(THRESHOLD)} select ltable_id, rtable_id, round(score, 6) score from k")
 def er_block_candidates(spark, folder):
-    return _candidates(spark, folder).select("ltable_id", "rtable_id", r6("score").alias("score"))
+    found = B.generate_candidates(table(spark, folder, "tablea"), table(spark, folder, "tableb"), THRESHOLD)
+    return found.select("ltable_id", "rtable_id", r6("score").alias("score"))
 
 
 @query(f"with {Q.candidates(THRESHOLD)} select (select count(*) from tablea) n_a, (select count(*) from tableb) n_b, count(*) candidates, round(1 - count(*) / ((select count(*) from tablea)::double * (select count(*) from tableb)), 6) reduction from k")
 def er_block_stats(spark, folder):
-    return B.reduction(_candidates(spark, folder), table(spark, folder, "tablea"), table(spark, folder, "tableb")).withColumn("reduction", r6("reduction"))
+    return B.reduction_at(table(spark, folder, "tablea"), table(spark, folder, "tableb"), THRESHOLD).withColumn("reduction", r6("reduction"))
 
 
 @query(

@@ -113,3 +113,46 @@ def test_blocks_are_written_once(spark, monkeypatch):
         # nothing is repeated for each block of the other side
         moved.append(out._jdf.queryExecution().optimizedPlan().toString().count("Generate"))
     assert moved == [0, 0]
+
+
+def moved(spark) -> int:
+    """Rows written to shuffles so far."""
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    none, empty = spark._jvm.java.util.ArrayList(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    return sum(s.shuffleWriteRecords() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jsc.sc().statusStore().stageList(none, False, False, empty, none)))
+
+
+def test_block_stats_move_texts_and_no_entries(spark, tmp_path, monkeypatch):
+    from matchloom.operators import cosine as K
+    from matchloom.plans.queries import QUERIES
+
+    monkeypatch.setattr(K, "BLOCK", 150)
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdef") for _ in range(8)) for _ in range(40)]
+    sides = [[(i, " ".join(r.choice(words) for _ in range(6))) for i in range(n)] for n in (400, 300)]
+    for name, rows in zip(("tablea", "tableb"), sides, strict=True):
+        spark.createDataFrame(rows, "id long, title string").write.parquet(f"{tmp_path}/{name}.parquet")
+    before = moved(spark)
+    got = QUERIES["er_block_stats"](spark, str(tmp_path)).head()
+    entries = sum(len({f" {w} "[k : k + 3] for w in t.split() for k in range(len(w))}) for side in sides for _, t in side)
+    assert moved(spark) - before < entries / 2
+    found = QUERIES["er_block_candidates"](spark, str(tmp_path)).collect()
+    assert got.candidates == len(found) == len({(x.ltable_id, x.rtable_id) for x in found}) > 0
+    assert found and all(x.score >= 0.38 - 1e-6 for x in found)
+
+
+def test_texts_meet_as_their_vectors(spark, monkeypatch):
+    from matchloom.operators import cosine as K
+    from matchloom.operators import gram_blocks as G
+
+    monkeypatch.setattr(K, "BLOCK", 25)
+    r = random.Random(8)
+    words = ["disk", "drive", "Ünï", "𝒳𝒴z", "disc", "a1", "kit", "日本", "x", "pro"]
+    text = lambda: r.choice([None, "", " - ", *[" ".join(r.choice(words) for _ in range(r.randrange(1, 5))) for _ in range(9)]])
+    # ids that repeat, rows without id and grams that only one side has
+    sides = [spark.createDataFrame([(r.choice([None, *[f"k{k}" for k in range(30)]]), f"{text() or ''} {extra}") for _ in range(40)] + [("e", None), ("f", "")], "id string, title string") for extra in ("", "only")]
+    want = {(x.ltable_id, x.rtable_id): x.score for x in B.similarity_join(B.tfidf(*sides), 0.4).collect()}
+    got = [tuple(x) for x in G.meet(*sides, 0.4, "id", "title", meetings=0).collect()]
+    assert len(got) == len(want) > 0 and {(i, j): c for i, j, c in got} == pytest.approx(want)
+    assert G.meet(*sides, 0.4, "id", "title", counted=True, meetings=0).head().candidates == len(want)
+    assert G.meet(*sides, 0.4, "id", "title", meetings=1e9) is None
