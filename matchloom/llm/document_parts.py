@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+_BRACE = re.compile(r"[{}]")
 _COMMENT = re.compile(r"(?<!\\)%[^\r\n]*")
 _DISABLED = re.compile(r"\\iffalse\b.*?\\fi\b|\\begin\{comment\}.*?\\end\{comment\}", re.S)
 _HEAD = re.compile(r"\\(title|author)\b\s*(?:\[[^\]]*\])?\s*\{")
@@ -20,17 +21,22 @@ _TAG = re.compile(r"</?[a-zA-Z][^<>\n]*>|<!--.*?-->|<!doctype[^>]*>", re.S | re.
 def _braced(text: str, start: int) -> str:
     """What stands between the brace before ``start`` and its partner."""
     depth = 1
-    for i in range(start, len(text)):
-        c = text[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return text[start:i]
+    for m in _BRACE.finditer(text, start):
+        depth += 1 if m[0] == "{" else -1
+        if not depth:
+            return text[start : m.start()]
     return text[start:]
 
 
+def _shown(text: str) -> str:
+    """A section without bibliography and missing includes."""
+    if "\\" not in text:
+        return text
+    if "\\bibliography" in text or "{thebibliography}" in text or "\\end{document}" in text:
+        text = _TAIL.sub("", text)
+    return _MISSING.sub("", text)
+
+
 def parts(text: str) -> list[tuple[str, str]]:
     """``(kind, content)`` of every part; comments, disabled drafts, preamble, bibliography and missing includes are left out.
 
@@ -52,11 +58,14 @@ def parts(text: str) -> list[tuple[str, str]]:
         for a, b in reversed(spans):
             text = text[:a] + "\n" + text[b:]
     if "abstract}" in text:
+        between, end = [], 0
         for m in _ABSTRACT.finditer(text):
             out.append(("abstract", m[1]))
-        text = _ABSTRACT.sub("\n", text)
+            between.append(text[end : m.start()])
+            end = m.end()
+        text = "\n".join([*between, text[end:]])
     head, *sections = _SECTION.split(text)
     head = _PREAMBLE.sub("", _TAIL.sub("", head))
     out.append(("body", _MISSING.sub("", head)))
-    out += [("section", _MISSING.sub("", _TAIL.sub("", s))) for s in sections]
+    out += [("section", _shown(s)) for s in sections]
     return [(k, c) for k, c in out if c.strip()]

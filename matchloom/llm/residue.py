@@ -8,9 +8,12 @@ Slots left open and filler, which have no wording of their own, are found apart
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
+from operator import eq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,15 @@ def _signed(lower: str) -> bool:
     return "[" in lower or "<" in lower or "{{" in lower or "@@" in lower or "__" in lower or "${" in lower or "#{" in lower or "%(" in lower or "(enter" in lower or "xxx" in lower
 
 
+#: Every slot begins with one of these; each begins with a plain character, so that the places are found quickly.
+_SLOT_BEGINS = re.compile(r"\[|<|\{(?=\{)|@(?=@)|_(?=_)|\$(?=\{)|#(?=\{)|%(?=\()|\((?=[eE])|x(?=[xX])|X(?=[xX])")
+
+
+def _slotted(text: str) -> bool:
+    """Whether there is a slot in the text: the pattern is tried only where one may begin."""
+    return any(SLOT.match(text, m.start()) for m in _SLOT_BEGINS.finditer(text))
+
+
 # Wordings of residue, matched against a template from its first word on.
 _PLACEHOLDER = rf"""(?:please )?(?:insert|enter|type|add|write|put) (?:your |the |an? )?\S+(?: \S+){{0,3}} here
 click (?:here )?to (?:add|edit|enter)
@@ -128,8 +140,13 @@ active java-?script
 _FILLED = r"""lorem ipsum(?: dolor\b|\W*$)"""
 # What pages carry around their content.
 _CHROME = re.compile(r"home \| browse \| help|back to search|contact the archive|cookie settings|powered by \w+|\(c\) the archive|log in\b(?! (?:again )?to)|sign up|menu\b|skip to content", re.I)
-#: One of these is in everything that ``_CHROME`` matches.
-_CHROME_SIGNS = ("| browse", "back to search", "contact the archive", "cookie settings", "powered by", "(c) the archive", "log in", "sign up", "menu", "skip to content")
+
+
+def _framed(lower: str) -> bool:
+    """Whether a text in lower case holds one of the signs that everything which ``_CHROME`` matches has."""
+    return "menu" in lower or "log in" in lower or "sign up" in lower or "| browse" in lower or "back to search" in lower or "contact the archive" in lower or "cookie settings" in lower or "powered by" in lower or "(c) the archive" in lower or "skip to content" in lower
+
+
 _KINDS = [(k, re.compile("(?:" + "|".join(f"(?:{p})" for p in text.split("\n")) + ")")) for k, text in (("placeholder", _PLACEHOLDER), ("error", _ERROR), ("script", _SCRIPT), ("filler", _FILLED))]
 
 # Function words of the languages that articles are written in; words that pseudo-Latin filler uses too are left out.
@@ -141,9 +158,12 @@ el los las y es son con que se para en un una del al por su lo como sobre bajo""
 _MATH = re.compile(r"\$\$.*?\$\$|\$[^$]*\$|\\\[.*?\\\]|\\\(.*?\\\)|\\begin\{(equation|align|eqnarray|gather|multline|displaymath|figure|table|tabular)\*?\}.*?\\end\{\1\*?\}", re.S)
 _QUOTED = re.compile(r"\\(?:verb\*?(.)[^\n]*?\1|(?:texttt|emph|url|textit)\s*\{[^{}]*\})|``[^`]*?''|\\begin\{(verbatim|lstlisting)\}.*?\\end\{\2\}", re.S)
 _MARK = re.compile(r"\\(?:cite\w*|ref|eqref|label|includegraphics|caption|footnote|item|inst|and|thanks)\b(?:\[[^\]]*\])*|\\[a-zA-Z]+\*?(?=[\s{\\]|$)")
-_SENTENCE = re.compile(r"(?<=[.!?])\s+(?=\S)|\n\s*\n|\n")
 _DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"[0-9a-f]*\d[0-9a-f]*|\d+", re.I)
+#: From the first digit of a number on; what it has before that, a mask finds by going back.
+_NUMBER = re.compile(r"[0-9][0-9a-f]*")
+#: Letters of ASCII in lower case and line breaks as they are, everything else as spaces.
+_LETTERS = bytes(c if c == 10 or 97 <= c <= 122 else 32 for c in range(256))
 _ESCAPED = re.compile(r"\\([_$#&%{}])")
 _TEXT_WORD = re.compile(r"[^\W\d_]+")
 _FILLER_COMMAND = re.compile(r"\\(?:lipsum|kant|blindtext|Blindtext|blindmathpaper|blinddocument)\b(?:\[[^\]]*\])?")
@@ -158,14 +178,29 @@ def _judge(template: str) -> str:
 
 def masked(message: str) -> str:
     """The message in lower case with single spaces, digits as wildcards."""
-    t = " ".join(message.lower().split())
-    return _DIGITS.sub(WILD, t) if _DIGIT.search(t) else t
+    return _without_digits(" ".join(message.lower().split()))
+
+
+def _without_digits(lower: str) -> str:
+    """A text in lower case with each number, and the letters up to f around its digits, as one wildcard."""
+    if not lower.isascii():
+        return _DIGITS.sub(WILD, lower) if _DIGIT.search(lower) else lower
+    out, end = [], 0
+    for m in _NUMBER.finditer(lower):
+        start, stop = m.span()
+        while start > end and lower[start - 1] in "abcdef":
+            start -= 1
+        out += (lower[end:start], WILD)
+        end = stop
+    return "".join(out) + lower[end:] if out else lower
 
 
 #: Stands for a word that varies.
 WILD = "<*>"
 #: Words from which on a leaf of the tree branches no further.
 DEPTH = 4
+#: Templates from which on those of a leaf are looked up rather than compared each.
+MANY = 12
 #: A wording that stands alone in sections of this many papers of different titles is a template, whatever it says.
 REPEATED = 5
 
@@ -174,8 +209,8 @@ class Leaf:
     """Templates of the messages that agree in their first words and their length.
 
     A message joins the template that agrees with it in most words, if these are at least ``alike`` of all; words that
-    differ become wildcards.  Templates are looked up over groups of positions: with one group more than words may
-    differ, one group agrees in full, so a leaf with many messages need not compare each with each.
+    differ become wildcards.  From ``MANY`` templates on they are looked up over groups of positions: with one group more
+    than words may differ, one group agrees in full, so a leaf with many messages need not compare each with each.
     """
 
     def __init__(self, length: int, alike: float = 0.7):
@@ -190,30 +225,36 @@ class Leaf:
         return [(g, *words[DEPTH + g * free // k : DEPTH + (g + 1) * free // k]) for g in range(k)]
 
     def add(self, words: list[str], member: tuple) -> None:
-        if not self.templates:  # most leaves hold one message, which is looked for by none
-            self.templates.append([words, [member]])
-            return
-        if not self.by:
-            for g in self._groups(self.templates[0][0]):
-                self.by[g] = {0}
-        groups = self._groups(words)
+        templates = self.templates
+        if self.by:
+            groups = self._groups(words)
+            near: Iterable[int] = sorted(set().union(*(self.by.get(g, ()) for g in groups)))
+        else:
+            groups, near = [], range(len(templates))
         best, most = None, self.length - self.differ - 1
-        for k in sorted(set().union(*(self.by.get(g, ()) for g in groups))):
-            same = sum(map(str.__eq__, self.templates[k][0], words))
+        for k in near:
+            same = sum(map(eq, templates[k][0], words))
             if same > most:
                 best, most = k, same
         if best is None:
-            best = len(self.templates)
-            self.templates.append([words, [member]])
+            best = len(templates)
+            templates.append([words, [member]])
+            if not self.by and len(templates) >= MANY:
+                for k, t in enumerate(templates):
+                    for g in self._groups(t[0]):
+                        self.by.setdefault(g, set()).add(k)
+                return
         else:
-            t = self.templates[best]
+            t = templates[best]
             t[1].append(member)
             if most == self.length:
                 return
-            for g in self._groups(t[0]):
-                self.by[g].discard(best)
+            if self.by:
+                for g in self._groups(t[0]):
+                    self.by[g].discard(best)
             t[0] = [a if a == b else WILD for a, b in zip(t[0], words, strict=True)]
-            groups = self._groups(t[0])
+            if self.by:
+                groups = self._groups(t[0])
         for g in groups:
             self.by.setdefault(g, set()).add(best)
 
@@ -245,19 +286,29 @@ def _filler(words: list[str]) -> bool:
 
 
 def _repeated(words: list[str]) -> bool:
-    return len(words) >= 6 and len(set(words)) <= max(2, len(words) // 4)
+    most = max(2, len(words) // 4)
+    # where the first words all differ, as nearly everywhere, the others need not be looked at
+    return len(words) >= 6 and len(set(words[: most + 1])) <= most and len(set(words)) <= most
 
 
 def _strange(words: list[str]) -> bool:
-    if len(words) < 6:
+    n = len(words)
+    # more than one known word in twenty ends the search, as soon as so many are found
+    if n < 6 or next(islice(filter(_FUNCTION.__contains__, words), n // 20, None), None):
         return False
     known = sum(map(_FUNCTION.__contains__, words))
-    return (len(words) >= 9 and 20 * known <= len(words)) or (len(words) >= 6 and not known and 4 * len(set(words)) <= 3 * len(words))
+    return (n >= 9 and 20 * known <= n) or (not known and 4 * len(set(words)) <= 3 * n)
 
 
 def _unfilled(text: str) -> bool:
     """A slot with hardly a word beside it."""
-    return _signed(text.lower()) and SLOT.search(text) is not None and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
+    return _slotted(text) and len(_TEXT_WORD.findall(SLOT.sub(" ", text))) <= 3
+
+
+def _sentences(text: str) -> list[str]:
+    """Sentences with single spaces: a line ends one, and so does a full stop, exclamation or question mark before a space."""
+    lines = [" ".join(line.split()) for line in text.split("\n")]
+    return [s for line in lines if line for s in line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")]
 
 
 def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
@@ -270,9 +321,10 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
     dummy = _FILLER_COMMAND.findall(content) if "\\" in content else []
     text = content
     if "\\" in text or "$" in text or "`" in text:
-        text = _FILLER_COMMAND.sub(" ", text)
+        if dummy:
+            text = _FILLER_COMMAND.sub(" ", text)
         text = _QUOTED.sub(" quoted ", text)
-        if not (_signed(text.lower()) and SLOT.search(text)):
+        if not _slotted(text):
             text = _MATH.sub(" formula ", text)
         text = _ESCAPED.sub(r"\1", text)
     if kind in ("title", "author"):
@@ -284,31 +336,46 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
     if "\\" in text:
         text = _MARK.sub(" ", text)
     lower = text.lower()
-    chrome = any(sign in lower for sign in _CHROME_SIGNS)
-    signed = _signed(lower)
+    framed, signed = _framed(lower), _SLOT_BEGINS.search(text) is not None
+    if framed or signed:
+        sentences = []
+        for s in _sentences(text):
+            if framed and len(s) < 200 and _CHROME.search(s):
+                s = " ".join(_CHROME.sub(" ", s).split())
+                if not any(map(str.isalnum, s)):
+                    continue
+            sentences.append(s)
+        lows = [s.lower() for s in sentences]
+    else:
+        sentences = lows = _sentences(lower)
+    if not lows and not dummy:
+        return []
+    # the steps that go through every character take all sentences at once
+    joined = "\n".join(lows)
+    if joined.isascii():
+        worded = [x.split() for x in joined.encode().translate(_LETTERS).decode().split("\n")]
+    else:
+        worded = [_TEXT_WORD.findall(low) for low in lows]
     found: dict[str, list] = {}
     others: list[str] = []
-    for sentence in _SENTENCE.split(text):
-        s = " ".join(sentence.split())
-        if not s:
-            continue
-        if chrome and len(s) < 200 and _CHROME.search(s):
-            s = " ".join(_CHROME.sub(" ", s).split())
-            if not any(map(str.isalnum, s)):
-                continue
-        low = s.lower()
-        words = _TEXT_WORD.findall(low)
-        own = "placeholder" if signed and _unfilled(s) else "filler" if _filler(words) else ""
+    for s, message, words in zip(sentences, _without_digits(joined).split("\n"), worded, strict=False):  # no sentences still join to one
+        own = "placeholder" if signed and _unfilled(s) else "filler" if len(words) >= 6 and _filler(words) else ""
         if not own:
             others += words
-        message = _DIGITS.sub(WILD, low) if _DIGIT.search(low) else low
-        size = sum(WILD not in w for w in message.split(" ")) if WILD in message else message.count(" ") + 1
-        row = found.setdefault(message, [own, 0, 0])
-        row[1] += 1
-        row[2] += max(1, size)
+        size, wild = message.count(" ") + 1, message.count(WILD)
+        if wild:
+            size -= 1 if wild == 1 else sum(WILD in w for w in message.split(" "))
+        row = found.get(message)
+        if row is None:
+            found[message] = [own, 1, max(1, size)]
+        else:
+            row[1] += 1
+            row[2] += max(1, size)
     # a long text has few different words for its length, so those of all sentences together are not held to be repeated
-    times = sum(r[1] for r in found.values())
-    again = found and len(found) < 3 and times >= 4 * len(found) and sum(len(m.split()) for m in found) <= 10 * len(found)
+    again = False
+    if found and len(found) < 3:
+        times = sum(r[1] for r in found.values())
+        again = times >= 4 * len(found) and sum(len(m.split()) for m in found) <= 10 * len(found)
     if again or _strange(others):
         for row in found.values():
             row[0] = row[0] or "filler"
@@ -321,24 +388,37 @@ _READ = "row long, doc_id long, at int, part string, message string, own string,
 def read_messages(documents: DataFrame) -> DataFrame:
     """One row for every different message of every part: document, number and kind of the part, message, times, words, those of the part, and a hash of the paper's title."""
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _READ.split(", ")]
-        for frame in frames:
-            columns: list[list] = [[] for _ in names]
-            for row, doc, text in zip(frame["row"].tolist(), frame["doc_id"].tolist(), frame["text"].tolist(), strict=True):
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of: list[tuple] = []  # row, document, number, kind, words and title of every part
+            sizes: list[int] = []  # its messages
+            messages, owns, times, words = [], [], [], []
+            for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
                 cut = parts(text)
                 title = next((xxhash.xxh64_intdigest(" ".join(c.lower().split())) >> 1 for k, c in cut if k == "title"), None)
                 for at, (kind, content) in enumerate(cut):
                     found = messages_of(kind, content)
                     if found:
-                        k, own = len(found), list(zip(*found, strict=True))
-                        for column, values in zip(columns, ([row] * k, [doc] * k, [at] * k, [kind] * k, *own, [sum(own[3])] * k, [title] * k), strict=True):
-                            column += values
-            out = dict(zip(names, columns, strict=True))
-            yield pd.DataFrame(out | {"title": pd.array(out["title"], "Int64")})
+                        m, o, t, w = zip(*found, strict=True)
+                        messages += m
+                        owns += o
+                        times += t
+                        words += w
+                        of.append((row, doc, at, kind, sum(w), title))
+                        sizes.append(len(found))
+            row, doc, at, kind, whole, title = zip(*of, strict=True) if of else ((),) * 6
+            part = pa.array(np.repeat(np.arange(len(of)), np.array(sizes, "int64")))
+            repeated = lambda values, type_: pa.array(values, type_).take(part)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    repeated(row, pa.int64()), repeated(doc, pa.int64()), repeated(at, pa.int32()), repeated(kind, pa.string()), pa.array(messages, pa.string()), pa.array(owns, pa.string()),
+                    pa.array(times, pa.int32()), pa.array(words, pa.int32()), repeated(whole, pa.int32()), repeated(title, pa.int64()),
+                ],
+                names=[c.split()[0] for c in _READ.split(", ")],
+            )
 
     texts = spread(documents.where("doc_id is not null and text is not null").select("doc_id", "text"))
-    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInPandas(scan, _READ)
+    return texts.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text").mapInArrow(scan, _READ)
 
 
 def _key(c: str = "message") -> list[Column]:
@@ -353,27 +433,32 @@ def judged_messages(read: DataFrame) -> DataFrame:
     first and equally frequent ones in alphabetical order, so the templates depend neither on order nor on partitions.
     """
 
-    def mine(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, leaf = None, None
 
         def ended() -> list[tuple]:
             out = []
             for words, members in leaf.templates if leaf else ():
-                kind, template = classify(words, members), " ".join(words)
-                out += [(m[0], template, kind or m[1]) for m in members if kind or m[1]]
+                kind = classify(words, members)
+                if kind or any(m[1] for m in members):
+                    template = " ".join(words)
+                    out += [(m[0], template, kind or m[1]) for m in members if kind or m[1]]
             return out
 
-        for frame in frames:
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*rows, strict=True) if rows else ((),) * 3)], names=["message", "template", "kind"])
+
+        for batch in batches:
             rows = []
-            for m in zip(*(frame[c].tolist() for c in ("message", "own", "n", "alone", "titles")), strict=True):
+            for m in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("message", "own", "n", "alone", "titles")), strict=True):
                 words = m[0].split(" ")
                 own = (words[:DEPTH], len(words))
                 if own != key:
                     rows += ended()
                     key, leaf = own, Leaf(len(words))
                 leaf.add(words, m)
-            yield pd.DataFrame(rows, columns=["message", "template", "kind"])
-        yield pd.DataFrame(ended(), columns=["message", "template", "kind"])
+            yield batch_of(rows)
+        yield batch_of(ended())
 
     alone = (F.col("words") >= 0.9 * F.col("all")) & ~F.col("part").isin("title", "author")
     paper = F.when(alone & F.col("title").isNotNull(), F.expr("shiftleft(1L, cast(pmod(title, 64) as int))"))
@@ -381,7 +466,7 @@ def judged_messages(read: DataFrame) -> DataFrame:
     split = F.split("message", " ")
     placed = counted.withColumn("leaf", F.struct(F.slice(split, 1, DEPTH).alias("first"), F.size(split).alias("length")))
     sorted_ = placed.repartition(parallel(read.sparkSession), "leaf").sortWithinPartitions("leaf", F.desc("n"), "message")
-    return sorted_.drop("leaf").mapInPandas(mine, "message string, template string, kind string")
+    return sorted_.drop("leaf").mapInArrow(mine, "message string, template string, kind string")
 
 
 def _hits(documents: DataFrame) -> DataFrame:
