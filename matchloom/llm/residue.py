@@ -8,7 +8,7 @@ Slots left open and filler, which have no wording of their own, are found apart
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import islice
 from operator import eq
 
@@ -199,8 +199,8 @@ def _without_digits(lower: str) -> str:
 WILD = "<*>"
 #: Words from which on a leaf of the tree branches no further.
 DEPTH = 4
-#: Templates from which on those of a leaf are looked up rather than compared each.
-MANY = 12
+#: Templates up to which those of a leaf are bits of a number.
+MANY = 256
 #: A wording that stands alone in sections of this many papers of different titles is a template, whatever it says.
 REPEATED = 5
 
@@ -209,15 +209,40 @@ class Leaf:
     """Templates of the messages that agree in their first words and their length.
 
     A message joins the template that agrees with it in most words, if these are at least ``alike`` of all; words that
-    differ become wildcards.  From ``MANY`` templates on they are looked up over groups of positions: with one group more
-    than words may differ, one group agrees in full, so a leaf with many messages need not compare each with each.
+    differ become wildcards.  Up to ``MANY`` templates, each is a bit in the numbers that stand for the words at each place,
+    and these bits are added up for all templates at once.  Beyond that, templates are looked up over groups of positions:
+    with one group more than words may differ, one group agrees in full, so no message is compared with each.
     """
 
     def __init__(self, length: int, alike: float = 0.7):
         self.length, self.differ = length, int(length * (1 - alike) + 1e-9)
         self.templates: list[list] = []  # words, members
+        self.at: list[dict[str, int]] = []
         self.by: dict[tuple, set[int]] = {}
 
+    def _most_alike(self, words: list[str]) -> tuple[int, int]:
+        """The template, the first of several, that agrees with the words in most places, and their number."""
+        sums: list[int] = []  # bit k of the i-th is bit i of the number of places at which template k agrees
+        for at, word in zip(self.at, words[DEPTH:], strict=True):
+            bits = at.get(word, 0)
+            i = 0
+            while bits:
+                if i == len(sums):
+                    sums.append(bits)
+                    break
+                sums[i], bits = sums[i] ^ bits, sums[i] & bits
+                i += 1
+        best, most = -1, 0
+        for i in range(len(sums) - 1, -1, -1):
+            if best & sums[i]:
+                best &= sums[i]
+                most += 1 << i
+        return (best & -best).bit_length() - 1, most + min(DEPTH, self.length)
+
+    def _place(self, k: int) -> None:
+        for at, word in zip(self.at, self.templates[k][0][DEPTH:], strict=True):
+            at[word] = at.get(word, 0) | 1 << k
+
     def _groups(self, words: list[str]) -> list[tuple]:
         free, k = self.length - DEPTH, self.differ + 1
         if free < k:
@@ -226,37 +251,52 @@ class Leaf:
 
     def add(self, words: list[str], member: tuple) -> None:
         templates = self.templates
+        if not templates:  # most leaves hold one message, which is looked for by none
+            templates.append([words, [member]])
+            return
+        least = self.length - self.differ
         if self.by:
-            groups = self._groups(words)
-            near: Iterable[int] = sorted(set().union(*(self.by.get(g, ()) for g in groups)))
+            best, most = -1, least - 1
+            for k in sorted(set().union(*(self.by.get(g, ()) for g in self._groups(words)))):
+                same = sum(map(eq, templates[k][0], words))
+                if same > most:
+                    best, most = k, same
         else:
-            groups, near = [], range(len(templates))
-        best, most = None, self.length - self.differ - 1
-        for k in near:
-            same = sum(map(eq, templates[k][0], words))
-            if same > most:
-                best, most = k, same
-        if best is None:
+            if not self.at:
+                self.at = [{} for _ in range(self.length - DEPTH)]
+                self._place(0)
+            best, most = self._most_alike(words)
+        if best < 0 or most < least:
             best = len(templates)
             templates.append([words, [member]])
-            if not self.by and len(templates) >= MANY:
-                for k, t in enumerate(templates):
-                    for g in self._groups(t[0]):
-                        self.by.setdefault(g, set()).add(k)
-                return
-        else:
-            t = templates[best]
-            t[1].append(member)
-            if most == self.length:
-                return
-            if self.by:
-                for g in self._groups(t[0]):
-                    self.by[g].discard(best)
-            t[0] = [a if a == b else WILD for a, b in zip(t[0], words, strict=True)]
             if self.by:
-                groups = self._groups(t[0])
-        for g in groups:
-            self.by.setdefault(g, set()).add(best)
+                self._enter(best)
+            elif best < MANY:
+                self._place(best)
+            else:
+                self.at = []
+                for k in range(best + 1):
+                    self._enter(k)
+            return
+        t = templates[best]
+        t[1].append(member)
+        if most == self.length:
+            return
+        if self.by:
+            for g in self._groups(t[0]):
+                self.by[g].discard(best)
+        for i, (a, b) in enumerate(zip(t[0], words, strict=True)):
+            if a != b and self.at:
+                self.at[i - DEPTH][a] ^= 1 << best
+        t[0] = [a if a == b else WILD for a, b in zip(t[0], words, strict=True)]
+        if self.by:
+            self._enter(best)
+        else:
+            self._place(best)
+
+    def _enter(self, k: int) -> None:
+        for g in self._groups(self.templates[k][0]):
+            self.by.setdefault(g, set()).add(k)
 
 
 def classify(words: list[str], members: list[tuple]) -> str:
@@ -359,7 +399,14 @@ def messages_of(kind: str, content: str) -> list[tuple[str, str, int, int]]:
     found: dict[str, list] = {}
     others: list[str] = []
     for s, message, words in zip(sentences, _without_digits(joined).split("\n"), worded, strict=False):  # no sentences still join to one
-        own = "placeholder" if signed and _unfilled(s) else "filler" if len(words) >= 6 and _filler(words) else ""
+        own, n = "", len(words)
+        if signed and _unfilled(s):
+            own = "placeholder"
+        elif 6 <= n < 12 and len({*words[:3]}) == 3:  # as most are: too short and varied for repetition, and one known word will do
+            if _FUNCTION.isdisjoint(words) and _strange(words):
+                own = "filler"
+        elif n >= 6 and _filler(words):
+            own = "filler"
         if not own:
             others += words
         size, wild = message.count(" ") + 1, message.count(WILD)
@@ -452,10 +499,10 @@ def judged_messages(read: DataFrame) -> DataFrame:
             rows = []
             for m in zip(*(batch.column(c).to_numpy(zero_copy_only=False).tolist() for c in ("message", "own", "n", "alone", "titles")), strict=True):
                 words = m[0].split(" ")
-                own = (words[:DEPTH], len(words))
-                if own != key:
+                first = words[:DEPTH]
+                if leaf is None or len(words) != leaf.length or first != key:
                     rows += ended()
-                    key, leaf = own, Leaf(len(words))
+                    key, leaf = first, Leaf(len(words))
                 leaf.add(words, m)
             yield batch_of(rows)
         yield batch_of(ended())
