@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, word_trigrams
-from ..runtime import spread, stored
+from ..runtime import joined, spread, stored
 from .cosine import SLACK, cosine_join, dot_products
 from .gram_blocks import meet
 
@@ -25,7 +25,7 @@ def tfidf(a: DataFrame, b: DataFrame, id_col: str = "id", text_col: str = "title
     n = a.select(F.lit(1).alias("x")).unionByName(b.select(F.lit(1).alias("x"))).agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     idf = df.crossJoin(F.broadcast(n)).select("gram", "df", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(idf, "gram").select("side", "id", "gram", "df", (F.col("tf") * F.col("idf")).alias("w"))
+    raw = joined(counts, idf, "gram").select("side", "id", "gram", "df", (F.col("tf") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("side", "id")))
     return raw.select("side", "id", "gram", "df", (F.col("w") / norm).alias("weight"))
 

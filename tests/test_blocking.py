@@ -156,3 +156,12 @@ def test_texts_meet_as_their_vectors(spark, monkeypatch):
     assert len(got) == len(want) > 0 and {(i, j): c for i, j, c in got} == pytest.approx(want)
     assert G.meet(*sides, 0.4, "id", "title", counted=True, meetings=0).head().candidates == len(want)
     assert G.meet(*sides, 0.4, "id", "title", meetings=1e9) is None
+
+
+def test_gram_counts_are_not_broadcast(spark):
+    """The grams exploded from titles are many times as large as the optimizer takes them for."""
+    from matchloom.operators.blocking import tfidf
+
+    t = spark.createDataFrame([(1, "usb stick"), (2, "memory stick")], "id long, title string")
+    plan = tfidf(t, t)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [gram#" in plan and "BroadcastHashJoin" not in plan
